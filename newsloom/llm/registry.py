@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["capping", "lines", "neardup"]
+MODULES = ["capping", "lines", "truncation", "leakage", "neardup"]
 
 
 def _all(kind: str) -> dict:
