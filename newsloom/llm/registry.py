@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["capping", "lines", "truncation", "leakage", "neardup", "encoding", "names", "history"]
+MODULES = ["capping", "lines", "truncation", "leakage", "neardup", "encoding", "names", "history", "mixing"]
 
 
 def _all(kind: str) -> dict:
