@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from newsloom.session import table
+from newsloom.session import stage, table
 
 MIN_ROWS = 6
 BROADCAST_KEYS = 200_000
@@ -66,10 +66,12 @@ def repeated_lines(df: DataFrame, doc: str, source: str, text: str, min_docs: in
 
 def without_repeated(df: DataFrame, doc: str, source: str, text: str, out: str, min_docs: int = MIN_ROWS) -> DataFrame:
     """df plus out: the lines of text that are neither blank nor repeated in their source (array<string>; null text gives null)."""
-    keys = repeated_keys(df, doc, source, text, min_docs).withColumnsRenamed({"source": "_rl_source", "keys": "_rl_keys"})
+    keys = stage(repeated_keys(df, doc, source, text, min_docs), "p5-keys").withColumnsRenamed({"source": "_rl_source", "keys": "_rl_keys"})
     small = keys.agg(F.coalesce(F.sum(F.size("_rl_keys") + 4), F.lit(0))).first()[0] <= BROADCAST_KEYS  # at most about 2 MB, else shuffled
     x = df.join(F.broadcast(keys) if small else keys, df[source] == keys["_rl_source"], "left").drop("_rl_source")
-    own = F.filter(F.split(text, "\n"), lambda x: F.coalesce(line_key(x).isNotNull() & ~F.coalesce(F.array_contains("_rl_keys", line_key(x)), F.lit(False)), F.lit(False)))
+    known = F.coalesce("_rl_keys", F.array().cast("array<bigint>"))
+    keyed = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), line_key(x).alias("key")))
+    own = F.filter(keyed, lambda x: x["key"].isNotNull() & ~F.array_contains(known, x["key"]))["line"]
     return x.withColumn(out, own).drop("_rl_keys")
 
 

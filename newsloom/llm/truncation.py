@@ -3,9 +3,10 @@
 1. A record's own lines are its lines without blank ones and without the lines its source repeats (problem 5).
 2. Lines of tags, credits, links and contacts are told from prose by how they open: an opening (first
    two tokens, digit runs alike) is not prose if its lines hardly ever end a sentence.
-3. Tokens are words, numbers and single signs; names become A, numbers 0. Word trigrams of all prose lines are
-   counted, inside the line and at its end, after known signs of omission are taken off the end.
-4. The final trigram of each record's last prose line is joined to the counts. A record is cut if its ending is frequent
+3. Tokens are words, numbers and single signs; names become A, numbers 0. Word trigrams of all lines are
+   counted, and apart from them the final trigrams of the records' last prose lines, after known signs of omission are
+   taken off the end.
+4. Each final trigram is joined to the counts. A record is cut if its ending is frequent
    inside texts but almost never terminal. Endings too rare to tell (a word cut in the middle) are judged by
    the final bigram, and by the final token's class (a word, a number, or the sign itself).
 
@@ -18,9 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.llm.lines import without_repeated
-from newsloom.session import broadcast_if_small, table
+from newsloom.session import broadcast_if_small, stage, table
 
 LEAST = 8  # occurrences from which a pattern is frequent
+TAIL = 9  # chunks between blanks at a text's end that hold a sign of omission and three tokens
 LEAST_LINES = 4  # lines from which an opening tells prose from the rest
 TERMINAL = 0.05  # an ending below this share of terminal occurrences is almost never terminal
 OPENING_ENDED = 0.2
@@ -28,6 +30,9 @@ SMALL = 200_000
 FEW_OPENINGS = 2_000  # as a literal; more are joined
 # Signs of omission and debris that feeds leave at a cut.
 OMISSION = r"(?:\s*(?:\.{3,}|\x{2026}|\[(?:\x{2026}|\.{3})\]|\((?:\x{2026}|\.{3}|more)\)|>+|\x{BB}|\x{FFFD}|&[#a-zA-Z0-9]{0,8};?|<[a-zA-Z/]*|(?i:read more|continue(?: reading)?)))+\s*$"
+# letters as plain ranges: class unions such as [^\s\p{L}] cost several times as much per character
+LETTER = r"A-Za-z\x{C0}-\x{1FFF}\x{2C00}-\x{FFEF}"
+TOKEN = rf"(?:[{LETTER}]++|[^ \n{LETTER}])"
 ENDED = r"[.!?\x{964}\x{3002}][\x{22}\x{27}\x{201D}\x{2019}\x{BB})\]]*\s*$"
 
 
@@ -38,50 +43,62 @@ def opening(line: Column) -> Column:
     return F.concat_ws(" ", F.regexp_replace(F.lower(first), r"\p{Nd}+", "0"), F.regexp_replace(F.regexp_replace(second, r"\p{Nd}+", "0"), r"^\p{Lu}.*", "A"))
 
 
-def tokens(line: Column) -> Column:
-    """Words in lower case, A for capitalised words, 0 for numbers, and single signs."""
-    plain = F.regexp_replace(F.regexp_replace(line, r"\p{Nd}+(?:[.,]\p{Nd}+)*", "0"), r"\p{Lu}[\p{L}\p{M}]*", "A")
-    return F.regexp_extract_all(plain, F.lit(r"[\p{L}\p{M}]+|0|[^\s\p{L}\p{M}0]"), F.lit(0))
+def plain(text: Column) -> Column:
+    """Text with one blank between words, names as A, numbers as 0 and two marks at the start of each line."""
+    x = F.regexp_replace(text, r"\p{Nd}+(?:[.,]\p{Nd}+)*", "0")
+    x = F.regexp_replace(x, r"\p{Lu}[\p{L}\p{M}]*", "A")
+    return F.regexp_replace(F.regexp_replace(x, r"[^\S\n]{2,}|[^\S\n ]", " "), r"(?m)^ ?", "^^ ")
 
 
-def _grams(line: Column) -> Column:
-    """array<string> of a line's trigrams, padded with ^ at the start."""
-
-    def slide(t: Column) -> Column:
-        return F.transform(t, lambda x, i: F.concat_ws(" ", F.when(i < 2, "^").otherwise(F.get(t, i - 2)), F.when(i < 1, "^").otherwise(F.get(t, i - 1)), x))
-
-    return F.transform(F.array(tokens(line)), slide)[0]
+def _counts(text: DataFrame) -> DataFrame:
+    """key, n: trigrams of all lines (g...), line openings (o...), and of these the lines that end a sentence (e...); one pass over the texts."""
+    grams = F.regexp_extract_all(plain(F.col("text")), F.lit(f"(?=({TOKEN} ?{TOKEN} ?{TOKEN})){TOKEN}"), F.lit(1))
+    lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
+    heads = F.transform(lines, lambda x: F.concat(F.when(x.rlike(ENDED), "e").otherwise("o"), opening(x)))
+    return text.select(F.explode(F.concat(F.transform(grams, lambda g: F.concat(F.lit("g"), g)), heads)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
 def judged(df: DataFrame, doc: str, source: str, text: str) -> DataFrame:
     """doc, source, cut (boolean), omission (a sign of omission stands at the end); one row for each record."""
-    x = without_repeated(df.select(doc, source, text), doc, source, text, "own").select(doc, source, "own")
-    heads = df.select(F.explode(F.split(text, "\n")).alias("line")).where(F.length(F.trim("line")) > 0).groupBy(opening(F.col("line")).alias("open")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("line").rlike(ENDED)).alias("ended"))
+    x = df.select(doc, source, text)
+    counts = stage(_counts(x.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))), "p3-counts").withColumns({"kind": F.substring("key", 1, 1), "key": F.expr("substring(key, 2)")})
+    heads = counts.where("kind in ('o', 'e')").groupBy(F.col("key").alias("open")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("kind") == "e", F.col("n")).otherwise(0)).alias("ended"))
     other = heads.where((F.col("n") >= LEAST_LINES) & (F.col("ended") < OPENING_ENDED * F.col("n"))).select("open")
-    x = _prose(x, doc, other)
-    x = x.withColumn("last", F.regexp_replace(F.try_element_at("prose", F.lit(-1)), OMISSION, ""))
-    x = x.withColumn("omission", F.coalesce(F.length("last") < F.length(F.try_element_at("prose", F.lit(-1))), F.lit(False)))
-    ends = x.withColumn("final", F.try_element_at(_grams(F.coalesce("last", F.lit(""))), F.lit(-1))).select(doc, source, "omission", "final")
-    grams = x.select(F.explode("prose").alias("line")).select(_grams(F.regexp_replace("line", OMISSION, "")).alias("g"))
-    counts = grams.select(F.posexplode("g").alias("i", "gram"), F.size("g").alias("n")).groupBy("gram").agg(F.count(F.lit(1)).alias("seen"), F.count_if(F.col("i") == F.col("n") - 1).alias("terminal"))
-    counts = counts.withColumns({"pair": F.substring_index("gram", " ", -2), "kind": _kind(F.substring_index("gram", " ", -1))})
-    pairs = counts.groupBy("pair").agg(F.sum("seen").alias("pair_seen"), F.sum("terminal").alias("pair_terminal"))
-    kinds = counts.groupBy("kind").agg(F.sum("seen").alias("kind_seen"), F.sum("terminal").alias("kind_terminal"))
-    # decided once for each distinct final trigram, so that a hot ending joins as one row
-    finals = ends.where("final is not null").groupBy("final").agg(F.count(F.lit(1)).alias("_n")).withColumns({"pair": F.substring_index("final", " ", -2), "kind": _kind(F.substring_index("final", " ", -1))})
-    told = finals.join(counts.select(F.col("gram").alias("final"), "seen", "terminal"), "final", "left").join(pairs, "pair", "left").join(kinds, "kind", "left")
-    told = told.select("final", _cut().alias("cut"))
+    x = _prose(without_repeated(x, doc, source, text, "own").select(doc, source, "own"), doc, other)
+    # what follows the last blanks decides; the start of a line with fewer words is kept with it
+    bind = lambda value, body: F.transform(F.array(value), body)[0]
+
+    def ending(tail: Column) -> Column:
+        cut = lambda t: F.struct((F.length(t) < F.length(tail)).alias("omission"), F.regexp_extract(plain(t), f"({TOKEN} ?{TOKEN} ?{TOKEN}) ?$", 1).alias("final"))
+        return bind(F.regexp_replace(tail, OMISSION, ""), cut)
+
+    tail = F.substring_index(F.rtrim(F.try_element_at("prose", F.lit(-1))), " ", -TAIL)
+    x = x.select(doc, source, bind(tail, ending).alias("_e"))
+    x = x.select(doc, source, F.coalesce("_e.omission", F.lit(False)).alias("omission"), F.col("_e.final").alias("final"))
+    ends = stage(x, "p3-ends")
+    finals = ends.where("final != ''").groupBy("final").agg(F.count(F.lit(1)).alias("terminal"))
+    told = _told(finals, counts.where("kind = 'g'").select(F.col("key").alias("gram"), F.col("n").alias("seen")))
     return ends.join(broadcast_if_small(told, SMALL), "final", "left").select(doc, source, F.coalesce("cut", F.lit(False)).alias("cut"), "omission")
 
 
+def _told(finals: DataFrame, seen: DataFrame) -> DataFrame:
+    """final, cut: the verdict on each distinct final trigram, so that a hot ending joins as one row."""
+    parts = lambda x, c: x.withColumns({"pair": F.regexp_extract(c, f"({TOKEN} ?{TOKEN}) ?$", 1), "kind": _kind(F.regexp_extract(c, f"({TOKEN}) ?$", 1))})
+    finals, seen = parts(finals, "final"), parts(seen, "gram")
+    pairs = seen.groupBy("pair").agg(F.sum("seen").alias("pair_seen")).join(finals.groupBy("pair").agg(F.sum("terminal").alias("pair_terminal")), "pair")
+    kinds = seen.groupBy("kind").agg(F.sum("seen").alias("kind_seen")).join(finals.groupBy("kind").agg(F.sum("terminal").alias("kind_terminal")), "kind")
+    told = finals.join(seen.select(F.col("gram").alias("final"), "seen"), "final", "left").join(pairs, "pair", "left").join(kinds, "kind", "left")
+    return told.select("final", _cut().alias("cut"))
+
+
 def _kind(token: Column) -> Column:
-    return F.when(token.rlike(r"^[\p{L}\p{M}]+$"), "word").otherwise(token)
+    return F.when(token.rlike(rf"^[{LETTER}]+$"), "word").otherwise(token)
 
 
 def _cut() -> Column:
     inside = F.coalesce(F.col("seen") - F.col("terminal"), F.lit(0))
     frequent, pair_frequent = inside >= LEAST, F.coalesce(F.col("pair_seen") - F.col("pair_terminal"), F.lit(0)) >= LEAST
-    kind_never = F.col("kind_terminal") < TERMINAL * F.col("kind_seen")
+    kind_never = F.coalesce(F.col("kind_terminal") < TERMINAL * F.col("kind_seen"), F.lit(True))
     # a sign that ends texts: cut only if this very ending is frequent inside and almost never terminal
     signs = F.when(frequent, F.col("terminal") < TERMINAL / 2 * F.col("seen")).when(pair_frequent, F.col("pair_terminal") < TERMINAL / 2 * F.col("pair_seen")).otherwise(F.lit(False))
     # words and signs that end no text: whole only if this very ending is frequent inside and often terminal too
