@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["timestamps"]
-FLAGSHIP = "p1_found"
+MODULES = ["timestamps", "learning"]
+FLAGSHIP = "flagship_outcome_profile"
 
 
 def _all(kind: str) -> dict:
