@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["timestamps", "learning"]
+MODULES = ["timestamps", "learning", "similarity", "coverage", "review", "streams"]
 FLAGSHIP = "flagship_outcome_profile"
 
 
