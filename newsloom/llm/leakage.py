@@ -18,12 +18,12 @@ words are lower-case runs of letters and digits.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.session import table
@@ -31,19 +31,17 @@ from newsloom.session import table
 WINDOW = 25
 EDITS = 2
 MAX_ITEM_WORDS = 1_000_000
-WORD = regex.compile(r"[\p{L}\p{N}]+")
+WORD = re.compile(r"[^\W_]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each window of n ids; 0-d for fewer ids than n."""
-    if len(ids) < n:
-        return np.empty(0, dtype=np.uint64)
-    h = np.zeros(len(ids) - n + 1, dtype=np.uint64)
+def _hashes_at(ids: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the window of n ids from each place on."""
+    h = np.zeros(len(at), dtype=np.uint64)
     v = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
     v ^= v >> np.uint64(29)
     for k in range(n):
-        h = h * BASE + v[k : k + len(h)]
+        h = h * BASE + v[at + k]
     return h
 
 
@@ -58,7 +56,7 @@ class Index:
         for item_id, text in items:
             ids = np.array([self.words.setdefault(w, len(self.words) + 1) for w in WORD.findall((text or "").lower())], dtype=np.int64)
             if len(ids) >= window:
-                g = _hashes(ids, self.n)
+                g = _hashes_at(ids, np.arange(len(ids) - self.n + 1), self.n)
                 h.append(g)
                 at.append(np.stack([np.full(len(g), len(self.items)), np.arange(len(g))], axis=1))
                 self.items.append((item_id, ids))
@@ -73,13 +71,17 @@ class Index:
             ids += [get(w, 0) for w in WORD.findall((t or "").lower())]
             ids += [0] * self.n  # no window spans two texts
             starts.append(len(ids))
-        ids = np.array(ids, dtype=np.int64)
-        h = _hashes(ids, self.n)
+        ids, begins = np.array(ids, dtype=np.int64), np.array(starts)
+        # only windows without an unknown word can match
+        strange = np.concatenate([[0], np.cumsum(ids == 0)])
+        known = np.nonzero(strange[self.n :] == strange[: len(strange) - self.n])[0]
+        h = _hashes_at(ids, known, self.n)
         lo, hi = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
         hits: dict[tuple[int, int, int], list[int]] = defaultdict(list)
-        for p in np.nonzero(hi > lo)[0]:
-            doc = int(np.searchsorted(starts, p, "right")) - 1
-            for item, q in self.at[lo[p] : hi[p]]:
+        for x in np.nonzero(hi > lo)[0]:
+            p = known[x]
+            doc = int(np.searchsorted(begins, p, "right")) - 1
+            for item, q in self.at[lo[x] : hi[x]]:
                 hits[doc, int(item), int(p) - int(q)].append(int(p))
         for (doc, item, shift), places in hits.items():
             words = self.items[item][1]
