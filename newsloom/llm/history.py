@@ -1,16 +1,17 @@
 """Problem 6: new batches held against all accepted history, without reading the history again.
 
-A record's text is the sequence of its headline's distinct words, rarest first (order frozen when the store is
-made; words it did not know count as rarest), after a word for the page its url leads to. Every batch becomes an
-immutable segment in the shared folder: a suffix array over the concatenated texts, sorted by the
-suffixes' leading word and cut into shards by it, as plain binary arrays. Suffixes that start
-beyond the first n - ceil(0.7 n) + 1 words are left out: two records that overlap by 0.7 share one of these words.
-
-Looking up a batch sends the leading words of its substrings to their shards, binary-searches every live
-segment, adds up the matched words of each record (coverage) and verifies the exact overlap. Segments are merged like the digits of a
+A record's words are put in order, rarest first (order frozen when the store is made; words it did not know
+count as rarest). Two records that overlap by 0.7 share three of their first n - ceil(0.7 n) + 3 words: one rare word
+and another, or three frequent ones. So a record's text holds, side by side, every two of these words of which one is
+rare and every three frequent ones, after a word for the page its url leads to. Every batch becomes an
+immutable segment in the shared folder: a suffix array over the concatenated texts, sorted by the words each
+suffix begins with and cut into shards by them, as plain binary arrays.
+
+Looking up a batch sends its substrings of two and three words to their shards, binary-searches every live
+segment, adds up the matches of each record (coverage) and verifies the exact overlap. Segments are merged like the digits of a
 binary counter, so a lookup reads O(log batches) of them and each suffix is rewritten O(log batches) times.
 
-A hot word (more than HOT suffixes in a batch) is spread over SALTS shards by record and looked up in each. Equal
+A hot beginning (more than HOT suffixes in a batch) is spread over SALTS shards by record and looked up in each. Equal
 word sets of one batch are one record, and each page is kept once per batch, so copies cost nothing.
 
 Defined results: null or empty headlines overlap with nothing, null urls lead nowhere; a row repeats only
@@ -38,8 +39,8 @@ HOT = 20_000
 FREQUENT = 5_000
 WORD = re.compile(r"[^\W_]+")
 URL = re.compile(r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)(?:\?([^#]*))?")
-SHARD = "shard int, words binary, nexts binary, recs binary"
-RECORDS = "rec bigint, row_id bigint, page bigint, words array<bigint>"
+SHARD = "segment int, shard int, words binary, recs binary"
+RECORDS = "rec bigint, row_id bigint, page bigint, words array<bigint>, rare int, batch int"
 
 
 def page_of(url: str | None) -> str | None:
@@ -55,29 +56,25 @@ def page_of(url: str | None) -> str | None:
     return f"{host}\n{path}\n{'' if ident is None else '=' + ident}"
 
 
-def prefix_length(n: int) -> int:
-    """Words of n among which any record that overlaps by the threshold has one in its own."""
-    a, b = THRESHOLD
-    return n - -(-a * n // b) + 1
-
-
-def parsed(batch: DataFrame, order: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """row_id, page (hash), words (hashes, rarest first) of each row of a batch (row_id, url, headline)."""
-    held = batch.sparkSession.sparkContext.broadcast(order)
+def parsed(rows: DataFrame, order: tuple[np.ndarray, np.ndarray], batch: str | None) -> DataFrame:
+    """row_id, page (hash), words (hashes, rarest first) and batch of each row (row_id, url, headline)."""
+    held = rows.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known, counts = held.value
         count_of = dict(zip(known.tolist(), counts.tolist()))
         for pdf in batches:
             pages = [None if p is None else xxhash.xxh3_64_intdigest("page\n" + p) for p in map(page_of, pdf["url"])]
-            words = []
+            words, rare = [], []
             for t in pdf["headline"]:
                 h = [xxhash.xxh3_64_intdigest(w) for w in set(WORD.findall(t.lower()))] if t else []
+                rare.append(sum(x not in count_of for x in h))
                 words.append([_signed(x) for x in sorted(h, key=lambda x: (count_of.get(x, 0), x))])
-            yield pd.DataFrame({"row_id": pdf["row_id"], "page": pd.array([None if p is None else _signed(p) for p in pages], dtype="Int64"), "words": words})
+            yield pd.DataFrame({"row_id": pdf["row_id"], "batch": pdf["batch"], "page": pd.array([None if p is None else _signed(p) for p in pages], dtype="Int64"), "words": words, "rare": rare})
 
-    x = batch.where(F.col("row_id").isNotNull()).select(F.col("row_id").cast("bigint").alias("row_id"), "url", "headline")
-    return x.mapInPandas(run, "row_id bigint, page bigint, words array<bigint>")
+    number = F.col(batch).cast("int") if batch else F.lit(0)
+    x = rows.where(F.col("row_id").isNotNull()).select(F.col("row_id").cast("bigint").alias("row_id"), "url", "headline", number.alias("batch"))
+    return x.mapInPandas(run, "row_id bigint, page bigint, words array<bigint>, rare int, batch int")
 
 
 def _signed(x: int) -> int:
@@ -105,25 +102,29 @@ class SegmentStore:
     def __init__(self, spark: SparkSession, order: tuple[np.ndarray, np.ndarray]):
         self.spark, self.order = spark, order
         self.path = f"{shared_dir(spark).rstrip('/')}/p6-{uuid.uuid4().hex}"
-        self.segments: list[tuple[int, str]] = []  # (batches in it, folder), oldest first
+        self.segments: list[tuple[int, str, int]] = []  # (batches in it, folder, number in it), oldest first
         self.records: list[str] = []
         self.hot: set[int] = set()
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Take a batch (row_id, url, headline) in as a new segment; gives its parsed rows (row_id, page, words, rec)."""
-        here = f"{self.path}/batch-{len(self.records)}"
-        x = parsed(batch, self.order).withColumn("same", F.xxhash64("words"))
-        reps = x.groupBy("same").agg(F.min("row_id").alias("rec"))
-        x.join(reps, "same").select("rec", "row_id", "page", "words").write.parquet(here)
-        rows = self.spark.read.schema(RECORDS).parquet(here)
+    def add(self, rows: DataFrame, batch: str | None = None) -> DataFrame:
+        """Take rows (row_id, url, headline) in, one new segment for each batch, in their order; gives them parsed (row_id, page, words, rec)."""
+        here = f"{self.path}/rows-{len(self.records)}"
+        numbers = [r[0] for r in rows.select(batch).distinct().orderBy(batch).collect()] if batch else [0]  # one row per batch
+        if not numbers:
+            return self.spark.createDataFrame([], RECORDS)
+        x = parsed(rows, self.order, batch).withColumn("same", F.xxhash64("words"))
+        reps = x.groupBy("batch", "same").agg(F.min("row_id").alias("rec"))
+        x.join(reps, ["batch", "same"]).select("rec", "row_id", "page", "words", "rare", "batch").write.parquet(here)
+        new = self.spark.read.schema(RECORDS).parquet(here)
         self.records.append(here)
-        heads = rows.where("row_id = rec").select("rec", F.explode(F.expr("slice(words, 1, size(words) - cast(ceil(7 * size(words) / 10.0) as int) + 1)")).alias("word"), "words")
-        heads = heads.select("word", "rec", F.coalesce(F.get(F.col("words"), F.array_position("words", F.col("word")).cast("int")), F.lit(0)).alias("next"))
-        pages = rows.where(F.col("page").isNotNull()).groupBy(F.col("page").alias("word")).agg(F.min("row_id").alias("rec")).withColumn("next", F.lit(0).cast("bigint"))
-        suffixes = heads.unionByName(pages)
-        self.hot |= {r.word for r in heads.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).collect()}
-        self._write(suffixes.withColumn("shard", self._shard(F.col("word"), F.xxhash64("rec"))).groupBy("shard").applyInPandas(_sorted, SHARD), 1)
-        return rows
+        heads = _heads(new)
+        pages = new.where(F.col("page").isNotNull()).groupBy("batch", F.col("page").alias("word")).agg(F.min("row_id").alias("rec"))
+        self.hot |= {r.word for r in heads.groupBy("batch", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).collect()}
+        suffixes = heads.unionByName(pages).withColumn("shard", self._shard(F.col("word"), F.xxhash64("rec"))).withColumnRenamed("batch", "segment")
+        folder = f"{self.path}/segments-{uuid.uuid4().hex}"
+        suffixes.groupBy("segment", "shard").applyInPandas(_sorted, SHARD).write.parquet(folder)
+        self._accept([(1, folder, n) for n in numbers])
+        return new
 
     def _shard(self, word, spread):
         shard = F.pmod(word, F.lit(SHARDS)) * SALTS
@@ -131,27 +132,45 @@ class SegmentStore:
             shard = shard + F.when(word.isin(sorted(self.hot)), F.pmod(spread, F.lit(SALTS))).otherwise(0)
         return shard.cast("int")
 
-    def _write(self, shards: DataFrame, size: int) -> None:
-        folder = f"{self.path}/segment-{uuid.uuid4().hex}"
-        shards.write.parquet(folder)
-        self.segments.append((size, folder))
-        while len(self.segments) > 2 and self.segments[-1][0] >= self.segments[-2][0]:  # the first, the history, stays as it is
-            (a, x), (b, y) = self.segments[-2:]
-            merged = self.spark.read.parquet(x, y).groupBy("shard").applyInPandas(_merged, SHARD)
-            folder = f"{self.path}/segment-{uuid.uuid4().hex}"
-            merged.write.parquet(folder)
-            self.segments[-2:] = [(a + b, folder)]
+    def _accept(self, new: list[tuple[int, str, int]]) -> None:
+        """Append segments; the last two of equal size become one, and so on, as in a binary counter. All merges are one job."""
+        groups = [(s[0], [s]) for s in self.segments]
+        for s in new:
+            groups.append((s[0], [s]))
+            while len(groups) > 2 and groups[-1][0] >= groups[-2][0]:  # the first, the history, stays as it is
+                (m, x), (n, y) = groups[-2:]
+                groups[-2:] = [(m + n, x + y)]
+        joined = [g for g in groups if len(g[1]) > 1]
+        if joined:
+            folder = f"{self.path}/segments-{uuid.uuid4().hex}"
+            target = {s: k for k, g in enumerate(joined) for s in g[1]}
+            parts = [self._read(f, [s[2] for s in target if s[1] == f]).withColumn("segment", F.element_at(F.create_map(*[F.lit(v) for s, k in target.items() if s[1] == f for v in (s[2], k)]), F.col("segment"))) for f in {s[1] for s in target}]
+            both = parts[0]
+            for p in parts[1:]:
+                both = both.unionAll(p)
+            both.groupBy("segment", "shard").applyInPandas(_merged, SHARD).write.parquet(folder)
+            groups = [(n, [(n, folder, joined.index((n, g)))]) if len(g) > 1 else (n, g) for n, g in groups]
+        self.segments = [g[0] for _, g in groups]
+
+    def _read(self, folder: str, numbers: list[int]) -> DataFrame:
+        return self.spark.read.schema(SHARD).parquet(folder).where(F.col("segment").isin(numbers))
+
+    def live(self) -> DataFrame:
+        out = None
+        for f in dict.fromkeys(s[1] for s in self.segments):
+            part = self._read(f, [s[2] for s in self.segments if s[1] == f])
+            out = part if out is None else out.unionAll(part)
+        return out
 
     def find(self, rows: DataFrame) -> DataFrame:
-        """kept_row_id, row_id of the rows of a batch already added that repeat a row of smaller row_id."""
-        heads = rows.where("row_id = rec").select("rec", F.explode(F.expr("slice(words, 1, size(words) - cast(ceil(7 * size(words) / 10.0) as int) + 1)")).alias("word"), F.lit(False).alias("is_page"))
-        pages = rows.where(F.col("page").isNotNull()).select(F.col("row_id").alias("rec"), F.col("page").alias("word"), F.lit(True).alias("is_page"))
+        """kept_row_id, row_id of the rows, already added, that repeat a row of smaller row_id."""
+        heads = _heads(rows).select("rec", "word", F.lit(1).alias("weight"))
+        pages = rows.where(F.col("page").isNotNull()).select(F.col("row_id").alias("rec"), F.col("page").alias("word"), F.lit(0).alias("weight"))
         probes = heads.unionByName(pages)
         salts = F.sequence(F.lit(0), F.when(F.col("word").isin(sorted(self.hot)), SALTS - 1).otherwise(0)) if self.hot else F.array(F.lit(0))
-        probes = probes.withColumn("salt", F.explode(salts)).select((F.pmod("word", F.lit(SHARDS)) * SALTS + F.col("salt")).cast("int").alias("shard"), "word", "rec", "is_page")
-        live = self.spark.read.parquet(*[f for _, f in self.segments])
-        hits = probes.groupBy("shard").cogroup(live.groupBy("shard")).applyInPandas(_searched, "row_id bigint, old bigint, is_page boolean")
-        found = hits.groupBy("row_id", "old").agg(F.bool_or("is_page").alias("is_page"), F.count_if(~F.col("is_page")).alias("coverage"))
+        probes = probes.withColumn("salt", F.explode(salts)).select((F.pmod("word", F.lit(SHARDS)) * SALTS + F.col("salt")).cast("int").alias("shard"), "word", "rec", "weight")
+        hits = probes.groupBy("shard").cogroup(self.live().groupBy("shard")).applyInPandas(_searched, "row_id bigint, old bigint, weight int")
+        found = hits.groupBy("row_id", "old").agg(F.bool_or(F.col("weight") == 0).alias("is_page"), F.sum("weight").alias("coverage"))
         same_page = found.where("is_page").groupBy("row_id").agg(F.min("old").alias("by_page"))
         sets = self.spark.read.schema(RECORDS).parquet(*self.records).where("row_id = rec").select(F.col("rec").alias("old"), F.col("words").alias("w_old"))
         near = found.where("coverage > 0").select("row_id", "old").join(rows.where("row_id = rec").select("row_id", "words"), "row_id").join(sets, "old")
@@ -162,25 +181,35 @@ class SegmentStore:
         return out.select(F.least(by_text, "by_page").alias("kept_row_id"), "row_id").where("kept_row_id is not null")
 
 
+def _heads(rows: DataFrame) -> DataFrame:
+    """batch, rec, word: hashes of two leading words of which one is rare, and of three frequent ones; texts of one or two words whole."""
+    tail = lambda w, i: F.slice(w, i + 2, F.size(w))
+    twos = lambda w, first: F.flatten(F.transform(first, lambda x, i: F.transform(tail(w, i), lambda y: F.xxhash64(x, y))))
+    threes = lambda w: F.flatten(F.transform(w, lambda x, i: F.flatten(F.transform(tail(w, i), lambda y, j: F.transform(F.slice(w, i + j + 3, F.size(w)), lambda z: F.xxhash64(x, y, z))))))
+    n = F.size("words") - F.ceil(THRESHOLD[0] * F.size("words") / THRESHOLD[1]).cast("int") + 3
+    keys = F.transform(F.array(F.slice("words", F.lit(1), n)), lambda w: F.concat(twos(w, F.slice(w, F.lit(1), F.least("rare", F.size(w)))), threes(F.slice(w, F.col("rare") + 1, F.size(w)))))[0]
+    keys = F.when(F.size("words") <= 2, F.array(F.xxhash64("words"))).otherwise(keys)
+    return rows.where("row_id = rec and size(words) > 0").select("batch", "rec", F.explode(keys).alias("word"))
+
+
 def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Suffix array of one shard: sorted by leading word, the word after it, and record."""
-    w, x, r = (pdf[c].to_numpy().astype(np.int64) for c in ("word", "next", "rec"))
-    return _packed(int(pdf["shard"].iloc[0]), w, x, r)
+    """Suffix array of one shard: sorted by leading words and record."""
+    return _packed(pdf, *(pdf[c].to_numpy().astype(np.int64) for c in ("word", "rec")))
 
 
-def _packed(shard: int, w: np.ndarray, x: np.ndarray, r: np.ndarray) -> pd.DataFrame:
-    order = np.lexsort((r, x, w))
-    return pd.DataFrame({"shard": [shard], "words": [w[order].tobytes()], "nexts": [x[order].tobytes()], "recs": [r[order].tobytes()]})
+def _packed(pdf: pd.DataFrame, w: np.ndarray, r: np.ndarray) -> pd.DataFrame:
+    order = np.lexsort((r, w))
+    return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "shard": pdf["shard"].iloc[:1], "words": [w[order].tobytes()], "recs": [r[order].tobytes()]})
 
 
 def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
-    arrays = [np.concatenate([np.frombuffer(b, dtype=np.int64) for b in pdf[c]]) for c in ("words", "nexts", "recs")]
-    return _packed(int(pdf["shard"].iloc[0]), *arrays)
+    arrays = [np.concatenate([np.frombuffer(b, dtype=np.int64) for b in pdf[c]]) for c in ("words", "recs")]
+    return _packed(pdf, *arrays)
 
 
 def _searched(probes: pd.DataFrame, live: pd.DataFrame) -> pd.DataFrame:
     """Binary search of the probes' words in every segment of a shard: records of smaller number that hold them."""
-    word, rec, is_page = probes["word"].to_numpy(), probes["rec"].to_numpy(), probes["is_page"].to_numpy().astype(bool)
+    word, rec, weight = (probes[c].to_numpy() for c in ("word", "rec", "weight"))
     out = []
     for words, recs in zip(live["words"], live["recs"]):
         words, recs = np.frombuffer(words, dtype=np.int64), np.frombuffer(recs, dtype=np.int64)
@@ -189,8 +218,8 @@ def _searched(probes: pd.DataFrame, live: pd.DataFrame) -> pd.DataFrame:
         which = np.repeat(np.arange(len(word)), n)
         old = recs[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]] if len(which) else recs[:0]
         keep = old < rec[which]
-        out.append(pd.DataFrame({"row_id": rec[which][keep], "old": old[keep], "is_page": is_page[which][keep]}))
-    return pd.concat(out) if out else pd.DataFrame({"row_id": pd.array([], dtype="int64"), "old": pd.array([], dtype="int64"), "is_page": pd.array([], dtype="bool")})
+        out.append(pd.DataFrame({"row_id": rec[which][keep], "old": old[keep], "weight": weight[which][keep]}))
+    return pd.concat(out) if out else pd.DataFrame({"row_id": pd.array([], dtype="int64"), "old": pd.array([], dtype="int64"), "weight": pd.array([], dtype="int32")})
 
 
 def repeats(history: DataFrame, incoming: DataFrame, batch: str) -> DataFrame:
@@ -199,12 +228,7 @@ def repeats(history: DataFrame, incoming: DataFrame, batch: str) -> DataFrame:
     cols = ["row_id", "url", "headline"]
     store = SegmentStore(spark, word_order(history.select(cols)))
     store.add(history.select(cols))
-    out = None
-    numbered = incoming.withColumn("_batch", F.coalesce(batch, F.lit(-1)))
-    for r in numbered.select("_batch").distinct().orderBy("_batch").collect():  # one row per batch
-        found = store.find(store.add(numbered.where(F.col("_batch") == r._batch).select(cols)))
-        out = found if out is None else out.unionAll(found)
-    return out if out is not None else spark.createDataFrame([], "kept_row_id bigint, row_id bigint")
+    return store.find(store.add(incoming.select(*cols, F.coalesce(F.col(batch).cast("int"), F.lit(-1)).alias("_batch")), "_batch"))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
