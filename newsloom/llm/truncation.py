@@ -3,8 +3,8 @@
 1. A record's own lines are its lines without blank ones and without the lines its source repeats (problem 5).
 2. Lines of tags, credits, links and contacts are told from prose by how they open: an opening (first
    two tokens, digit runs alike) is not prose if its lines hardly ever end a sentence.
-3. Tokens are words, numbers and single signs; names become A, numbers 0. Word trigrams of all lines are
-   counted, and apart from them the final trigrams of the records' last prose lines, after known signs of omission are
+3. Tokens are words, numbers and single signs; names become A, numbers 0. Word trigrams are
+   counted by the texts that hold them, and apart from them the final trigrams of the records' last prose lines, after known signs of omission are
    taken off the end.
 4. Each final trigram is joined to the counts. A record is cut if its ending is frequent
    inside texts but almost never terminal. Endings too rare to tell (a word cut in the middle) are judged by
@@ -51,8 +51,8 @@ def plain(text: Column) -> Column:
 
 
 def _counts(text: DataFrame) -> DataFrame:
-    """key, n: trigrams of all lines (g...), line openings (o...), and of these the lines that end a sentence (e...); one pass over the texts."""
-    grams = F.regexp_extract_all(plain(F.col("text")), F.lit(f"(?=({TOKEN} ?{TOKEN} ?{TOKEN})){TOKEN}"), F.lit(1))
+    """key, n: texts that hold each trigram (g...), line openings (o...), and of these the lines that end a sentence (e...); one pass over the texts."""
+    grams = F.array_distinct(F.regexp_extract_all(plain(F.col("text")), F.lit(f"(?=({TOKEN} ?{TOKEN} ?{TOKEN})){TOKEN}"), F.lit(1)))
     lines = F.filter(F.split("text", "\n"), lambda x: F.length(F.trim(x)) > 0)
     heads = F.transform(lines, lambda x: F.concat(F.when(x.rlike(ENDED), "e").otherwise("o"), opening(x)))
     return text.select(F.explode(F.concat(F.transform(grams, lambda g: F.concat(F.lit("g"), g)), heads)).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
