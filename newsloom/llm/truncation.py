@@ -29,7 +29,8 @@ OPENING_ENDED = 0.2
 SMALL = 200_000
 FEW_OPENINGS = 2_000  # as a literal; more are joined
 # Signs of omission and debris that feeds leave at a cut.
-OMISSION = r"(?:\s*(?:\.{3,}|\x{2026}|\[(?:\x{2026}|\.{3})\]|\((?:\x{2026}|\.{3}|more)\)|>+|\x{BB}|\x{FFFD}|&[#a-zA-Z0-9]{0,8};?|<[a-zA-Z/]*|(?i:read more|continue(?: reading)?)))+\s*$"
+# Possessive, from the start of each run and at most 40 signs, so that no text makes it slow.
+OMISSION = r"(?:(?<!\s)\s*+(?:(?<!\.)\.{3,}+|\x{2026}++|\[(?:\x{2026}|\.{3})\]|\((?:\x{2026}|\.{3}|more)\)|(?<!>)>++|\x{BB}++|\x{FFFD}++|&[#a-zA-Z0-9]{0,8};?|<[a-zA-Z/]{0,8}|(?i:read more|continue(?: reading)?))){1,40}+\s*$"
 # letters as plain ranges: class unions such as [^\s\p{L}] cost several times as much per character
 LETTER = r"A-Za-z\x{C0}-\x{1FFF}\x{2C00}-\x{FFEF}"
 TOKEN = rf"(?:[{LETTER}]++|[^ \n{LETTER}])"
