@@ -1,8 +1,10 @@
 """Similarity joins on token sets, blocked so that no pair of a cross product is formed.
 
-For overlap (Jaccard) >= t a set of n tokens must share one of its n - ceil(t n) + 1 rarest tokens with its
-partner. Only those are joined on; candidates are verified on the whole sets. Frequencies are counted over
-both sides. Empty sets match nothing; repeated ids are rows of their own and give repeated pairs.
+A set of n tokens overlaps (Jaccard) another by t only if they share o = ceil(t n) tokens. In order of frequency, rarest
+first, two sets that share at least two tokens share two of their first n - max(o, 2) + 2; so each set is joined on
+hashes of every two of these (and, where o is 1, on each of its tokens, for partners that share only one). Candidates are
+verified on the whole sets. Frequencies are counted over both sides; columns that must be equal are part of the
+join key. Empty sets match nothing; repeated ids are rows of their own and give repeated pairs.
 """
 
 from __future__ import annotations
@@ -20,12 +22,16 @@ def with_tokens(df: DataFrame, text: str, pattern: str = WORDS4, out: str = "tok
     return df.withColumn(out, token_set(F.col(text), pattern))
 
 
-def _leading(df: DataFrame, key: str, df_of: DataFrame, t: float) -> DataFrame:
-    """key, token of the rarest tokens of each set that a partner must share one of."""
-    x = df.select(key, F.explode("tokens").alias("token"), F.size("tokens").alias("n")).join(df_of, "token")
-    ordered = x.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("o"))
-    lead = F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9).cast("int") + 1
-    return ordered.select(key, F.explode(F.slice("o", F.lit(1), lead)).alias("e")).select(key, F.col("e.token").alias("token"))
+def _blocks(df: DataFrame, key: str, df_of: DataFrame, t: float, on: list[str]) -> DataFrame:
+    """key, block: what a partner must share one of."""
+    x = df.select(key, *on, F.explode("tokens").alias("token"), F.size("tokens").alias("n")).join(df_of, "token")
+    ordered = x.groupBy(key, "n", *on).agg(F.sort_array(F.collect_list(F.struct("df", "token")))["token"].alias("o"))
+    least = F.ceil(F.lit(t) * F.col("n") - 1e-9).cast("int")
+    lead = F.slice("o", F.lit(1), F.col("n") - F.greatest(least, F.lit(2)) + 2)
+    same = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in on]
+    twos = F.transform(F.array(lead), lambda w: F.flatten(F.transform(w, lambda a, i: F.transform(F.slice(w, i + 2, F.size(w)), lambda b: F.xxhash64(F.lit(2), a, b, *same)))))[0]
+    ones = F.when(least <= 1, F.transform("o", lambda a: F.xxhash64(F.lit(1), a, *same))).otherwise(F.array().cast("array<bigint>"))
+    return ordered.select(key, F.explode(F.concat(twos, ones)).alias("block"))
 
 
 def _frequencies(*sides: DataFrame) -> DataFrame:
@@ -40,7 +46,7 @@ def similarity_join(left: DataFrame, right: DataFrame, left_id: str, right_id: s
     on = on or []
     l, r = left.withColumnsRenamed({left_id: "_l", "tokens": "tokens"}), right.withColumnsRenamed({right_id: "_r", "tokens": "tokens"})
     df_of = _frequencies(l, r)
-    cand = _leading(l, "_l", df_of, t).join(_leading(r, "_r", df_of, t), "token").select("_l", "_r").distinct()
+    cand = _blocks(l, "_l", df_of, t, on).join(_blocks(r, "_r", df_of, t, on), "block").select("_l", "_r").distinct()
     ls, rs = l.select("_l", F.col("tokens").alias("_tl"), *[F.col(c).alias(f"_l_{c}") for c in on]), r.select("_r", F.col("tokens").alias("_tr"), *[F.col(c).alias(f"_r_{c}") for c in on])
     x = cand.join(ls, "_l").join(rs, "_r")
     for c in on:
@@ -50,9 +56,15 @@ def similarity_join(left: DataFrame, right: DataFrame, left_id: str, right_id: s
 
 def self_join(df: DataFrame, row_id: str, t: float, on: list[str] | None = None) -> DataFrame:
     """id_a < id_b, overlap of all pairs within df (id, tokens, on)."""
+    on = on or []
     x = df.where(F.size("tokens") > 0)
-    pairs = similarity_join(x.withColumnRenamed(row_id, "id_a"), x.withColumnRenamed(row_id, "id_b"), "id_a", "id_b", t, on)
-    return pairs.where("id_a < id_b")
+    blocks = _blocks(x, row_id, _frequencies(x), t, on)
+    cand = blocks.select("block", F.col(row_id).alias("id_a")).join(blocks.select("block", F.col(row_id).alias("id_b")), "block").where("id_a < id_b").select("id_a", "id_b").distinct()
+    side = lambda k: x.select(F.col(row_id).alias(f"id_{k}"), F.col("tokens").alias(f"_t{k}"), *[F.col(c).alias(f"_{k}_{c}") for c in on])
+    both = cand.join(side("a"), "id_a").join(side("b"), "id_b")
+    for c in on:
+        both = both.where(F.col(f"_a_{c}") == F.col(f"_b_{c}"))
+    return both.withColumn("overlap", jaccard(F.col("_ta"), F.col("_tb"))).where(F.col("overlap") >= t - 1e-12).select("id_a", "id_b", "overlap")
 
 
 def document_frequency(df: DataFrame, text: str, pattern: str = WORDS4) -> DataFrame:
