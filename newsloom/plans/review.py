@@ -16,7 +16,9 @@ def reviews(spark, d):
 
 
 REVIEWS = "reviews_v AS (SELECT l_orderkey AS candidate, l_suppkey % 50 AS reviewer, l_returnflag AS label FROM lineitem)"
-POLICIES = (F.col("score") >= 50, F.col("score") >= 60, F.col("outcome") >= 0.5)
+def policies():
+    return F.col("score") >= 50, F.col("score") >= 60, F.col("outcome") >= 0.5
+
 
 
 def deduplicated(spark, d):
@@ -46,8 +48,8 @@ QUERIES = {
     "ev5_decision_quality": lambda s, d: R.decision_quality(V.learning(s, d), F.col("selected"), F.col("outcome") >= 0.5),
     "ev7_agreement": lambda s, d: R.agreement(reviews(s, d)),
     "ev8_status_counts": lambda s, d: R.agreement(reviews(s, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("n_reviews").alias("n_reviews")),
-    "ev11_paired_policies": lambda s, d: R.paired(V.learning(s, d), *POLICIES),
-    "wn10_bootstrap": lambda s, d: R.bootstrap_interval(V.learning(s, d), "run_date", *POLICIES),
+    "ev11_paired_policies": lambda s, d: R.paired(V.learning(s, d), *policies()),
+    "wn10_bootstrap": lambda s, d: R.bootstrap_interval(V.learning(s, d), "run_date", *policies()),
     "wn12_history_chain": history_chain,
     "jn1_first_wins": deduplicated,
     "jn5_corroboration": corroboration,

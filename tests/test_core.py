@@ -117,3 +117,12 @@ def test_every_query_runs(spark):
     for name, q in plans.queries().items():
         assert q(spark, SMALL).columns, name
     assert set(plans.oracle_sql()) <= set(plans.queries())
+
+
+def test_queries_are_named_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
+    assert said.returncode == 0, said.stderr
