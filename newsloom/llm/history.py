@@ -30,6 +30,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from newsloom.llm.neardup import overlap_pairs
 from newsloom.session import shared_dir, table
 
 THRESHOLD = 7, 10
@@ -236,4 +237,14 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found}
-SQL: dict[str, str] = {}
+_POOL = "SELECT row_id, url, headline FROM articles UNION ALL SELECT row_id, url, headline FROM incoming_articles"
+_PARTS = r"regexp_extract(url, '^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)(?:\?([^#]*))?', ['host', 'path', 'query'])"
+SQL = {
+    "p6_found": f"""WITH pool AS ({_POOL}), u AS (SELECT row_id, {_PARTS} AS p FROM pool WHERE url IS NOT NULL),
+  g AS (SELECT row_id, regexp_replace(regexp_replace(lower(p.host), '\\.+$', ''), '^(www|m)\\.', '') AS host, regexp_replace(url_decode(p.path), '(/amp|/)+$', '') AS path,
+    CASE WHEN regexp_matches(p.query, '(^|[&;])id=') THEN url_decode(regexp_extract(p.query, '(?:^|[&;])id=([^&;]*)', 1)) END AS ident FROM u WHERE p.host <> ''),
+  byurl AS (SELECT a.row_id, min(b.row_id) AS kept FROM g a JOIN g b ON a.host = b.host AND a.path = b.path AND a.ident IS NOT DISTINCT FROM b.ident AND b.row_id < a.row_id GROUP BY a.row_id),
+  {overlap_pairs("SELECT row_id AS k, coalesce(headline, '') AS t FROM pool", 'heads')}, bytext AS (SELECT y AS row_id, min(x) AS kept FROM heads GROUP BY y),
+  k AS (SELECT row_id, min(kept) AS kept FROM (SELECT * FROM byurl UNION ALL SELECT * FROM bytext) b GROUP BY row_id)
+  SELECT k.kept AS kept_row_id, k.row_id FROM k JOIN incoming_articles i ON i.row_id = k.row_id""",
+}
