@@ -16,11 +16,12 @@ def reviews(spark, d):
 
 
 REVIEWS = "reviews_v AS (SELECT l_orderkey AS candidate, l_suppkey % 50 AS reviewer, l_returnflag AS label FROM lineitem)"
+
+
 def policies():
     return F.col("score") >= 50, F.col("score") >= 60, F.col("outcome") >= 0.5
 
 
-
 def deduplicated(spark, d):
     """Feed rows kept by first-wins dedup: a title that overlaps a kept earlier one of its source by 0.62 is dropped."""
     x = table(spark, d, "article_feed").select("feed_pos", F.lower("source").alias("src"), "title")
@@ -64,4 +65,6 @@ SQL = {
     "ev11_paired_policies": f"""WITH {V.LEARNING}, x AS (SELECT score >= 50 AS a, score >= 60 AS b, outcome >= 0.5 AS r FROM learning_v)
   SELECT count(*) AS n, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (b AND NOT a) AS only_b, round(count(*) FILTER (a AND r) / count(*) FILTER (a), 6) AS precision_a, round(count(*) FILTER (b AND r) / count(*) FILTER (b), 6) AS precision_b,
   round(count(*) FILTER (a AND r) / count(*) FILTER (r), 6) AS recall_a, round(count(*) FILTER (b AND r) / count(*) FILTER (r), 6) AS recall_b FROM x""",
+    "wn12_history_chain": f"""WITH {V.RUNS}, r AS (SELECT CAST(run_date AS VARCHAR) AS run, count(*) AS n FROM runs_v GROUP BY 1), h AS (SELECT list(sha256(run || '|' || n) ORDER BY run) AS l FROM r)
+  SELECT CAST(len(l) AS INTEGER) AS n, list_reduce(list_prepend('GENESIS', l), lambda a, x: sha256(a || ':' || x)) AS digest FROM h""",
 }

@@ -27,4 +27,6 @@ QUERIES = {"sm2_first_of_key": first_seen, "sm5_daily_counts": daily, "sm6_lifec
 SQL = {
     "sm2_first_of_key": "SELECT DISTINCT concat_ws(':', user_id, event_type) AS event_key FROM events",
     "sm5_daily_counts": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "sm6_lifecycle": """SELECT event_key, CASE WHEN coalesce(bool_or(value - prev >= 8), false) THEN 'ESCALATING' WHEN count(*) > 1 THEN 'DEVELOPING' ELSE 'NEW' END AS status, count(*) AS seen, round(max(value), 6) AS greatest FROM (
+  SELECT event_key, value, max(value) OVER (PARTITION BY event_key ORDER BY ts, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM (SELECT concat_ws(':', user_id, event_type) AS event_key, ts, value FROM events) e) t GROUP BY event_key""",
 }
