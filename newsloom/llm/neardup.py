@@ -1,20 +1,24 @@
-"""Problem 7: near-duplicate records, found by pigeonhole blocks of a fingerprint.
+"""Problem 7: near-duplicate records, found exactly by the rarest words of their sets.
 
-A record is the set of its words. Its fingerprint is a vector of components, each the word that wins a
-weighted draw over the set (consistent weighted min-hashing, weight falling with the number of records that hold the word,
-so that the words every record shares seldom win). Close pairs differ in few components; the
-fingerprint is split into blocks so that they agree in at least one block, records are joined on
-blocks, and every candidate is verified by the exact Hamming distance of the two word sets:
+A record is the set of its words in one order for all records: words in few records first. Two sets that overlap by t share
+at least s = t / (1 + t) * (|A| + |B|) words, and their k-th shared word is among the first |A| - s + k words of A and
+|B| - s + k of B. As s is at least 2 t / (1 + t) |A| for the smaller set and t |B| for the larger, records are joined on
+
+* each rare word among those first words (k = 1),
+* every two frequent words among them (k = 2), for sets of at most LONG words; the pair counts only where
+  no earlier frequent word is shared, so a family of near copies, whose shared words are all frequent, gives each pair once,
+* each frequent word, for pairs with a set of more than LONG words.
+
+So the first one or two shared words of every pair are a block of both, and no pair is lost. Blocks of words that very many records
+hold are salted. Within a block a pair is dropped if its sizes, the words left after the block, or the
+distance of 64-bit parity signatures (at most the sets' own distance) rule the overlap out. Every candidate is verified by the
+exact Hamming distance of the two word sets:
 overlap >= t  <=>  distance <= (1 - t) / (1 + t) * (|A| + |B|).
 
 Identical word sets collapse to one representative before the blocks are made, so a hot group of copies
 costs one record; copies are put back at the end, pair by pair only where the caller asks for pairs.
 
-A block of two frequent words goes on with further components until it holds a rare one (LONGEST at most): it would
-otherwise join records that share nothing but the corpus' wording. A candidate must agree in at least
-SHARED of the `blocks` blocks; with two of 24 a pair whose weighted overlap is w is missed with probability 3e-4 for
-w = 0.6, 2e-6 for w = 0.7. Frequent words have a weight of at least 1e-4, so records made
-of nothing else still have full fingerprints. The words broadcast with their weights are those in more
+The words broadcast with their counts, the frequent ones, are those in more
 than 1/5000 of the records, at most 5000 times the mean number of words of a record, whatever the input's size.
 
 Defined results: null text is empty text; records without any word pair with nothing; an id that
@@ -34,12 +38,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from newsloom.functions.text import word_set
 from newsloom.session import stage, table
 
-BLOCKS = 24
 FREQUENT = 5_000
-SHARED = 2  # blocks that a candidate pair must agree in
 THRESHOLD = 0.7
-LEAST_WEIGHT = 1e-4
-LONGEST = 3  # components of a block that holds no rare word; others have two
+SCALE = 1_000_000  # thresholds are whole multiples of 1/SCALE
+LONG = 200  # words from which sets have no blocks of two words
+HOT = 20_000  # records that hold a word, for each salt of its blocks
+SALTS = 64
+SIGNATURES = 4  # of 64 bits each, compared before words are
 CHUNK = 2_000  # records whose words are held at once
 WORD = re.compile(r"[^\W_]+")
 
@@ -47,7 +52,7 @@ WORD = re.compile(r"[^\W_]+")
 class Words:
     """64-bit hashes of the distinct words of texts; hashes of words seen before are kept, at most KEEP of them."""
 
-    KEEP = 1_000_000
+    KEEP = 200_000
 
     def __init__(self) -> None:
         self.seen: dict[str, int] = {}
@@ -69,7 +74,7 @@ class Words:
 
 
 def frequent_words(docs: DataFrame, share: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) and weights of the words that more than 1/share of the records (id, text) hold."""
+    """Hashes (sorted) of the words that more than 1/share of the records (id, text) hold, and how many hold them."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, held, n = Words(), [], 0
@@ -86,9 +91,9 @@ def frequent_words(docs: DataFrame, share: int = FREQUENT) -> tuple[np.ndarray,
     least = max(8, n // share)
     rows = docs.select("text").mapInPandas(count, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") > least).collect()
     h = np.array([r.w for r in rows], dtype=np.int64).view(np.uint64)
-    w = np.array([max(LEAST_WEIGHT, (least / r.n) ** 2 / 2) for r in rows])
+    n = np.array([r.n for r in rows], dtype=np.int64)
     order = np.argsort(h)
-    return h[order], w[order]
+    return h[order], n[order]
 
 
 def _counted(held: list[np.ndarray]) -> pd.DataFrame:
@@ -102,44 +107,94 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def block_keys(values: np.ndarray, starts: np.ndarray, known: np.ndarray, weights: np.ndarray, blocks: int) -> np.ndarray:
-    """(records, blocks) 64-bit block keys; record i's words are values[starts[i]:starts[i + 1]], none of them empty."""
-    inv = np.ones(len(values), dtype=np.float32)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, values), len(known) - 1)
-        hit = known[at] == values
-        inv[hit] = 1 / weights[at[hit]].astype(np.float32)
-    rare = inv <= 2
-    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-    out = np.empty((len(starts) - 1, blocks), dtype=np.uint64)
-    for b in range(blocks):
-        key = np.full(len(starts) - 1, b + 1, dtype=np.uint64)
-        plain = np.ones(len(key), dtype=bool)  # no rare word in the block so far
-        for c in range(LONGEST):
-            h = _mix(values + np.uint64((LONGEST * b + c + 1) * 0x9E3779B97F4A7C15 % 2**64))
-            draw = -np.log(((h >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-24)) * inv
-            # the winner itself, not its draw, is the component; among equal draws the smallest word
-            won = np.where(draw == np.minimum.reduceat(draw, starts[:-1])[row], values, np.uint64(2**64 - 1))
-            win = np.minimum.reduceat(won, starts[:-1])
-            key = _mix(key ^ win) if c < 2 else np.where(plain, _mix(key ^ win), key)
-            if c:
-                plain &= ~first_rare
-            first_rare = np.zeros(len(key), dtype=bool)
-            first_rare[row[(values == win[row]) & rare]] = True
-            if c:
-                plain &= ~first_rare
-                if not plain.any():
-                    break
-        out[:, b] = key
-    return out
-
-
-def fingerprints(docs: DataFrame, blocks: int) -> DataFrame:
-    """id, text -> id, same (hash of the word set), blocks (array of block keys) of every record that has words."""
-    held = docs.sparkSession.sparkContext.broadcast(frequent_words(docs))
+def _pairs_of(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j), i < j, of every two within each run starts[r] ... starts[r] + counts[r] - 1."""
+    first = np.repeat(starts, counts) + _within(counts)
+    after = np.repeat(counts, counts) - _within(counts) - 1
+    i = np.repeat(first, after)
+    return i, i + 1 + _within(after)
+
+
+def _within(counts: np.ndarray) -> np.ndarray:
+    """0 ... n - 1 for each n of counts, one after another."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def cells(values: np.ndarray, starts: np.ndarray, ids: np.ndarray, known: np.ndarray, held: np.ndarray, t: int) -> Iterator[pd.DataFrame]:
+    """block, id, n, room, sig, head of the records; record i's words are values[starts[i]:starts[i + 1]], none of them empty.
+
+    room: 4 times the number of words in and behind the block, and 1 if the smaller set of a pair may have it, 2 if the larger may.
+    head: frequent words before and between the two of a block, by their place in known.
+    """
+    n = np.diff(starts)
+    row = np.repeat(np.arange(len(n)), n)
+    sig = np.bitwise_xor.reduceat(np.uint64(1) << (_mix(values) >> np.uint64(58)), starts[:-1])
+    at = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
+    place = np.where(known[at] == values, at, -1) if len(known) else np.full(len(values), -1)
+    df = np.where(place >= 0, held[place], 0) if len(known) else np.zeros(len(values), dtype=np.int64)
+    order = np.lexsort((values, df, row))
+    values, place, df = values[order], place[order], df[order]
+    pos = np.arange(len(values)) - starts[row]
+    wide, narrow = n + (-t * n // SCALE), n + (-2 * t * n // (SCALE + t))  # words of a larger, a smaller set that need not be shared
+
+    def out(r: np.ndarray, block: np.ndarray, last: np.ndarray, k: int, salts: np.ndarray, head: list) -> pd.DataFrame:
+        """Rows of records r; last: position of the block's last word. The smaller set's salt is its own, the larger has all."""
+        lead = last < narrow[r] + k
+        s = np.where(salts > 1, salts + 1, 1)
+        x, nth = np.repeat(np.arange(len(r)), s), _within(s)
+        many = salts[x] > 1
+        own = many & (nth == salts[x])  # of a salted block, one row is the smaller set's and the others the larger's
+        key = _mix(block[x] ^ _mix(np.where(own, ids[r][x] % salts[x], nth).astype(np.uint64)))
+        room = 4 * (n[r] - last - 1 + k)[x] + (lead[x] & (own | ~many)) + 2 * (~own).astype(np.int64)
+        return pd.DataFrame({
+            "block": key.view(np.int64), "id": ids[r][x], "n": n[r][x].astype(np.int32), "room": room.astype(np.int32), "sig": sig.view(np.int64)[r][x],
+            "head": pd.Series([head[i] for i in x] if head else [[]] * len(x), dtype=object),
+        })
+
+    one = pos <= wide[row]
+    rare = np.flatnonzero(one & (place < 0))
+    yield out(row[rare], values[rare], pos[rare], 1, np.ones(len(rare), dtype=np.int64), [])
+    salt = np.clip(-(-df // HOT), 1, SALTS)
+    alone = np.flatnonzero(one & (place >= 0) & (n[row] * SCALE >= t * LONG))
+    yield out(row[alone], _mix(values[alone] ^ np.uint64(1)), pos[alone], 1, salt[alone], [])
+    two = np.flatnonzero((pos <= wide[row] + 1) & (place >= 0) & (n[row] <= LONG))
+    if len(two):
+        r, at, count = np.unique(row[two], return_index=True, return_counts=True)
+        for c in range(0, len(r), 100):  # records at once
+            i, j = _pairs_of(at[c : c + 100], count[c : c + 100])
+            begin = np.repeat(at[c : c + 100], count[c : c + 100] * (count[c : c + 100] - 1) // 2)
+            places = place[two].astype(np.int32)
+            heads = [np.concatenate([places[b:x], places[x + 1 : y]]) for b, x, y in zip(begin.tolist(), i.tolist(), j.tolist())]
+            i, j = two[i], two[j]
+            yield out(row[i], _mix(_mix(values[i] ^ np.uint64(2)) ^ values[j]), pos[j], 2, salt[i], heads)
+
+
+def _word_sets(docs: DataFrame) -> DataFrame:
+    """id, text -> id, same (hash of the word set), n, s0 ... (parity signatures) of every record that has words."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = Words()
+        for pdf in batches:
+            for at in range(0, len(pdf), CHUNK):
+                part = pdf.iloc[at : at + CHUNK]
+                values, starts = words.values(part["text"].tolist())
+                some = np.diff(starts) > 0
+                if some.any():
+                    n, starts = np.diff(starts)[some], starts[:-1][some]
+                    same = _mix(np.add.reduceat(_mix(values), starts) ^ np.bitwise_xor.reduceat(_mix(values + np.uint64(1)), starts))
+                    bit = (_mix(values + np.uint64(2)) >> np.uint64(32)) % np.uint64(64 * SIGNATURES)
+                    sig = {f"s{k}": np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), starts).view(np.int64) for k in range(SIGNATURES)}
+                    yield pd.DataFrame({"id": part["id"][some], "same": same.view(np.int64), "n": n.astype(np.int32), **sig})
+
+    return docs.mapInPandas(run, "id bigint, same bigint, n int" + "".join(f", s{k} bigint" for k in range(SIGNATURES)))
+
+
+def candidate_cells(docs: DataFrame, t: int) -> DataFrame:
+    """id, text -> the records' blocks (see cells)."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_words(docs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, weights = held.value
+        known, held = frequent.value
         words = Words()
         for pdf in batches:
             for at in range(0, len(pdf), CHUNK):
@@ -147,40 +202,43 @@ def fingerprints(docs: DataFrame, blocks: int) -> DataFrame:
                 values, starts = words.values(part["text"].tolist())
                 some = np.diff(starts) > 0
                 if some.any():
-                    starts = np.append(starts[:-1][some], starts[-1])
-                    keys = block_keys(values, starts, known, weights, blocks)
-                    # the block's number in front, then 40 bits of its key
-                    keys = (keys >> np.uint64(24)) | (np.arange(blocks, dtype=np.uint64) << np.uint64(40))
-                    same = _mix(np.add.reduceat(_mix(values), starts[:-1]) ^ np.bitwise_xor.reduceat(_mix(values + np.uint64(1)), starts[:-1]))
-                    yield pd.DataFrame({"id": part["id"][some], "same": same.view(np.int64), "blocks": list(keys.view(np.int64))})
+                    yield from cells(values, np.append(starts[:-1][some], starts[-1]), part["id"].to_numpy()[some], known, held, t)
 
-    return docs.mapInPandas(run, "id bigint, same bigint, blocks array<bigint>")
+    return docs.mapInPandas(run, "block bigint, id bigint, n int, room int, sig bigint, head array<int>")
 
 
-def near_pairs(df: DataFrame, row_id: str, text: Column, threshold: float = THRESHOLD, blocks: int = BLOCKS) -> tuple[DataFrame, DataFrame]:
+def near_pairs(df: DataFrame, row_id: str, text: Column, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(pairs of representatives: a, b, overlap with a < b; membership: id, rep). rep is the smallest id with the same word set."""
+    t = round(threshold * SCALE)
     docs = df.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("bigint").alias("id"), text.alias("text"))
-    prints = stage(fingerprints(docs, blocks), "p7-prints")
-    reps = prints.groupBy("same").agg(F.min_by("blocks", "id").alias("blocks"), F.min("id").alias("rep"))
-    cells = reps.select(F.explode("blocks").alias("block"), "rep")
-    near = cells.alias("x").join(cells.alias("y"), (F.col("x.block") == F.col("y.block")) & (F.col("x.rep") < F.col("y.rep"))).groupBy(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    # the fingerprints' distance in blocks comes first, the distance of the word sets after it
-    near = stage(near.where(F.col("n") >= SHARED).select("a", "b"), "p7-near")
+    prints = stage(_word_sets(docs), "p7-prints")
+    reps = prints.groupBy("same").agg(F.min("id").alias("id")).select("id").distinct()
+    block = candidate_cells(docs.join(reps, "id", "left_semi"), t)
+    x, y = block.alias("x"), block.alias("y")
+    # conditions name both sides, so that both read one exchange
+    smaller = F.expr("x.id != y.id and (x.n < y.n or x.n = y.n and x.id < y.id)")
+    room = F.expr(f"{t}L * y.n <= {SCALE}L * x.n and (x.room & shiftright(y.room, 1) & 1) = 1 and {SCALE + t}L * shiftright(least(x.room, y.room), 2) >= {t}L * (x.n + y.n)")
+    close = F.expr(f"{SCALE + t}L * bit_count(x.sig ^ y.sig) <= {SCALE - t}L * (x.n + y.n) and not arrays_overlap(x.head, y.head)")
+    near = x.join(y, F.expr("x.block = y.block") & smaller & room & close).select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
+    # longer signatures next: they leave hardly any pair whose words differ by more; an id with several word sets passes with any of them
+    sig = [f"s{k}" for k in range(SIGNATURES)]
+    side = lambda c: prints.select(F.col("id").alias(c), "n", *sig).withColumnsRenamed({k: f"{c}_{k}" for k in ("n", *sig)})
+    differ = " + ".join(f"bit_count(a_{k} ^ b_{k})" for k in sig)
+    near = near.join(side("a"), "a").join(side("b"), "b").where(f"{SCALE + t}L * ({differ}) <= {SCALE - t}L * (a_n + b_n)").select("a", "b").distinct()
+    near = stage(near, "p7-near")
     ends = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
     sets = stage(docs.join(ends, "id", "left_semi").select("id", word_set(F.col("text")).alias("words")), "p7-sets")
     both = near.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     both = both.withColumn("total", F.size("wa") + F.size("wb")).withColumn("distance", F.col("total") - 2 * F.size(F.array_intersect("wa", "wb"))).drop("wa", "wb")
     # overlap shared / (total - shared) >= t, as the Hamming distance of the sets, total - 2 shared
-    scale = 1_000_000
-    t = round(threshold * scale)
-    pairs = both.where((scale + t) * F.col("distance") <= (scale - t) * F.col("total")).select("a", "b", ((F.col("total") - F.col("distance")) / (F.col("total") + F.col("distance"))).alias("overlap"))
+    pairs = both.where((SCALE + t) * F.col("distance") <= (SCALE - t) * F.col("total")).select("a", "b", ((F.col("total") - F.col("distance")) / (F.col("total") + F.col("distance"))).alias("overlap"))
     members = prints.select("id", "same").join(prints.groupBy("same").agg(F.min("id").alias("rep")), "same").select("id", "rep").distinct()
     return pairs, members
 
 
-def near_duplicates(df: DataFrame, row_id: str, text: Column, threshold: float = THRESHOLD, blocks: int = BLOCKS) -> DataFrame:
+def near_duplicates(df: DataFrame, row_id: str, text: Column, threshold: float = THRESHOLD) -> DataFrame:
     """id_a, id_b of all pairs of rows that overlap by at least the threshold, exact copies included."""
-    pairs, members = near_pairs(df, row_id, text, threshold, blocks)
+    pairs, members = near_pairs(df, row_id, text, threshold)
     left, right = members.select(F.col("rep").alias("a"), F.col("id").alias("i")), members.select(F.col("rep").alias("b"), F.col("id").alias("j"))
     across = pairs.select("a", "b").join(left, "a").join(right, "b").select("i", "j")
     twice = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rep")

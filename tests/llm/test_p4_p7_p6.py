@@ -68,6 +68,29 @@ def test_near_pairs_equal_brute_force(spark):
     assert neardup.near_duplicates(df.limit(0), "id", F.col("t")).count() == 0
 
 
+def test_family_of_near_copies_loses_no_pair(spark, monkeypatch):
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    base = [f"c{i}" for i in range(40)]
+    rows = []
+    for i in range(150):
+        w = base[:]
+        for k in rnd.sample(range(40), rnd.randint(1, 2)):
+            w[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(rnd.sample(words, 30))) for i in range(300)]
+    for i in range(30):  # sets on both sides of LONG
+        w = [f"l{k}" for k in range(210 if i % 2 else 195)]
+        rows.append((5000 + i, " ".join(w[i:] + [f"z{i}"])))
+    sets = {i: set(t.split()) for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 7 * len(sets[a] | sets[b])}
+    df = spark.createDataFrame(rows, "id long, t string")
+    for hot in (20_000, 40):  # without salts and with them
+        monkeypatch.setattr(neardup, "HOT", hot, raising=False)
+        got = [(r.id_a, r.id_b) for r in neardup.near_duplicates(df, "id", F.col("t")).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_hot_group_of_copies(spark):
     rows = [(i, "one and the same text of nine words here") for i in range(40)] + [(100 + i, f"other text number {i} with words q{i} r{i} s{i}") for i in range(60)]
     assert neardup.near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", F.col("t")).count() == 40 * 39 // 2
