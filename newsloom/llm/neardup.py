@@ -1,25 +1,25 @@
-"""Problem 7: near-duplicate records, found exactly by the rarest words of their sets.
+"""Problem 7: near-duplicate records, found exactly by pigeonhole blocks of their word-set fingerprints.
 
-A record is the set of its words in one order for all records: words in few records first. Two sets that overlap by t share
-at least s = t / (1 + t) * (|A| + |B|) words, and their k-th shared word is among the first |A| - s + k words of A and
-|B| - s + k of B. As s is at least 2 t / (1 + t) |A| for the smaller set and t |B| for the larger, records are joined on
+A record's fingerprint is the set of its words' hashes, cut into blocks in one order for all records: words in few records first.
+Two sets that overlap by t differ in at most d = (1 - t) / (1 + t) * (|A| + |B|) words, so by the pigeonhole
+principle the first d + 1 words of either cannot all be missing from the other. The smaller set shares at least s = 2 t / (1 + t) |A|
+words, the larger t |B|, and the k-th shared word is among the first |A| - s + k and |B| - s + k. So records are joined on
 
-* each rare word among those first words (k = 1),
-* every two frequent words among them (k = 2), for sets of at most LONG words; the pair counts only where
-  no earlier frequent word is shared, so a family of near copies, whose shared words are all frequent, gives each pair once,
-* each frequent word, for pairs with a set of more than LONG words.
+* each of those first words (k = 1) that at most RARE records hold,
+* every two of the words beyond (k = 2), for sets of at most LONG words,
+* each of the words beyond, for pairs with a set of more than LONG words.
 
-So the first one or two shared words of every pair are a block of both, and no pair is lost. Blocks of words that very many records
-hold are salted. Within a block a pair is dropped if its sizes, the words left after the block, or the
-distance of 64-bit parity signatures (at most the sets' own distance) rule the overlap out. Every candidate is verified by the
-exact Hamming distance of the two word sets:
+The first one or two shared words of every pair are a block of both, so no pair is lost. A block of one word has at most RARE
+records whatever the input's size; blocks of commoner words are salted. Within a block a pair is dropped
+if its sizes, the words left after the block, or the distance of 64-bit parity signatures (at most the sets' own distance) rule the
+overlap out. Longer signatures follow, and every candidate left is verified by the exact Hamming distance of the two word sets:
 overlap >= t  <=>  distance <= (1 - t) / (1 + t) * (|A| + |B|).
 
-Identical word sets collapse to one representative before the blocks are made, so a hot group of copies
-costs one record; copies are put back at the end, pair by pair only where the caller asks for pairs.
+The order needs no exact frequencies, only the same for all records: they are counted in a sketch of SKETCH counters,
+one pass over all records, which is what is broadcast (4 MB, whatever the input's size).
 
-The words broadcast with their counts, the frequent ones, are those in more
-than 1/5000 of the records, at most 5000 times the mean number of words of a record, whatever the input's size.
+Identical word sets are one record from the start (named by the hash of the set), so a hot group of copies
+costs one record; copies are put back at the end, pair by pair only where the caller asks for pairs.
 
 Defined results: null text is empty text; records without any word pair with nothing; an id that
 occurs in several rows counts as one record per distinct word set; empty tables give no pair.
@@ -36,16 +36,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from newsloom.functions.text import word_set
-from newsloom.session import stage, table
+from newsloom.session import broadcast_if_small, stage, table
 
-FREQUENT = 5_000
 THRESHOLD = 0.7
 SCALE = 1_000_000  # thresholds are whole multiples of 1/SCALE
+RARE = 5_000  # records that hold a word which is a block of its own
+SKETCH = 1 << 20  # counters of words, 4 MB
+PIECE = 1 << 14  # counters summed in one row
 LONG = 200  # words from which sets have no blocks of two words
 HOT = 20_000  # records that hold a word, for each salt of its blocks
 SALTS = 64
 SIGNATURES = 4  # of 64 bits each, compared before words are
 CHUNK = 2_000  # records whose words are held at once
+SMALL = 500_000  # ids of verified records that are broadcast (4 MB); more are joined by a shuffle
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -72,33 +75,15 @@ class Words:
                 out.append(h)
         return np.array(out, dtype=np.uint64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
-
-def frequent_words(docs: DataFrame, share: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes (sorted) of the words that more than 1/share of the records (id, text) hold, and how many hold them."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, held, n = Words(), [], 0
+    def records(self, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, words, starts) of the records that have words, at most CHUNK at a time."""
         for pdf in batches:
-            held.append(words.values(pdf["text"].tolist())[0])
-            n += len(held[-1])
-            if n > 2_000_000:
-                yield _counted(held)
-                held, n = [], 0
-        if n:
-            yield _counted(held)
-
-    n = max(1, docs.count())
-    least = max(8, n // share)
-    rows = docs.select("text").mapInPandas(count, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") > least).collect()
-    h = np.array([r.w for r in rows], dtype=np.int64).view(np.uint64)
-    n = np.array([r.n for r in rows], dtype=np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
-def _counted(held: list[np.ndarray]) -> pd.DataFrame:
-    w, n = np.unique(np.concatenate(held), return_counts=True)
-    return pd.DataFrame({"w": w.view(np.int64), "n": n})
+            for at in range(0, len(pdf), CHUNK):
+                part = pdf.iloc[at : at + CHUNK]
+                values, starts = self.values(part["text"].tolist())
+                some = np.diff(starts) > 0
+                if some.any():
+                    yield part["id"].to_numpy()[some], values, np.append(starts[:-1][some], starts[-1])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -107,6 +92,11 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _set_hash(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    at = starts[:-1]
+    return _mix(np.add.reduceat(_mix(values), at) ^ np.bitwise_xor.reduceat(_mix(values + np.uint64(1)), at)).view(np.int64)
+
+
 def _pairs_of(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j), i < j, of every two within each run starts[r] ... starts[r] + counts[r] - 1."""
     first = np.repeat(starts, counts) + _within(counts)
@@ -120,119 +110,123 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def cells(values: np.ndarray, starts: np.ndarray, ids: np.ndarray, known: np.ndarray, held: np.ndarray, t: int) -> Iterator[pd.DataFrame]:
-    """block, id, n, room, sig, head of the records; record i's words are values[starts[i]:starts[i + 1]], none of them empty.
+def prints(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(id, same (hash of the word set), n, s0 ... (parity signatures) of every record (id, text) that has words; the sketch of word counts)."""
+    sig = [f"s{k}" for k in range(SIGNATURES)]
 
-    room: 4 times the number of words in and behind the block, and 1 if the smaller set of a pair may have it, 2 if the larger may.
-    head: frequent words before and between the two of a block, by their place in known.
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(SKETCH, dtype=np.int64)
+        for ids, values, starts in Words().records(batches):
+            counts += np.bincount((values & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            bit = (_mix(values + np.uint64(2)) >> np.uint64(32)) % np.uint64(64 * SIGNATURES)
+            of = lambda k: np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), starts[:-1]).view(np.int64)
+            yield pd.DataFrame({"id": ids, "same": _set_hash(values, starts), "n": np.diff(starts).astype(np.int32), **{s: of(k) for k, s in enumerate(sig)}, "counts": None})
+        for at in range(0, SKETCH, PIECE):
+            if counts[at : at + PIECE].any():
+                yield pd.DataFrame({"id": [at // PIECE], "same": 0, "n": np.array([0], dtype=np.int32), **dict.fromkeys(sig, 0), "counts": [np.minimum(counts[at : at + PIECE], 0x7FFFFFFF).astype(np.int32).tobytes()]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(b, dtype=np.int32).astype(np.int64) for b in pdf["counts"])
+        return pd.DataFrame({"id": pdf["id"].iloc[:1], "counts": [np.minimum(total, 0x7FFFFFFF).astype(np.int32).tobytes()]})
+
+    both = stage(docs.mapInPandas(run, "id bigint, same bigint, n int" + "".join(f", {s} bigint" for s in sig) + ", counts binary"), "p7-prints")
+    counts = np.zeros(SKETCH, dtype=np.int32)
+    for r in both.where("n = 0").select("id", "counts").groupBy("id").applyInPandas(add, "id bigint, counts binary").collect():  # SKETCH / PIECE rows
+        counts[r.id * PIECE : (r.id + 1) * PIECE] = np.frombuffer(r.counts, dtype=np.int32)
+    return both.where("n > 0").drop("counts"), counts
+
+
+def cells(values: np.ndarray, starts: np.ndarray, same: np.ndarray, counts: np.ndarray, t: int) -> Iterator[pd.DataFrame]:
+    """block, same, size, sig of the records' blocks; record i's words are values[starts[i]:starts[i + 1]], none of them empty.
+
+    size: number of words << 32, words in and behind the block << 2, and 1 if the smaller set of a pair may have it, 2 if the larger may.
     """
     n = np.diff(starts)
     row = np.repeat(np.arange(len(n)), n)
-    sig = np.bitwise_xor.reduceat(np.uint64(1) << (_mix(values) >> np.uint64(58)), starts[:-1])
-    at = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
-    place = np.where(known[at] == values, at, -1) if len(known) else np.full(len(values), -1)
-    df = np.where(place >= 0, held[place], 0) if len(known) else np.zeros(len(values), dtype=np.int64)
-    order = np.lexsort((values, df, row))
-    values, place, df = values[order], place[order], df[order]
+    sig = np.bitwise_xor.reduceat(np.uint64(1) << (_mix(values) >> np.uint64(58)), starts[:-1]).view(np.int64)
+    held = counts[(values & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64)
+    order = np.lexsort((values, (row << 32) | held))
+    values, held = values[order], held[order]
     pos = np.arange(len(values)) - starts[row]
     wide, narrow = n + (-t * n // SCALE), n + (-2 * t * n // (SCALE + t))  # words of a larger, a smaller set that need not be shared
 
-    def out(r: np.ndarray, block: np.ndarray, last: np.ndarray, k: int, salts: np.ndarray, head: list) -> pd.DataFrame:
+    def out(r: np.ndarray, block: np.ndarray, last: np.ndarray, k: int, salts: np.ndarray) -> pd.DataFrame:
         """Rows of records r; last: position of the block's last word. The smaller set's salt is its own, the larger has all."""
         lead = last < narrow[r] + k
+        if (salts == 1).all():
+            return pd.DataFrame({"block": block.view(np.int64), "same": same[r], "size": (n[r] << 32) + ((n[r] - last - 1 + k) << 2) + lead + 2, "sig": sig[r]})
         s = np.where(salts > 1, salts + 1, 1)
         x, nth = np.repeat(np.arange(len(r)), s), _within(s)
         many = salts[x] > 1
         own = many & (nth == salts[x])  # of a salted block, one row is the smaller set's and the others the larger's
-        key = _mix(block[x] ^ _mix(np.where(own, ids[r][x] % salts[x], nth).astype(np.uint64)))
-        room = 4 * (n[r] - last - 1 + k)[x] + (lead[x] & (own | ~many)) + 2 * (~own).astype(np.int64)
-        return pd.DataFrame({
-            "block": key.view(np.int64), "id": ids[r][x], "n": n[r][x].astype(np.int32), "room": room.astype(np.int32), "sig": sig.view(np.int64)[r][x],
-            "head": pd.Series([head[i] for i in x] if head else [[]] * len(x), dtype=object),
-        })
-
-    one = pos <= wide[row]
-    rare = np.flatnonzero(one & (place < 0))
-    yield out(row[rare], values[rare], pos[rare], 1, np.ones(len(rare), dtype=np.int64), [])
-    salt = np.clip(-(-df // HOT), 1, SALTS)
-    alone = np.flatnonzero(one & (place >= 0) & (n[row] * SCALE >= t * LONG))
-    yield out(row[alone], _mix(values[alone] ^ np.uint64(1)), pos[alone], 1, salt[alone], [])
-    two = np.flatnonzero((pos <= wide[row] + 1) & (place >= 0) & (n[row] <= LONG))
+        key = _mix(block[x] ^ _mix(np.where(own, same[r][x] % salts[x], nth).astype(np.uint64)))
+        size = (n[r][x] << 32) + ((n[r] - last - 1 + k)[x] << 2) + (lead[x] & (own | ~many)) + 2 * ~own
+        return pd.DataFrame({"block": key.view(np.int64), "same": same[r][x], "size": size, "sig": sig[r][x]})
+
+    one, rare = pos <= wide[row], held <= RARE
+    x = np.flatnonzero(one & rare)
+    yield out(row[x], values[x], pos[x], 1, np.ones(len(x), dtype=np.int64))
+    salt = np.clip(-(-held // HOT), 1, SALTS)
+    # blocks of one common word: long sets, and sets so small that a pair may share a single word
+    x = np.flatnonzero(one & ~rare & ((n[row] * SCALE >= t * LONG) | (n[row] <= SCALE // t) & (SCALE // t > 1)))
+    yield out(row[x], _mix(values[x] ^ np.uint64(1)), pos[x], 1, salt[x])
+    two = np.flatnonzero((pos <= wide[row] + 1) & ~rare & (n[row] <= LONG))
     if len(two):
         r, at, count = np.unique(row[two], return_index=True, return_counts=True)
-        for c in range(0, len(r), 100):  # records at once
-            i, j = _pairs_of(at[c : c + 100], count[c : c + 100])
-            begin = np.repeat(at[c : c + 100], count[c : c + 100] * (count[c : c + 100] - 1) // 2)
-            places = place[two].astype(np.int32)
-            heads = [np.concatenate([places[b:x], places[x + 1 : y]]) for b, x, y in zip(begin.tolist(), i.tolist(), j.tolist())]
+        for c in range(0, len(r), 200):  # records at once
+            i, j = _pairs_of(at[c : c + 200], count[c : c + 200])
             i, j = two[i], two[j]
-            yield out(row[i], _mix(_mix(values[i] ^ np.uint64(2)) ^ values[j]), pos[j], 2, salt[i], heads)
-
-
-def _word_sets(docs: DataFrame) -> DataFrame:
-    """id, text -> id, same (hash of the word set), n, s0 ... (parity signatures) of every record that has words."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words()
-        for pdf in batches:
-            for at in range(0, len(pdf), CHUNK):
-                part = pdf.iloc[at : at + CHUNK]
-                values, starts = words.values(part["text"].tolist())
-                some = np.diff(starts) > 0
-                if some.any():
-                    n, starts = np.diff(starts)[some], starts[:-1][some]
-                    same = _mix(np.add.reduceat(_mix(values), starts) ^ np.bitwise_xor.reduceat(_mix(values + np.uint64(1)), starts))
-                    bit = (_mix(values + np.uint64(2)) >> np.uint64(32)) % np.uint64(64 * SIGNATURES)
-                    sig = {f"s{k}": np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), starts).view(np.int64) for k in range(SIGNATURES)}
-                    yield pd.DataFrame({"id": part["id"][some], "same": same.view(np.int64), "n": n.astype(np.int32), **sig})
+            yield out(row[i], _mix(_mix(values[i] ^ np.uint64(2)) ^ values[j]), pos[j], 2, salt[i])
 
-    return docs.mapInPandas(run, "id bigint, same bigint, n int" + "".join(f", s{k} bigint" for k in range(SIGNATURES)))
 
-
-def candidate_cells(docs: DataFrame, t: int) -> DataFrame:
-    """id, text -> the records' blocks (see cells)."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_words(docs))
+def candidate_cells(docs: DataFrame, counts: np.ndarray, t: int) -> DataFrame:
+    """id, text -> the records' blocks (see cells), those of equal word sets once in each task."""
+    sketch = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, held = frequent.value
-        words = Words()
-        for pdf in batches:
-            for at in range(0, len(pdf), CHUNK):
-                part = pdf.iloc[at : at + CHUNK]
-                values, starts = words.values(part["text"].tolist())
-                some = np.diff(starts) > 0
-                if some.any():
-                    yield from cells(values, np.append(starts[:-1][some], starts[-1]), part["id"].to_numpy()[some], known, held, t)
-
-    return docs.mapInPandas(run, "block bigint, id bigint, n int, room int, sig bigint, head array<int>")
+        seen: set[int] = set()
+        for _, values, starts in Words().records(batches):
+            same = _set_hash(values, starts)
+            first = np.zeros(len(same), dtype=bool)
+            first[np.unique(same, return_index=True)[1]] = True
+            first &= np.fromiter((h not in seen for h in same.tolist()), bool, len(same))
+            if len(seen) > 500_000:
+                seen.clear()
+            seen.update(same[first].tolist())
+            if first.any():
+                n = np.diff(starts)
+                yield from cells(values[np.repeat(first, n)], np.concatenate([[0], np.cumsum(n[first])]), same[first], sketch.value, t)
+
+    return docs.mapInPandas(run, "block bigint, same bigint, size bigint, sig bigint")
 
 
 def near_pairs(df: DataFrame, row_id: str, text: Column, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(pairs of representatives: a, b, overlap with a < b; membership: id, rep). rep is the smallest id with the same word set."""
     t = round(threshold * SCALE)
     docs = df.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("bigint").alias("id"), text.alias("text"))
-    prints = stage(_word_sets(docs), "p7-prints")
-    reps = prints.groupBy("same").agg(F.min("id").alias("id")).select("id").distinct()
-    block = candidate_cells(docs.join(reps, "id", "left_semi"), t)
+    known, counts = prints(docs)
+    block = candidate_cells(docs, counts, t)
     x, y = block.alias("x"), block.alias("y")
     # conditions name both sides, so that both read one exchange
-    smaller = F.expr("x.id != y.id and (x.n < y.n or x.n = y.n and x.id < y.id)")
-    room = F.expr(f"{t}L * y.n <= {SCALE}L * x.n and (x.room & shiftright(y.room, 1) & 1) = 1 and {SCALE + t}L * shiftright(least(x.room, y.room), 2) >= {t}L * (x.n + y.n)")
-    close = F.expr(f"{SCALE + t}L * bit_count(x.sig ^ y.sig) <= {SCALE - t}L * (x.n + y.n) and not arrays_overlap(x.head, y.head)")
-    near = x.join(y, F.expr("x.block = y.block") & smaller & room & close).select(F.expr("least(x.id, y.id)").alias("a"), F.expr("greatest(x.id, y.id)").alias("b")).distinct()
-    # longer signatures next: they leave hardly any pair whose words differ by more; an id with several word sets passes with any of them
+    n, room = (lambda c: f"shiftright({c}.size, 32)"), (lambda c: f"(shiftright({c}.size, 2) & 1073741823)")
+    smaller = f"(x.size & shiftright(y.size, 1) & 1) = 1 and x.same != y.same and ({n('x')} < {n('y')} or {n('x')} = {n('y')} and x.same < y.same)"
+    close = f"{SCALE + t}L * bit_count(x.sig ^ y.sig) <= {SCALE - t}L * ({n('x')} + {n('y')}) and {t}L * {n('y')} <= {SCALE}L * {n('x')} and {SCALE + t}L * least({room('x')}, {room('y')}) >= {t}L * ({n('x')} + {n('y')})"
+    near = x.join(y, F.expr(f"x.block = y.block and {smaller} and {close}")).select(F.expr("least(x.same, y.same)").alias("a"), F.expr("greatest(x.same, y.same)").alias("b")).distinct()
+    # longer signatures next: they leave hardly any pair whose words differ by more
     sig = [f"s{k}" for k in range(SIGNATURES)]
-    side = lambda c: prints.select(F.col("id").alias(c), "n", *sig).withColumnsRenamed({k: f"{c}_{k}" for k in ("n", *sig)})
+    sets = known.groupBy("same").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", *sig)])
+    side = lambda c: sets.withColumnsRenamed({"same": c} | {k: f"{c}_{k}" for k in ("id", "n", *sig)})
     differ = " + ".join(f"bit_count(a_{k} ^ b_{k})" for k in sig)
-    near = near.join(side("a"), "a").join(side("b"), "b").where(f"{SCALE + t}L * ({differ}) <= {SCALE - t}L * (a_n + b_n)").select("a", "b").distinct()
+    near = near.join(side("a"), "a").join(side("b"), "b").where(f"{SCALE + t}L * ({differ}) <= {SCALE - t}L * (a_n + b_n)").where("a_id != b_id").select("a_id", "b_id").distinct()
     near = stage(near, "p7-near")
-    ends = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    sets = stage(docs.join(ends, "id", "left_semi").select("id", word_set(F.col("text")).alias("words")), "p7-sets")
-    both = near.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
+    ends = near.select(F.col("a_id").alias("id")).union(near.select(F.col("b_id").alias("id"))).distinct()
+    # an id with several word sets is verified by each of them
+    words = stage(docs.join(broadcast_if_small(ends, SMALL), "id", "left_semi").select("id", word_set(F.col("text")).alias("words")), "p7-sets")
+    both = near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).join(words.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     both = both.withColumn("total", F.size("wa") + F.size("wb")).withColumn("distance", F.col("total") - 2 * F.size(F.array_intersect("wa", "wb"))).drop("wa", "wb")
     # overlap shared / (total - shared) >= t, as the Hamming distance of the sets, total - 2 shared
-    pairs = both.where((SCALE + t) * F.col("distance") <= (SCALE - t) * F.col("total")).select("a", "b", ((F.col("total") - F.col("distance")) / (F.col("total") + F.col("distance"))).alias("overlap"))
-    members = prints.select("id", "same").join(prints.groupBy("same").agg(F.min("id").alias("rep")), "same").select("id", "rep").distinct()
+    pairs = both.where((SCALE + t) * F.col("distance") <= (SCALE - t) * F.col("total")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), ((F.col("total") - F.col("distance")) / (F.col("total") + F.col("distance"))).alias("overlap"))
+    members = known.select("id", "same").join(sets.select("same", F.col("id").alias("rep")), "same").select("id", "rep").distinct()
     return pairs, members
 
 
@@ -257,7 +251,42 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return feed.select(F.lit("article_feed").alias("rec_type"), "id_a", "id_b").unionAll(events.select(F.lit("news_events").alias("rec_type"), "id_a", "id_b"))
 
 
-QUERIES = {"p7_found": p7_found}
+def groups(df: DataFrame, row_id: str, text: Column, threshold: float = THRESHOLD) -> DataFrame:
+    """id, class_id of every record: the smallest id it reaches over near pairs and equal word sets (its own if it has no partner)."""
+    pairs, members = near_pairs(df, row_id, text, threshold)
+    found = components(pairs.select("a", "b"))
+    ids = df.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("bigint").alias("id")).distinct()
+    # an id with several word sets ties their classes together
+    ties = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", "b")
+    if ties.limit(1).count():
+        found = components(pairs.select("a", "b").unionAll(ties))
+    of = members.groupBy("id").agg(F.min("rep").alias("rep")).join(found.select(F.col("id").alias("rep"), "root"), "rep", "left").select("id", F.coalesce("root", "rep").alias("class_id"))
+    return ids.join(of, "id", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """id, root (smallest id of its component) of every end of the pairs (a, b): labels take the smallest of their neighbours' and then their label's label, until nothing changes."""
+    edges = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edges = stage(edges, "p7-edges")
+    label = stage(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "p7-label")
+    while True:
+        near = edges.join(label.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
+        low = label.join(near, "id").select("id", F.least("root", "near").alias("low"), "root")
+        top = low.join(label.select(F.col("id").alias("low"), F.col("root").alias("top")), "low").select("id", F.least("low", "top").alias("root"), (F.least("low", "top") < F.col("root")).alias("moved"))
+        new = stage(top, "p7-label")
+        label = new.select("id", "root")
+        if not new.where("moved").limit(1).count():
+            return label
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every row of both tables with the class of near copies it belongs to."""
+    feed = groups(table(spark, d, "article_feed").select("feed_pos", "title", "summary"), "feed_pos", feed_text())
+    events = groups(table(spark, d, "news_events").select("event_no", "headline"), "event_no", F.col("headline"))
+    return feed.select(F.lit("article_feed").alias("rec_type"), F.col("id").alias("rec_id"), "class_id").unionAll(events.select(F.lit("news_events").alias("rec_type"), F.col("id").alias("rec_id"), "class_id"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_groups": p7_groups}
 
 
 def overlap_pairs(rows: str, name: str) -> str:
@@ -275,4 +304,10 @@ _FEED, _EVENTS = "SELECT feed_pos AS k, concat_ws(' ', title, summary) AS t FROM
 SQL = {
     "p7_found": f"""WITH {overlap_pairs(_FEED, 'feed')}, {overlap_pairs(_EVENTS, 'evt')}
   SELECT 'article_feed' AS rec_type, x AS id_a, y AS id_b FROM feed UNION ALL SELECT 'news_events', x, y FROM evt""",
+    "p7_groups": f"""WITH RECURSIVE {overlap_pairs(_FEED, 'feed')}, {overlap_pairs(_EVENTS, 'evt')},
+  fe AS (SELECT x AS a, y AS b FROM feed UNION SELECT y, x FROM feed), ee AS (SELECT x AS a, y AS b FROM evt UNION SELECT y, x FROM evt),
+  fr(id, seen) AS (SELECT a, b FROM fe UNION SELECT r.id, e.b FROM fr r JOIN fe e ON e.a = r.seen), er(id, seen) AS (SELECT a, b FROM ee UNION SELECT r.id, e.b FROM er r JOIN ee e ON e.a = r.seen),
+  fc AS (SELECT id, min(seen) AS c FROM fr GROUP BY id), ec AS (SELECT id, min(seen) AS c FROM er GROUP BY id)
+  SELECT 'article_feed' AS rec_type, feed_pos AS rec_id, least(coalesce(c, feed_pos), feed_pos) AS class_id FROM article_feed LEFT JOIN fc ON fc.id = feed_pos
+  UNION ALL SELECT 'news_events', event_no, least(coalesce(c, event_no), event_no) FROM news_events LEFT JOIN ec ON ec.id = event_no""",
 }

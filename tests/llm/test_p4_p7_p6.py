@@ -63,8 +63,13 @@ def test_near_pairs_equal_brute_force(spark):
     sets = {i: set(re.findall(r"[^\W_]+", (t or "").lower())) for i, t in rows}
     want = {(a, b) for a in sets for b in sets if a < b and sets[a] and 10 * len(sets[a] & sets[b]) >= 7 * len(sets[a] | sets[b])}
     got = [(r.id_a, r.id_b) for r in neardup.near_duplicates(df, "id", F.col("t")).collect()]
-    assert len(got) == len(set(got)) and set(got) <= want
-    assert len(set(got)) >= 0.995 * len(want)
+    assert len(got) == len(set(got)) and set(got) == want
+    up = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b in want:
+            up[a] = up[b] = min(up[a], up[b])
+    assert {r.id: r.class_id for r in neardup.groups(df, "id", F.col("t")).collect()} == up
+    assert neardup.groups(df.limit(0), "id", F.col("t")).count() == 0
     assert neardup.near_duplicates(df.limit(0), "id", F.col("t")).count() == 0
 
 
@@ -85,8 +90,9 @@ def test_family_of_near_copies_loses_no_pair(spark, monkeypatch):
     sets = {i: set(t.split()) for i, t in rows}
     want = {(a, b) for a in sets for b in sets if a < b and 10 * len(sets[a] & sets[b]) >= 7 * len(sets[a] | sets[b])}
     df = spark.createDataFrame(rows, "id long, t string")
-    for hot in (20_000, 40):  # without salts and with them
-        monkeypatch.setattr(neardup, "HOT", hot, raising=False)
+    for rare, hot in ((5_000, 20_000), (20, 20_000), (20, 40)):  # blocks of one word, of two, and salted ones
+        monkeypatch.setattr(neardup, "RARE", rare)
+        monkeypatch.setattr(neardup, "HOT", hot)
         got = [(r.id_a, r.id_b) for r in neardup.near_duplicates(df, "id", F.col("t")).collect()]
         assert len(got) == len(set(got)) and set(got) == want
 
