@@ -1,18 +1,22 @@
-"""Problem 6: new batches held against all accepted history, without reading the history again.
+"""Problem 6: new batches held against all accepted history by immutable suffix arrays, without indexing the history again.
 
-A record's words are put in order, rarest first (order frozen when the store is made; words it did not know
-count as rarest). Two records that overlap by 0.7 share three of their first n - ceil(0.7 n) + 3 words: one rare word
-and another, or three frequent ones. So a record's text holds, side by side, every two of these words of which one is
-rare and every three frequent ones, after a word for the page its url leads to. Every batch becomes an
-immutable segment in the shared folder: a suffix array over the concatenated texts, sorted by the words each
-suffix begins with and cut into shards by them, as plain binary arrays.
+A record's text is its distinct words, rarest first; the order comes from a sketch of the history's word counts that is frozen when
+the store is made (words it did not know count as rarest). Repeats are defined on word sets, so this order, not the
+order of reading, makes shared words stand together. Two records of n and m words that overlap by 0.7 share one of the first
+p = n - ceil(0.7 n) + 1 words of either, so suffixes are kept of these words, each with the words that follow it there
+(BLOCK at most) and the one before. A page that a url leads to is a text of one word.
 
-Looking up a batch sends its substrings of two and three words to their shards, binary-searches every live
-segment, adds up the matches of each record (coverage) and verifies the exact overlap. Segments are merged like the digits of a
-binary counter, so a lookup reads O(log batches) of them and each suffix is rewritten O(log batches) times.
+Every batch becomes an immutable segment: the suffixes of its concatenated texts in sorted order, cut by range into shards of
+about SHARD suffixes (a hot beginning spreads over as many shards as it fills), stored as plain arrays. A lookup sends each of the batch's substrings to the
+shards of all live segments whose range holds its first word, binary-searches them, extends each match that cannot be
+extended to the left as far as it goes, and adds up the lengths: the coverage of each pair of records. As the pair shares at
+most coverage + max(n - p, m - p) words, pairs below that bound are dropped and the others verified exactly. Segments are
+merged like the digits of a binary counter, so a lookup reads O(log batches) of them and each suffix is rewritten O(log batches) times.
 
-A hot beginning (more than HOT suffixes in a batch) is spread over SALTS shards by record and looked up in each. Equal
-word sets of one batch are one record, and each page is kept once per batch, so copies cost nothing.
+The store lives in one folder with a manifest per change; ``SegmentStore.open`` continues it in another session. A lookup reads the
+stored word sets of candidates (semi-join), never the source rows of earlier batches.
+
+Equal word sets of one batch are one record, and each page is kept once per batch, so copies cost nothing.
 
 Defined results: null or empty headlines overlap with nothing, null urls lead nowhere; a row repeats only
 rows of smaller row_id; rows of one row_id count as one row; empty batches and an empty history are allowed.
@@ -20,6 +24,7 @@ rows of smaller row_id; rows of one row_id count as one row; empty batches and a
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -30,18 +35,17 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.llm.neardup import overlap_pairs
-from newsloom.session import shared_dir, table
+from newsloom.llm.neardup import PIECE, SKETCH, overlap_pairs, prints
+from newsloom.session import broadcast_if_small, shared_dir, stage, table
 
-THRESHOLD = 7, 10
-SHARDS = 16
-SALTS = 8
-HOT = 20_000
-FREQUENT = 5_000
+SHARD = 250_000  # suffixes
+BLOCK = 64  # words a match runs over at most before it is counted on as another
+SMALL = 500_000  # ids of candidates that are broadcast (4 MB); more are joined by a shuffle
 WORD = re.compile(r"[^\W_]+")
 URL = re.compile(r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)(?:\?([^#]*))?")
-SHARD = "segment int, shard int, words binary, recs binary"
-RECORDS = "rec bigint, row_id bigint, page bigint, words array<bigint>, rare int, batch int"
+SHARDS = "segment int, shard int, lo bigint, hi bigint, size bigint, word binary, prev binary, rec binary, n binary, at binary, follow binary"
+SUFFIX = "segment int, word bigint, prev bigint, rec bigint, n int, follow binary"
+RECORDS = "rec bigint, row_id bigint, page bigint, words array<bigint>, batch int"
 
 
 def page_of(url: str | None) -> str | None:
@@ -57,83 +61,183 @@ def page_of(url: str | None) -> str | None:
     return f"{host}\n{path}\n{'' if ident is None else '=' + ident}"
 
 
-def parsed(rows: DataFrame, order: tuple[np.ndarray, np.ndarray], batch: str | None) -> DataFrame:
+def parsed(rows: DataFrame, counts: np.ndarray, batch: str | None) -> DataFrame:
     """row_id, page (hash), words (hashes, rarest first) and batch of each row (row_id, url, headline)."""
-    held = rows.sparkSession.sparkContext.broadcast(order)
+    held = rows.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known, counts = held.value
-        count_of = dict(zip(known.tolist(), counts.tolist()))
+        counts, seen = held.value, {}
         for pdf in batches:
-            pages = [None if p is None else xxhash.xxh3_64_intdigest("page\n" + p) for p in map(page_of, pdf["url"])]
-            words, rare = [], []
+            pages = [None if p is None else _signed(xxhash.xxh3_64_intdigest("page\n" + p)) for p in map(page_of, pdf["url"])]
+            words = []
             for t in pdf["headline"]:
-                h = [xxhash.xxh3_64_intdigest(w) for w in set(WORD.findall(t.lower()))] if t else []
-                rare.append(sum(x not in count_of for x in h))
-                words.append([_signed(x) for x in sorted(h, key=lambda x: (count_of.get(x, 0), x))])
-            yield pd.DataFrame({"row_id": pdf["row_id"], "batch": pdf["batch"], "page": pd.array([None if p is None else _signed(p) for p in pages], dtype="Int64"), "words": words, "rare": rare})
+                own = []
+                for w in set(WORD.findall(t.lower())) if t else ():
+                    k = seen.get(w)
+                    if k is None:
+                        if len(seen) >= 200_000:
+                            seen.clear()
+                        h = xxhash.xxh3_64_intdigest(w)
+                        k = seen[w] = (int(counts[h & (SKETCH - 1)]), _signed(h) or 1)
+                    own.append(k)
+                words.append([h for _, h in sorted(own)])
+            yield pd.DataFrame({"row_id": pdf["row_id"], "page": pd.array(pages, dtype="Int64"), "words": words, "batch": pdf["batch"]})
 
     number = F.col(batch).cast("int") if batch else F.lit(0)
     x = rows.where(F.col("row_id").isNotNull()).select(F.col("row_id").cast("bigint").alias("row_id"), "url", "headline", number.alias("batch"))
-    return x.mapInPandas(run, "row_id bigint, page bigint, words array<bigint>, rare int, batch int")
+    return x.mapInPandas(run, "row_id bigint, page bigint, words array<bigint>, batch int")
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def word_order(history: DataFrame, share: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the words that more than 1/share of the headlines hold: at most share times the mean number of words."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            h = [xxhash.xxh3_64_intdigest(w) for t in pdf["headline"] if t for w in set(WORD.findall(t.lower()))]
-            if h:
-                w, n = np.unique(np.array(h, dtype=np.uint64), return_counts=True)
-                yield pd.DataFrame({"w": w.view(np.int64), "n": n})
-
-    least = max(8, history.count() // share)
-    rows = history.select("headline").mapInPandas(count, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") > least).collect()
-    return np.array([r.w for r in rows], dtype=np.int64).view(np.uint64), np.array([r.n for r in rows], dtype=np.int64)
+def lead(n: np.ndarray) -> np.ndarray:
+    """Words of a set of n of which any partner shares one."""
+    return n - (7 * n + 9) // 10 + 1
+
+
+def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Suffixes (SUFFIX) of records (segment, rec, words): one for each leading word."""
+    for pdf in batches:
+        pdf = pdf[pdf["words"].map(len) > 0]
+        if not len(pdf):
+            continue
+        n = pdf["words"].map(len).to_numpy().astype(np.int64)
+        p = lead(n)
+        text = np.concatenate([w[:k] for w, k in zip(pdf["words"], p)]).astype(np.int64)
+        row = np.repeat(np.arange(len(p)), p)
+        at = np.arange(len(text)) - np.repeat(np.cumsum(p) - p, p)
+        prev = np.where(at % BLOCK == 0, 0, np.concatenate([[0], text[:-1]]))
+        end = np.arange(len(text)) + np.minimum(p[row] - at, BLOCK - at % BLOCK)
+        raw = text.tobytes()
+        follow = [raw[8 * a : 8 * b] for a, b in zip(range(1, len(text) + 1), end.tolist())]
+        yield pd.DataFrame({"segment": pdf["segment"].to_numpy()[row], "word": text, "prev": prev, "rec": pdf["rec"].to_numpy()[row], "n": n[row].astype(np.int32), "follow": follow})
+
+
+def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One shard (SHARDS) of each segment in a range of suffixes: a sorted array of them."""
+    from pyspark import TaskContext
+
+    held = list(batches)
+    if not held:
+        return
+    for segment, x in pd.concat(held).groupby("segment", sort=False):
+        follow = x["follow"].to_numpy()
+        order = np.array(sorted(range(len(x)), key=lambda i, w=x["word"].tolist(), r=x["rec"].tolist(): (w[i], follow[i], r[i])), dtype=np.int64)
+        x, follow = x.iloc[order], follow[order]
+        sizes = np.array([len(b) // 8 for b in follow], dtype=np.int64)
+        word = x["word"].to_numpy().astype(np.int64)
+        yield pd.DataFrame({
+            "segment": np.array([segment], dtype=np.int32), "shard": np.array([TaskContext.get().partitionId()], dtype=np.int32), "lo": word[:1], "hi": word[-1:], "size": [len(x)], "word": [word.tobytes()],
+            "prev": [x["prev"].to_numpy().astype(np.int64).tobytes()], "rec": [x["rec"].to_numpy().astype(np.int64).tobytes()], "n": [x["n"].to_numpy().astype(np.int32).tobytes()],
+            "at": [np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64).tobytes()], "follow": [b"".join(follow)],
+        })
+
+
+def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The suffixes of shards."""
+    for pdf in batches:
+        for r in pdf.itertuples(index=False):
+            at = np.frombuffer(r.at, dtype=np.int64).tolist()
+            follow = [r.follow[8 * a : 8 * b] for a, b in zip(at, at[1:])]
+            yield pd.DataFrame({"segment": np.int32(r.segment), "word": np.frombuffer(r.word, dtype=np.int64), "prev": np.frombuffer(r.prev, dtype=np.int64), "rec": np.frombuffer(r.rec, dtype=np.int64), "n": np.frombuffer(r.n, dtype=np.int32), "follow": follow})
+
+
+def searched(probes: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
+    """row_id, old, n, m, cover: for each probe the records of smaller number in the shard that hold its words, and how many in a row."""
+    out = []
+    word, prev, rec, n = (probes[c].to_numpy().astype(np.int64) for c in ("word", "prev", "rec", "n"))
+    mine = np.array([len(b) // 8 for b in probes["follow"]], dtype=np.int64)
+    begin, text = np.cumsum(mine) - mine, np.frombuffer(b"".join(probes["follow"]) + bytes(8), dtype=np.int64)
+    for s in shards.itertuples(index=False):
+        words, before, recs, m, at = (np.frombuffer(b, dtype=np.int64) for b in (s.word, s.prev, s.rec, np.frombuffer(s.n, dtype=np.int32).astype(np.int64).tobytes(), s.at))
+        other = np.frombuffer(s.follow + bytes(8), dtype=np.int64)
+        lo, hi = np.searchsorted(words, word, "left"), np.searchsorted(words, word, "right")
+        upto = np.cumsum(hi - lo)
+        first = 0
+        while first < len(word):  # some probes at a time, so that no more than about a million hits are held
+            last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + 1_000_000, "right")))
+            k = (hi - lo)[first:last]
+            i = np.repeat(np.arange(first, last), k)
+            j = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo[first:last], k)
+            # only what can be a repeat, and only the beginning of each run of shared words
+            keep = (recs[j] < rec[i]) & (10 * np.minimum(n[i], m[j]) >= 7 * np.maximum(n[i], m[j])) & ((prev[i] == 0) | (before[j] == 0) | (prev[i] != before[j]))
+            i, j = i[keep], j[keep]
+            cover, live, step = np.ones(len(i), dtype=np.int32), np.arange(len(i)), 0
+            most = np.minimum(mine[i], at[j + 1] - at[j])
+            while len(live):
+                live = live[most[live] > step]
+                live = live[text[begin[i[live]] + step] == other[at[j[live]] + step]]
+                cover[live] += 1
+                step += 1
+            out.append(pd.DataFrame({"row_id": rec[i], "old": recs[j], "n": n[i].astype(np.int32), "m": m[j].astype(np.int32), "cover": cover}))
+            first = last
+    return pd.concat(out) if out else pd.DataFrame({c: pd.array([], dtype=t) for c, t in (("row_id", "int64"), ("old", "int64"), ("n", "int32"), ("m", "int32"), ("cover", "int32"))})
 
 
 class SegmentStore:
-    """Immutable suffix-array segments of accepted batches in the shared folder."""
+    """Suffix-array segments of accepted batches in one folder of the shared file system."""
 
-    def __init__(self, spark: SparkSession, order: tuple[np.ndarray, np.ndarray]):
-        self.spark, self.order = spark, order
-        self.path = f"{shared_dir(spark).rstrip('/')}/p6-{uuid.uuid4().hex}"
-        self.segments: list[tuple[int, str, int]] = []  # (batches in it, folder, number in it), oldest first
+    def __init__(self, spark: SparkSession, path: str, counts: np.ndarray):
+        self.spark, self.path, self.counts = spark, path, counts
+        self.version = 0
+        self.segments: list[list] = []  # [batches in it, folder, number in it, [[shard, lo, hi], ...]], oldest first
         self.records: list[str] = []
-        self.hot: set[int] = set()
+
+    @classmethod
+    def create(cls, history: DataFrame, path: str | None = None) -> SegmentStore:
+        """An empty store whose word order comes from the headlines of history."""
+        spark = history.sparkSession
+        counts = prints(history.where("row_id is not null").select(F.col("row_id").cast("bigint").alias("id"), F.col("headline").alias("text")))[1]
+        store = cls(spark, path or f"{shared_dir(spark).rstrip('/')}/p6-{uuid.uuid4().hex}", counts)
+        rows = [(k, bytearray(counts[k * PIECE : (k + 1) * PIECE].tobytes())) for k in range(SKETCH // PIECE)]
+        spark.createDataFrame(rows, "id int, counts binary").coalesce(1).write.parquet(f"{store.path}/order")
+        store._commit()
+        return store
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> SegmentStore:
+        """The store in a folder as its last manifest describes it."""
+        counts = np.zeros(SKETCH, dtype=np.int32)
+        for r in spark.read.parquet(f"{path}/order").collect():
+            counts[r.id * PIECE : (r.id + 1) * PIECE] = np.frombuffer(r.counts, dtype=np.int32)
+        store = cls(spark, path, counts)
+        last = max((json.loads(r[0]) for r in spark.read.text(f"{path}/manifest/*").collect()), key=lambda m: m["version"])
+        store.version, store.segments, store.records = last["version"], last["segments"], last["records"]
+        return store
+
+    def _commit(self) -> None:
+        self.version += 1
+        text = json.dumps({"version": self.version, "segments": self.segments, "records": self.records})
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{self.path}/manifest/{self.version:09d}")
 
     def add(self, rows: DataFrame, batch: str | None = None) -> DataFrame:
-        """Take rows (row_id, url, headline) in, one new segment for each batch, in their order; gives them parsed (row_id, page, words, rec)."""
-        here = f"{self.path}/rows-{len(self.records)}"
-        numbers = [r[0] for r in rows.select(batch).distinct().orderBy(batch).collect()] if batch else [0]  # one row per batch
-        if not numbers:
-            return self.spark.createDataFrame([], RECORDS)
-        x = parsed(rows, self.order, batch).withColumn("same", F.xxhash64("words"))
+        """Take rows (row_id, url, headline) in, one new segment for each batch, in their order; gives them parsed (RECORDS)."""
+        here = f"{self.path}/records-{uuid.uuid4().hex}"
+        x = parsed(rows, self.counts, batch)
+        x = stage(x, "p6-parsed").withColumn("same", F.xxhash64("words"))
         reps = x.groupBy("batch", "same").agg(F.min("row_id").alias("rec"))
-        x.join(reps, ["batch", "same"]).select("rec", "row_id", "page", "words", "rare", "batch").write.parquet(here)
+        x.join(reps, ["batch", "same"]).select("rec", "row_id", "page", "words", "batch").write.parquet(here)
         new = self.spark.read.schema(RECORDS).parquet(here)
-        self.records.append(here)
-        heads = _heads(new)
-        pages = new.where(F.col("page").isNotNull()).groupBy("batch", F.col("page").alias("word")).agg(F.min("row_id").alias("rec"))
-        self.hot |= {r.word for r in heads.groupBy("batch", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).collect()}
-        suffixes = heads.unionByName(pages).withColumn("shard", self._shard(F.col("word"), F.xxhash64("rec"))).withColumnRenamed("batch", "segment")
-        folder = f"{self.path}/segments-{uuid.uuid4().hex}"
-        suffixes.groupBy("segment", "shard").applyInPandas(_sorted, SHARD).write.parquet(folder)
-        self._accept([(1, folder, n) for n in numbers])
+        held = new.where("row_id = rec").groupBy("batch").agg(F.sum(F.size("words") - F.ceil(0.7 * F.size("words")) + 2).alias("n")).orderBy("batch").collect()  # one row per batch
+        if held:
+            self.records.append(here)
+            texts = new.where("row_id = rec").select(F.col("batch").alias("segment"), "rec", "words").mapInPandas(suffixes, SUFFIX)
+            pages = new.where("page is not null").groupBy(F.col("batch").alias("segment"), F.col("page").alias("word")).agg(F.min("row_id").alias("rec"))
+            pages = pages.select("segment", "word", F.lit(0).cast("bigint").alias("prev"), "rec", F.lit(0).alias("n"), F.lit(b"").alias("follow"))
+            self._accept(self._build(texts.unionByName(pages), sum(r.n for r in held), [(r.batch, 1) for r in held]))
+            self._commit()
         return new
 
-    def _shard(self, word, spread):
-        shard = F.pmod(word, F.lit(SHARDS)) * SALTS
-        if self.hot:
-            shard = shard + F.when(word.isin(sorted(self.hot)), F.pmod(spread, F.lit(SALTS))).otherwise(0)
-        return shard.cast("int")
+    def _build(self, x: DataFrame, size: int, numbers: list[tuple[int, int]]) -> list[list]:
+        """Write suffixes as shards of new segments; numbers: (segment, batches in it)."""
+        folder = f"segments-{uuid.uuid4().hex}"
+        x.repartitionByRange(int(size // SHARD + 1), "segment", "word", "rec").mapInPandas(packed, SHARDS).write.parquet(f"{self.path}/{folder}")
+        found = self.spark.read.schema(SHARDS).parquet(f"{self.path}/{folder}").select("segment", "shard", "lo", "hi").collect()  # one row per SHARD suffixes
+        return [[n, folder, k, sorted([r.shard, r.lo, r.hi] for r in found if r.segment == k)] for k, n in numbers]
 
-    def _accept(self, new: list[tuple[int, str, int]]) -> None:
+    def _accept(self, new: list[list]) -> None:
         """Append segments; the last two of equal size become one, and so on, as in a binary counter. All merges are one job."""
         groups = [(s[0], [s]) for s in self.segments]
         for s in new:
@@ -142,92 +246,68 @@ class SegmentStore:
                 (m, x), (n, y) = groups[-2:]
                 groups[-2:] = [(m + n, x + y)]
         joined = [g for g in groups if len(g[1]) > 1]
+        made: list[list] = []
         if joined:
-            folder = f"{self.path}/segments-{uuid.uuid4().hex}"
-            target = {s: k for k, g in enumerate(joined) for s in g[1]}
-            parts = [self._read(f, [s[2] for s in target if s[1] == f]).withColumn("segment", F.element_at(F.create_map(*[F.lit(v) for s, k in target.items() if s[1] == f for v in (s[2], k)]), F.col("segment"))) for f in {s[1] for s in target}]
-            both = parts[0]
-            for p in parts[1:]:
-                both = both.unionAll(p)
-            both.groupBy("segment", "shard").applyInPandas(_merged, SHARD).write.parquet(folder)
-            groups = [(n, [(n, folder, joined.index((n, g)))]) if len(g) > 1 else (n, g) for n, g in groups]
-        self.segments = [g[0] for _, g in groups]
-
-    def _read(self, folder: str, numbers: list[int]) -> DataFrame:
-        return self.spark.read.schema(SHARD).parquet(folder).where(F.col("segment").isin(numbers))
-
-    def live(self) -> DataFrame:
-        out = None
-        for f in dict.fromkeys(s[1] for s in self.segments):
-            part = self._read(f, [s[2] for s in self.segments if s[1] == f])
-            out = part if out is None else out.unionAll(part)
-        return out
+            target = {(s[1], s[2]): k for k, g in enumerate(joined) for s in g[1]}
+            x, size = None, 0
+            for f in sorted({f for f, _ in target}):
+                of = F.create_map(*[F.lit(v) for (g, n), k in target.items() if g == f for v in (n, k)])
+                part = self.spark.read.schema(SHARDS).parquet(f"{self.path}/{f}").where(F.col("segment").isin([n for g, n in target if g == f])).withColumn("segment", F.element_at(of, F.col("segment")))
+                x = part if x is None else x.unionAll(part)
+            size = x.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+            made = self._build(x.mapInPandas(unpacked, SUFFIX), size, [(k, g[0]) for k, g in enumerate(joined)])
+        left = iter(made)
+        self.segments = [next(left) if len(g) > 1 else g[0] for _, g in groups]
 
     def find(self, rows: DataFrame) -> DataFrame:
         """kept_row_id, row_id of the rows, already added, that repeat a row of smaller row_id."""
-        heads = _heads(rows).select("rec", "word", F.lit(1).alias("weight"))
-        pages = rows.where(F.col("page").isNotNull()).select(F.col("row_id").alias("rec"), F.col("page").alias("word"), F.lit(0).alias("weight"))
-        probes = heads.unionByName(pages)
-        salts = F.sequence(F.lit(0), F.when(F.col("word").isin(sorted(self.hot)), SALTS - 1).otherwise(0)) if self.hot else F.array(F.lit(0))
-        probes = probes.withColumn("salt", F.explode(salts)).select((F.pmod("word", F.lit(SHARDS)) * SALTS + F.col("salt")).cast("int").alias("shard"), "word", "rec", "weight")
-        hits = probes.groupBy("shard").cogroup(self.live().groupBy("shard")).applyInPandas(_searched, "row_id bigint, old bigint, weight int")
-        found = hits.groupBy("row_id", "old").agg(F.bool_or(F.col("weight") == 0).alias("is_page"), F.sum("weight").alias("coverage"))
-        same_page = found.where("is_page").groupBy("row_id").agg(F.min("old").alias("by_page"))
+        texts = rows.where("row_id = rec").select(F.lit(0).alias("segment"), "rec", "words").mapInPandas(suffixes, SUFFIX)
+        pages = rows.where("page is not null").select(F.lit(0).alias("segment"), F.col("page").alias("word"), F.lit(0).cast("bigint").alias("prev"), F.col("row_id").alias("rec"), F.lit(0).alias("n"), F.lit(b"").alias("follow"))
+        bounds = [(k, np.array([b[0] for b in s[3]]), np.array([b[1] for b in s[3]]), np.array([b[2] for b in s[3]])) for k, s in enumerate(self.segments) if s[3]]
+        held = self.spark.sparkContext.broadcast(bounds)  # three numbers a shard
+
+        def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                w = pdf["word"].to_numpy()
+                for k, shard, lo, hi in held.value:
+                    a, b = np.searchsorted(hi, w, "left"), np.searchsorted(lo, w, "right")
+                    n = np.maximum(0, b - a)
+                    i = np.repeat(np.arange(len(w)), n)
+                    if len(i):
+                        to = shard[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + a[i]]
+                        yield pdf.iloc[i].assign(segment=np.int32(k), shard=to.astype(np.int32))
+
+        probes = texts.unionByName(pages).mapInPandas(route, SUFFIX + ", shard int")
+        live = None
+        for k, s in enumerate(self.segments):
+            part = self.spark.read.schema(SHARDS).parquet(f"{self.path}/{s[1]}").where(F.col("segment") == s[2]).withColumn("segment", F.lit(k))
+            live = part if live is None else live.unionAll(part)
+        if live is None:
+            return rows.select(F.col("row_id").alias("kept_row_id"), "row_id").limit(0)
+        hits = probes.groupBy("segment", "shard").cogroup(live.groupBy("segment", "shard")).applyInPandas(searched, "row_id bigint, old bigint, n int, m int, cover int")
+        found = stage(hits.groupBy("row_id", "old", "n", "m").agg(F.sum("cover").alias("cover")).where(_enough()), "p6-found")
+        same_page = found.where("n = 0").groupBy("row_id").agg(F.min("old").alias("by_page"))
+        near = found.where("n > 0").select("row_id", "old")
         sets = self.spark.read.schema(RECORDS).parquet(*self.records).where("row_id = rec").select(F.col("rec").alias("old"), F.col("words").alias("w_old"))
-        near = found.where("coverage > 0").select("row_id", "old").join(rows.where("row_id = rec").select("row_id", "words"), "row_id").join(sets, "old")
+        sets = sets.join(broadcast_if_small(near.select("old").distinct(), SMALL), "old", "left_semi")
+        near = near.join(rows.where("row_id = rec").select("row_id", "words"), "row_id").join(sets, "old")
         shared = F.size(F.array_intersect("words", "w_old"))
-        near = near.where(THRESHOLD[1] * shared >= THRESHOLD[0] * (F.size("words") + F.size("w_old") - shared)).groupBy(F.col("row_id").alias("rec")).agg(F.min("old").alias("by_text"))
+        near = near.where(10 * shared >= 7 * (F.size("words") + F.size("w_old") - shared)).groupBy(F.col("row_id").alias("rec")).agg(F.min("old").alias("by_text"))
         out = rows.groupBy("row_id").agg(F.min("rec").alias("rec"), F.max(F.size("words")).alias("n")).join(near, "rec", "left").join(same_page, "row_id", "left")
         by_text = F.when((F.col("n") > 0) & (F.col("rec") < F.col("row_id")), F.coalesce("by_text", "rec")).otherwise(F.col("by_text"))
         return out.select(F.least(by_text, "by_page").alias("kept_row_id"), "row_id").where("kept_row_id is not null")
 
 
-def _heads(rows: DataFrame) -> DataFrame:
-    """batch, rec, word: hashes of two leading words of which one is rare, and of three frequent ones; texts of one or two words whole."""
-    tail = lambda w, i: F.slice(w, i + 2, F.size(w))
-    twos = lambda w, first: F.flatten(F.transform(first, lambda x, i: F.transform(tail(w, i), lambda y: F.xxhash64(x, y))))
-    threes = lambda w: F.flatten(F.transform(w, lambda x, i: F.flatten(F.transform(tail(w, i), lambda y, j: F.transform(F.slice(w, i + j + 3, F.size(w)), lambda z: F.xxhash64(x, y, z))))))
-    n = F.size("words") - F.ceil(THRESHOLD[0] * F.size("words") / THRESHOLD[1]).cast("int") + 3
-    keys = F.transform(F.array(F.slice("words", F.lit(1), n)), lambda w: F.concat(twos(w, F.slice(w, F.lit(1), F.least("rare", F.size(w)))), threes(F.slice(w, F.col("rare") + 1, F.size(w)))))[0]
-    keys = F.when(F.size("words") <= 2, F.array(F.xxhash64("words"))).otherwise(keys)
-    return rows.where("row_id = rec and size(words) > 0").select("batch", "rec", F.explode(keys).alias("word"))
-
-
-def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Suffix array of one shard: sorted by leading words and record."""
-    return _packed(pdf, *(pdf[c].to_numpy().astype(np.int64) for c in ("word", "rec")))
-
-
-def _packed(pdf: pd.DataFrame, w: np.ndarray, r: np.ndarray) -> pd.DataFrame:
-    order = np.lexsort((r, w))
-    return pd.DataFrame({"segment": pdf["segment"].iloc[:1], "shard": pdf["shard"].iloc[:1], "words": [w[order].tobytes()], "recs": [r[order].tobytes()]})
-
-
-def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
-    arrays = [np.concatenate([np.frombuffer(b, dtype=np.int64) for b in pdf[c]]) for c in ("words", "recs")]
-    return _packed(pdf, *arrays)
-
-
-def _searched(probes: pd.DataFrame, live: pd.DataFrame) -> pd.DataFrame:
-    """Binary search of the probes' words in every segment of a shard: records of smaller number that hold them."""
-    word, rec, weight = (probes[c].to_numpy() for c in ("word", "rec", "weight"))
-    out = []
-    for words, recs in zip(live["words"], live["recs"]):
-        words, recs = np.frombuffer(words, dtype=np.int64), np.frombuffer(recs, dtype=np.int64)
-        lo, hi = np.searchsorted(words, word, "left"), np.searchsorted(words, word, "right")
-        n = hi - lo
-        which = np.repeat(np.arange(len(word)), n)
-        old = recs[np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]] if len(which) else recs[:0]
-        keep = old < rec[which]
-        out.append(pd.DataFrame({"row_id": rec[which][keep], "old": old[keep], "weight": weight[which][keep]}))
-    return pd.concat(out) if out else pd.DataFrame({"row_id": pd.array([], dtype="int64"), "old": pd.array([], dtype="int64"), "weight": pd.array([], dtype="int32")})
+def _enough():
+    """Coverage from which a pair of sets of n and m words can overlap by 0.7; a page (n = 0) needs none."""
+    rest = F.greatest(*[F.ceil(7 * F.col(c) / 10) for c in ("n", "m")]) - 1
+    return (F.col("n") == 0) | (F.col("cover") >= F.ceil(7 * (F.col("n") + F.col("m")) / 17) - rest)
 
 
 def repeats(history: DataFrame, incoming: DataFrame, batch: str) -> DataFrame:
     """kept_row_id, row_id of each incoming row (row_id, url, headline, batch number) that repeats history or an earlier incoming row."""
-    spark = history.sparkSession
     cols = ["row_id", "url", "headline"]
-    store = SegmentStore(spark, word_order(history.select(cols)))
+    store = SegmentStore.create(history.select(cols))
     store.add(history.select(cols))
     return store.find(store.add(incoming.select(*cols, F.coalesce(F.col(batch).cast("int"), F.lit(-1)).alias("_batch")), "_batch"))
 

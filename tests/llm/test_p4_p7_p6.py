@@ -133,9 +133,31 @@ def test_batches_equal_brute_force(spark):
 
 def test_store_one_batch_after_another(spark):
     make = lambda r: spark.createDataFrame(r, "row_id long, url string, headline string")
-    store = history.SegmentStore(spark, history.word_order(make([(0, None, "a b c")])))
+    store = history.SegmentStore.create(make([(0, None, "a b c")]))
     store.add(make([(0, None, "alpha beta gamma delta")]))
     found = []
     for k in range(1, 6):
+        store = history.SegmentStore.open(spark, store.path)  # as another session would
         found += [tuple(r) for r in store.find(store.add(make([(k, None, "Alpha beta gamma delta" if k % 2 else f"own words {k} x{k} y{k}")]))).collect()]
     assert sorted(found) == [(0, 1), (0, 3), (0, 5)] and len(store.segments) < 5
+
+
+def test_long_texts_and_shards_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(history, "SHARD", 40)
+    rnd = random.Random(2)
+    base = [f"t{i}" for i in range(400)]
+    rows = []
+    for i in range(24):
+        w = base[:]
+        for k in rnd.sample(range(400), rnd.choice((10, 60, 70, 90))):
+            w[k] = f"own{i}x{k}"
+        rows.append((i, None, " ".join(w), 0 if i < 8 else 1 + i % 3))
+    rows += [(100 + i, None, " ".join(rnd.sample(base[:30], 6)), 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, url string, headline string, batch_no int")
+    sets = {i: set(h.split()) for i, _, h, _ in rows}
+    want = {}
+    for i, _, _, b in rows:
+        old = [j for j in sets if j < i and 10 * len(sets[i] & sets[j]) >= 7 * len(sets[i] | sets[j])]
+        if b and old:
+            want[i] = min(old)
+    assert want and {r.row_id: r.kept_row_id for r in history.repeats(df.where("batch_no = 0"), df.where("batch_no > 0"), "batch_no").collect()} == want
