@@ -8,8 +8,9 @@ p = n - ceil(0.7 n) + 1 words of either, so suffixes are kept of these words, ea
 
 Every batch becomes an immutable segment: the suffixes of its concatenated texts in sorted order, cut by range into shards of
 about SHARD suffixes (a hot beginning spreads over as many shards as it fills), stored as plain arrays. A lookup sends each of the batch's substrings to the
-shards of all live segments whose range holds its first word, binary-searches them, extends each match that cannot be
-extended to the left as far as it goes, and adds up the lengths: the coverage of each pair of records. As the pair shares at
+shards of all live segments whose range holds its first word, binary-searches them, drops pairs whose
+64-bit parity signatures differ in more than 3/17 (n + m) bits, extends each match that cannot be extended to the left as far as it goes, and adds up
+the lengths: the coverage of each pair of records. As the pair shares at
 most coverage + max(n - p, m - p) words, pairs below that bound are dropped and the others verified exactly. Segments are
 merged like the digits of a binary counter, so a lookup reads O(log batches) of them and each suffix is rewritten O(log batches) times.
 
@@ -38,13 +39,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from newsloom.llm.neardup import PIECE, SKETCH, overlap_pairs, prints
 from newsloom.session import broadcast_if_small, shared_dir, stage, table
 
-SHARD = 250_000  # suffixes
+SHARD = 100_000  # suffixes
 BLOCK = 64  # words a match runs over at most before it is counted on as another
 SMALL = 500_000  # ids of candidates that are broadcast (4 MB); more are joined by a shuffle
 WORD = re.compile(r"[^\W_]+")
 URL = re.compile(r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)(?:\?([^#]*))?")
-SHARDS = "segment int, shard int, lo bigint, hi bigint, size bigint, word binary, prev binary, rec binary, n binary, at binary, follow binary"
-SUFFIX = "segment int, word bigint, prev bigint, rec bigint, n int, follow binary"
+SHARDS = "segment int, shard int, lo bigint, hi bigint, size bigint, word binary, prev binary, rec binary, n binary, sig binary, at binary, follow binary"
+SUFFIX = "segment int, word bigint, prev bigint, rec bigint, n int, sig bigint, follow binary"
 RECORDS = "rec bigint, row_id bigint, page bigint, words array<bigint>, batch int"
 
 
@@ -112,7 +113,9 @@ def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end = np.arange(len(text)) + np.minimum(p[row] - at, BLOCK - at % BLOCK)
         raw = text.tobytes()
         follow = [raw[8 * a : 8 * b] for a, b in zip(range(1, len(text) + 1), end.tolist())]
-        yield pd.DataFrame({"segment": pdf["segment"].to_numpy()[row], "word": text, "prev": prev, "rec": pdf["rec"].to_numpy()[row], "n": n[row].astype(np.int32), "follow": follow})
+        whole = np.concatenate(pdf["words"].tolist()).astype(np.int64).view(np.uint64)
+        sig = np.bitwise_xor.reduceat(np.uint64(1) << (whole >> np.uint64(58)), np.cumsum(n) - n).view(np.int64)
+        yield pd.DataFrame({"segment": pdf["segment"].to_numpy()[row], "word": text, "prev": prev, "rec": pdf["rec"].to_numpy()[row], "n": n[row].astype(np.int32), "sig": sig[row], "follow": follow})
 
 
 def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,13 +127,15 @@ def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return
     for segment, x in pd.concat(held).groupby("segment", sort=False):
         follow = x["follow"].to_numpy()
-        order = np.array(sorted(range(len(x)), key=lambda i, w=x["word"].tolist(), r=x["rec"].tolist(): (w[i], follow[i], r[i])), dtype=np.int64)
-        x, follow = x.iloc[order], follow[order]
         sizes = np.array([len(b) // 8 for b in follow], dtype=np.int64)
+        text = np.frombuffer(b"".join(follow) + bytes(16), dtype=np.int64)
+        nth = lambda k, begin=np.cumsum(sizes) - sizes, sizes=sizes, text=text: np.where(sizes > k, text[np.minimum(begin + k, len(text) - 1)], 0)
+        order = np.lexsort((x["rec"], nth(1), nth(0), x["word"]))  # by three words, then by record
+        x, follow, sizes = x.iloc[order], follow[order], sizes[order]
         word = x["word"].to_numpy().astype(np.int64)
         yield pd.DataFrame({
             "segment": np.array([segment], dtype=np.int32), "shard": np.array([TaskContext.get().partitionId()], dtype=np.int32), "lo": word[:1], "hi": word[-1:], "size": [len(x)], "word": [word.tobytes()],
-            "prev": [x["prev"].to_numpy().astype(np.int64).tobytes()], "rec": [x["rec"].to_numpy().astype(np.int64).tobytes()], "n": [x["n"].to_numpy().astype(np.int32).tobytes()],
+            "prev": [x["prev"].to_numpy().astype(np.int64).tobytes()], "rec": [x["rec"].to_numpy().astype(np.int64).tobytes()], "n": [x["n"].to_numpy().astype(np.int32).tobytes()], "sig": [x["sig"].to_numpy().astype(np.int64).tobytes()],
             "at": [np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64).tobytes()], "follow": [b"".join(follow)],
         })
 
@@ -141,28 +146,31 @@ def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for r in pdf.itertuples(index=False):
             at = np.frombuffer(r.at, dtype=np.int64).tolist()
             follow = [r.follow[8 * a : 8 * b] for a, b in zip(at, at[1:])]
-            yield pd.DataFrame({"segment": np.int32(r.segment), "word": np.frombuffer(r.word, dtype=np.int64), "prev": np.frombuffer(r.prev, dtype=np.int64), "rec": np.frombuffer(r.rec, dtype=np.int64), "n": np.frombuffer(r.n, dtype=np.int32), "follow": follow})
+            yield pd.DataFrame({"segment": np.int32(r.segment), "word": np.frombuffer(r.word, dtype=np.int64), "prev": np.frombuffer(r.prev, dtype=np.int64), "rec": np.frombuffer(r.rec, dtype=np.int64), "n": np.frombuffer(r.n, dtype=np.int32), "sig": np.frombuffer(r.sig, dtype=np.int64), "follow": follow})
 
 
 def searched(probes: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
     """row_id, old, n, m, cover: for each probe the records of smaller number in the shard that hold its words, and how many in a row."""
     out = []
-    word, prev, rec, n = (probes[c].to_numpy().astype(np.int64) for c in ("word", "prev", "rec", "n"))
+    word, prev, rec, n, sig = (probes[c].to_numpy().astype(np.int64) for c in ("word", "prev", "rec", "n", "sig"))
     mine = np.array([len(b) // 8 for b in probes["follow"]], dtype=np.int64)
     begin, text = np.cumsum(mine) - mine, np.frombuffer(b"".join(probes["follow"]) + bytes(8), dtype=np.int64)
     for s in shards.itertuples(index=False):
-        words, before, recs, m, at = (np.frombuffer(b, dtype=np.int64) for b in (s.word, s.prev, s.rec, np.frombuffer(s.n, dtype=np.int32).astype(np.int64).tobytes(), s.at))
+        words, before, recs, sigs, at = (np.frombuffer(b, dtype=np.int64) for b in (s.word, s.prev, s.rec, s.sig, s.at))
+        m = np.frombuffer(s.n, dtype=np.int32).astype(np.int64)
         other = np.frombuffer(s.follow + bytes(8), dtype=np.int64)
         lo, hi = np.searchsorted(words, word, "left"), np.searchsorted(words, word, "right")
         upto = np.cumsum(hi - lo)
         first = 0
-        while first < len(word):  # some probes at a time, so that no more than about a million hits are held
-            last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + 1_000_000, "right")))
+        while first < len(word):  # some probes at a time, so that no more than about half a million hits are held
+            last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + 500_000, "right")))
             k = (hi - lo)[first:last]
             i = np.repeat(np.arange(first, last), k)
             j = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo[first:last], k)
-            # only what can be a repeat, and only the beginning of each run of shared words
-            keep = (recs[j] < rec[i]) & (10 * np.minimum(n[i], m[j]) >= 7 * np.maximum(n[i], m[j])) & ((prev[i] == 0) | (before[j] == 0) | (prev[i] != before[j]))
+            # only what can be a repeat by sizes and signatures, and only the beginning of each run of shared words
+            keep = (17 * np.bitwise_count(sig[i] ^ sigs[j]).astype(np.int64) <= 3 * (n[i] + m[j])) & (recs[j] < rec[i])
+            i, j = i[keep], j[keep]
+            keep = (10 * np.minimum(n[i], m[j]) >= 7 * np.maximum(n[i], m[j])) & ((prev[i] == 0) | (before[j] == 0) | (prev[i] != before[j]))
             i, j = i[keep], j[keep]
             cover, live, step = np.ones(len(i), dtype=np.int32), np.arange(len(i)), 0
             most = np.minimum(mine[i], at[j + 1] - at[j])
@@ -225,7 +233,7 @@ class SegmentStore:
             self.records.append(here)
             texts = new.where("row_id = rec").select(F.col("batch").alias("segment"), "rec", "words").mapInPandas(suffixes, SUFFIX)
             pages = new.where("page is not null").groupBy(F.col("batch").alias("segment"), F.col("page").alias("word")).agg(F.min("row_id").alias("rec"))
-            pages = pages.select("segment", "word", F.lit(0).cast("bigint").alias("prev"), "rec", F.lit(0).alias("n"), F.lit(b"").alias("follow"))
+            pages = pages.select("segment", "word", F.lit(0).cast("bigint").alias("prev"), "rec", F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("sig"), F.lit(b"").alias("follow"))
             self._accept(self._build(texts.unionByName(pages), sum(r.n for r in held), [(r.batch, 1) for r in held]))
             self._commit()
         return new
@@ -262,7 +270,7 @@ class SegmentStore:
     def find(self, rows: DataFrame) -> DataFrame:
         """kept_row_id, row_id of the rows, already added, that repeat a row of smaller row_id."""
         texts = rows.where("row_id = rec").select(F.lit(0).alias("segment"), "rec", "words").mapInPandas(suffixes, SUFFIX)
-        pages = rows.where("page is not null").select(F.lit(0).alias("segment"), F.col("page").alias("word"), F.lit(0).cast("bigint").alias("prev"), F.col("row_id").alias("rec"), F.lit(0).alias("n"), F.lit(b"").alias("follow"))
+        pages = rows.where("page is not null").select(F.lit(0).alias("segment"), F.col("page").alias("word"), F.lit(0).cast("bigint").alias("prev"), F.col("row_id").alias("rec"), F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("sig"), F.lit(b"").alias("follow"))
         bounds = [(k, np.array([b[0] for b in s[3]]), np.array([b[1] for b in s[3]]), np.array([b[2] for b in s[3]])) for k, s in enumerate(self.segments) if s[3]]
         held = self.spark.sparkContext.broadcast(bounds)  # three numbers a shard
 
