@@ -168,7 +168,7 @@ def searched(probes: pd.DataFrame, shards: pd.DataFrame) -> pd.DataFrame:
             i = np.repeat(np.arange(first, last), k)
             j = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(lo[first:last], k)
             # only what can be a repeat by sizes and signatures, and only the beginning of each run of shared words
-            keep = (17 * np.bitwise_count(sig[i] ^ sigs[j]).astype(np.int64) <= 3 * (n[i] + m[j])) & (recs[j] < rec[i])
+            keep = (17 * np.bitwise_count((sig[i] ^ sigs[j]).view(np.uint64)).astype(np.int64) <= 3 * (n[i] + m[j])) & (recs[j] < rec[i])
             i, j = i[keep], j[keep]
             keep = (10 * np.minimum(n[i], m[j]) >= 7 * np.maximum(n[i], m[j])) & ((prev[i] == 0) | (before[j] == 0) | (prev[i] != before[j]))
             i, j = i[keep], j[keep]
