@@ -1,10 +1,10 @@
 """Problem 2: at most so many records of each contributor, the best kept.
 
-The order of a contributor's records is (quality class, quality, smaller id first). Histograms of it are
-counts per contributor and bin, so they merge by adding; a cumulative count names the bin in which the cap
-falls. Bins better than it stay, worse ones go, and only the records of that borderline bin are looked at
-again: first by their exact quality, then, where one quality ties, by ranges of the id, and only what is
-left of the last range is ranked. No step sorts more of a hot contributor than one final range.
+The order of a contributor's records is (worse quality later, non-finite quality last, then larger id later). Histograms of it are
+counts per contributor and bin, so they merge by adding; a cumulative count names the borderline bin, in which the cap
+falls. Bins better than it stay, worse ones go. Where more than MOST records are left in a borderline bin, the bin
+is cut again between its own smallest and largest quality, however skewed they are, and once they all tie, by id; what is left of at
+most MOST records a contributor is ranked. No step sorts more of a hot contributor than that.
 
 Defined results: null, NaN and infinite quality count lowest (they tie, the smaller id stays); a null
 contributor is left alone; repeated ids are ranked one after another; an empty table gives no row.
@@ -14,53 +14,53 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from newsloom.session import table
+from newsloom.session import broadcast_if_small, stage, table
 
 BINS = 1024
-RANGES = 4096
+MOST = 10_000  # records of one contributor that are ranked
+SMALL = 100_000
 
 
 def _finite(q: Column) -> Column:
     return F.when(q.isNotNull() & ~F.isnan(q) & (F.abs(q) != F.lit(float("inf"))), q)
 
 
-def _cutoff(hist: DataFrame, bins: Column, room: Column) -> DataFrame:
-    """Per contributor the first bin (in the given order) at which the cumulative count passes the room, and the room left in it."""
-    w = W.partitionBy("who").orderBy(bins).rowsBetween(W.unboundedPreceding, 0)
-    return hist.withColumn("upto", F.sum("n").over(w)).where(F.col("upto") > room).groupBy("who").agg(F.min(F.struct(bins.alias("bin"), (room - (F.col("upto") - F.col("n"))).alias("room"))).alias("c")).select("who", F.col("c.bin").alias("cut"), F.col("c.room").alias("room"))
+def _cutoff(hist: DataFrame) -> DataFrame:
+    """who, cut, left: the first bin at which the cumulative count of a contributor (who, bin, room, n) passes its room, and the room left in it."""
+    w = W.partitionBy("who").orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
+    x = hist.withColumn("upto", F.sum("n").over(w)).where("upto > room")
+    return x.groupBy("who").agg(F.min(F.struct("bin", (F.col("room") - F.col("upto") + F.col("n")).alias("left"))).alias("c")).select("who", F.col("c.bin").alias("cut"), F.col("c.left").alias("left"))
 
 
-def over_cap(df: DataFrame, who: str, quality: str, row_id: str, cap: int, bins: int = BINS, ranges: int = RANGES) -> DataFrame:
+def over_cap(df: DataFrame, who: str, quality: str, row_id: str, cap: int, bins: int = BINS, most: int = MOST) -> DataFrame:
     """row_id of each record beyond the cap of its contributor."""
-    x = df.where(F.col(who).isNotNull()).select(F.col(who).alias("who"), _finite(F.col(quality).cast("double")).alias("q"), F.col(row_id).alias("id"))
-    lo, hi, id_lo, id_hi = x.agg(F.min("q"), F.max("q"), F.min("id"), F.max("id")).first()
-    if id_lo is None:
-        return x.select(F.col("id").alias(row_id))
-    span = (hi - lo) if hi is not None and hi > lo else 1.0
-    # bin 0 holds the best; the records without a finite quality fall behind all others
-    coarse = F.coalesce(F.floor((F.lit(hi) - F.col("q")) / F.lit(span) * (bins - 1)).cast("int"), F.lit(bins))
-    step = max(1, (id_hi - id_lo) // ranges + 1)
-    x = x.withColumn("bin", coarse)
-    first = _cutoff(x.groupBy("who", "bin").agg(F.count(F.lit(1)).alias("n")), F.col("bin"), F.lit(cap))
-    x = x.join(first, "who").where("bin >= cut")
-    gone, edge = x.where("bin > cut"), x.where("bin = cut").drop("cut")
-    # the same again inside the borderline bin, by exact quality (worse = larger)
-    edge = edge.withColumn("worse", F.coalesce(-F.col("q"), F.lit(float("inf"))))
-    second = _cutoff_left(edge, "worse")
-    edge = edge.drop("room").join(second, "who").where("worse >= cut")
-    gone2, tie = edge.where("worse > cut"), edge.where("worse = cut").drop("cut")
-    tie = tie.withColumn("range", F.floor((F.col("id") - F.lit(id_lo)) / F.lit(step)))
-    third = _cutoff_left(tie, "range")
-    tie = tie.drop("room").join(third, "who").where("range >= cut")
-    gone3, last = tie.where("range > cut"), tie.where("range = cut")
-    last = last.withColumn("rank", F.row_number().over(W.partitionBy("who").orderBy("id"))).where("rank > room")
-    ids = [y.select(F.col("id").alias(row_id)) for y in (gone, gone2, gone3, last)]
-    return ids[0].unionAll(ids[1]).unionAll(ids[2]).unionAll(ids[3])
-
-
-def _cutoff_left(x: DataFrame, by: str) -> DataFrame:
-    hist = x.groupBy("who", by, "room").agg(F.count(F.lit(1)).alias("n"))
-    return _cutoff(hist, F.col(by), F.col("room"))
+    x = df.where(F.col(who).isNotNull()).select(F.col(who).alias("who"), F.coalesce(-_finite(F.col(quality).cast("double")), F.lit(float("inf"))).alias("worse"), F.col(row_id).alias("id"))
+    heavy = x.groupBy("who").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cap).select("who", F.lit(cap).cast("bigint").alias("room"))
+    x = stage(x.join(broadcast_if_small(heavy, SMALL), "who"), "p2-heavy")
+    out = []
+    number = {"worse": F.when(F.col("worse") != float("inf"), F.col("worse") / 2), "id": F.col("id").cast("decimal(38,0)")}  # halves: differences stay finite
+    for key in ("worse", "id"):
+        while True:
+            of = x.groupBy("who").agg(F.count(F.lit(1)).alias("n"), F.min(number[key]).alias("lo"), F.max(number[key]).alias("hi"), F.count_if(F.col("worse") == float("inf")).alias("infinite"))
+            of = stage(of, "p2-edges")
+            tied = (F.col("lo").isNull() | (F.col("lo") == F.col("hi")) & ((F.col("infinite") == 0) | F.lit(key == "id")))
+            open_ = of.where((F.col("n") > most) & ~tied)
+            if not open_.limit(1).count():
+                break
+            y = x.join(broadcast_if_small(open_.select("who", "lo", "hi"), SMALL), "who", "left")
+            at = F.when(F.col("lo") == F.col("hi"), F.lit(0)).otherwise(F.least(F.floor((number[key] - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins), F.lit(bins - 1)))
+            y = y.withColumn("bin", F.when(F.col("hi").isNotNull(), F.when(number[key].isNull(), F.lit(bins)).otherwise(at.cast("int"))))
+            cut = _cutoff(y.where("bin is not null").groupBy("who", "bin", "room").agg(F.count(F.lit(1)).alias("n")))
+            y = stage(y.join(broadcast_if_small(cut, SMALL), "who", "left").drop("lo", "hi"), "p2-cut")
+            out.append(y.where("bin > cut").select("id"))
+            x = y.where("bin is null or bin = cut").select("who", "worse", "id", F.coalesce("left", "room").alias("room"))
+    # rows that agree in all are told apart by counting
+    x = x.groupBy("who", "worse", "id", "room").agg(F.count(F.lit(1)).alias("n"))
+    last = x.withColumn("upto", F.sum("n").over(W.partitionBy("who").orderBy("worse", "id").rowsBetween(W.unboundedPreceding, 0))).where("upto > room")
+    gone = last.select(F.explode(F.array_repeat("id", F.least("n", F.col("upto") - F.col("room")).cast("int"))).alias("id"))
+    for y in out:
+        gone = gone.unionAll(y)
+    return gone.select(F.col("id").alias(row_id))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
