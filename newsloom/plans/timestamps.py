@@ -5,27 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from newsloom.operators import timestamps as T
-from newsloom.session import table
+from newsloom.session import stage, table
+
+
+def _zones(spark: SparkSession, d: str, hosts: DataFrame) -> DataFrame:
+    return stage(T.host_zones(table(spark, d, "article_feed").select("url", "published", "collected_at"), "published", "url", hosts, "collected_at"), "p1-zones")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Both tables with the zones estimated from the feed's ingestion times; articles have none, and their order says nothing about time."""
     hosts = table(spark, d, "feed_hosts")
-    feed = T.to_instants(table(spark, d, "article_feed").select(F.col("feed_pos").alias("rec_id"), "url", "published", "collected_at"), "published", "url", hosts, "collected_at", only_named=True)
-    mirror = T.to_instants(table(spark, d, "articles").select(F.col("row_id").alias("rec_id"), "url", "date"), "date", "url", hosts, only_named=True)
+    zones = _zones(spark, d, hosts)
+    feed = T.to_instants(table(spark, d, "article_feed").select(F.col("feed_pos").alias("rec_id"), "url", "published"), "published", "url", hosts, zones, only_named=True)
+    mirror = T.to_instants(table(spark, d, "articles").select(F.col("row_id").alias("rec_id"), "url", "date"), "date", "url", hosts, zones, only_named=True)
     rows = lambda x, kind: x.select(F.lit(kind).alias("rec_type"), "rec_id", "epoch_s")
     return rows(feed, "article_feed").unionByName(rows(mirror, "articles"))
 
 
 def p1_zone_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Every host of the feed: zone by the directory, zone estimated from ingestion times among all of the directory's zones, and violations of both."""
+    """Every host of the feed: zone by the directory, zone estimated without it among all of its zones, and violations of both."""
     hosts = table(spark, d, "feed_hosts")
     x = table(spark, d, "article_feed").select(T.host_of(F.col("url")).alias("host"), "published", "collected_at")
     x = x.join(F.broadcast(hosts.select("host", "day_first")), "host")  # fixed table of known size
     x = T.parse_stamps(x, "published", "day_first").where("_ts_zone = '' and not _ts_dated and _ts_local is not null")
-    zones = hosts.select(F.col("zone_name").alias("zone")).distinct()
-    pairs = hosts.select("host").withColumn("zones", F.lit(sorted(r.zone for r in zones.collect()))).select("host", F.explode("zones").alias("zone"))
-    scored = T.choose_zones(x, "host", "_ts_local", "collected_at", pairs)
-    home = scored.join(hosts.select("host", F.col("zone_name").alias("zone")), ["host", "zone"]).select("host", F.col("zone").alias("home_zone"), F.col("violations").alias("home_violations"))
+    zones = sorted(r.zone_name for r in hosts.select("zone_name").distinct().collect())
+    scored = T.choose_zones(x, "host", "_ts_local", "collected_at", zones)
+    home = scored.join(F.broadcast(hosts.select("host", F.col("zone_name").alias("zone"))), ["host", "zone"]).select("host", F.col("zone").alias("home_zone"), F.col("violations").alias("home_violations"))
     return scored.where("rank = 1").join(home, "host", "left").select("host", F.col("zone").alias("estimated_zone"), "n", "violations", "home_zone", "home_violations")
 
 

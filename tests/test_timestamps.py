@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -10,7 +11,8 @@ HOSTS = [("a.example", "America/New_York", False), ("i.example", "Asia/Kolkata",
 def instants(spark, rows, ingested=None, hosts=HOSTS):
     h = spark.createDataFrame(hosts, "host string, zone_name string, day_first boolean")
     df = spark.createDataFrame(rows, "id long, v string, url string, seen timestamp, epoch string")
-    return {r.id: r.epoch_s for r in T.to_instants(df, "v", "url", h, ingested).collect()}
+    zones = T.host_zones(df, "v", "url", h, ingested) if ingested else None
+    return {r.id: r.epoch_s for r in T.to_instants(df, "v", "url", h, zones).collect()}
 
 
 def at(*p):
@@ -74,3 +76,45 @@ def test_only_named(spark, only):
     h = spark.createDataFrame(HOSTS, "host string, zone_name string, day_first boolean")
     df = spark.createDataFrame([(1, "2025-01-01", None), (2, "N/A", None)], "id long, v string, url string")
     assert T.to_instants(df, "v", "url", h, only_named=only).count() == (1 if only else 2)
+
+
+def planted(zone, host, k):
+    """(wall-clock text, url, ingestion, instant): a stamp every five hours over a year and a half, taken in 5 to 40 minutes later."""
+    from datetime import timedelta, timezone
+    from zoneinfo import ZoneInfo
+
+    t = datetime(2024, 1, 3, 2, 7, tzinfo=timezone.utc) + timedelta(hours=5 * k)
+    seen = t + timedelta(minutes=5 + k * 7 % 36)
+    return t.astimezone(ZoneInfo(zone)).strftime("%Y-%m-%d %H:%M:%S"), f"https://{host}.example/{k}", seen.replace(tzinfo=None), int(t.timestamp())
+
+
+def test_zones_of_hosts_outside_the_directory(spark):
+    zones = ["America/New_York", "Asia/Kolkata", "Australia/Sydney", "Europe/Berlin", "UTC"]
+    directory = spark.createDataFrame([(f"h{i}.example", z, True) for i, z in enumerate(zones)] + [("w.example", "Europe/Berlin", True)], "host string, zone_name string, day_first boolean")
+    rows = [(i * 3000 + k, *planted(z, f"x{i}", k)) for i, z in enumerate(zones) for k in range(2600)]
+    rows += [(90_000 + k, *planted("Asia/Kolkata", "w", k)) for k in range(300)]  # the directory is wrong here
+    df = spark.createDataFrame(rows, "id long, v string, url string, seen timestamp, want long")
+    found = T.host_zones(df, "v", "url", directory, "seen")
+    got = T.to_instants(df, "v", "url", directory, found)
+    assert got.where("epoch_s = want").count() >= 0.998 * len(rows)  # the second of two equal wall-clock times is lost
+    assert {r.host: r.zone for r in found.collect()} == {f"x{i}.example": z for i, z in enumerate(zones)} | {"w.example": "Asia/Kolkata"}
+
+
+def test_zones_from_the_order_of_rows(spark):
+    from datetime import datetime as dt, timezone
+
+    rows, rnd = [], random.Random(1)
+    for k in range(2000):  # half of the rows name their instant, the others are of hosts to estimate
+        i = rnd.randrange(2)
+        v, url, _, want = planted(("Asia/Kolkata", "Australia/Sydney")[i], f"x{i}", k)
+        rows.append((k, dt.fromtimestamp(want, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ") if rnd.random() < 0.5 else v, url))
+    df = spark.createDataFrame(rows, "id long, v string, url string")
+    directory = spark.createDataFrame([(f"h{i}.example", z, True) for i, z in enumerate(("Asia/Kolkata", "Australia/Sydney", "UTC", "America/New_York"))], "host string, zone_name string, day_first boolean")
+    assert {r.host: r.zone for r in T.host_zones(df, "v", "url", directory, order="id").collect()} == {"x0.example": "Asia/Kolkata", "x1.example": "Australia/Sydney"}
+    assert T.host_zones(df.limit(0), "v", "url", directory, order="id").count() == 0
+
+
+def test_stamps_beyond_the_prior(spark):
+    directory = spark.createDataFrame([("a.example", "Asia/Kathmandu", True), ("b.example", "Asia/Kolkata", True)], "host string, zone_name string, day_first boolean")
+    df = spark.createDataFrame([(k, *planted("Asia/Kathmandu", "a", k)) for k in range(200)], "id long, v string, url string, seen timestamp, want long")
+    assert T.host_zones(df, "v", "url", directory, "seen").first().zone == "Asia/Kathmandu"
