@@ -12,7 +12,7 @@ extended to both sides with up to EDITS edits (furthest-reaching, exact), so no
 last word of a window counts as one of its edits, so 25 words with a changed first word are a case.
 
 Defined results: null text and null item text hold nothing; items shorter than WINDOW words never leak; a
-document delivered twice gives its rows once; an item id with several texts leaks if one of them does;
+document delivered twice gives its rows once, and is cleaned row by row, each by the passages of its own text; an item id with several texts leaks if one of them does;
 words are lower-case runs of letters and digits.
 """
 
@@ -170,25 +170,50 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def without_passages(docs: DataFrame, doc_id: str, text: str, passages: DataFrame) -> DataFrame:
-    """doc_id, text of the documents with passages, the passages taken out from first to last word."""
-    spans = passages.groupBy(doc_id).agg(F.collect_list(F.struct("first_word", "last_word")).alias("_spans"))
+def _word_spans(t: str) -> list[tuple[int, int]]:
+    """Where the words of t.lower() stand in t."""
+    low = t.lower()
+    if len(low) == len(t):
+        return [m.span() for m in WORD.finditer(low)]
+    at = [i for i, c in enumerate(t) for _ in c.lower()]  # letters that become two in lower case
+    return [(at[m.start()], at[m.end() - 1] + 1) for m in WORD.finditer(low)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def without_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """doc_id, text, n_passages of every row of docs, its leaked passages taken out from first to last word; found and cut in one pass over the row."""
+    x = docs.select(F.col(doc_id).cast("bigint").alias(doc_id), F.col(text).alias(text), F.array().cast("array<bigint>").alias("_spans"))
+    schema = f"{doc_id} bigint, {text} string, _spans array<bigint>"
+    for chunk in _chunks(items, item_id, item_text):
+        held = docs.sparkSession.sparkContext.broadcast(Index(chunk))
+
+        def find(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                spans = [list(s) for s in pdf["_spans"]]
+                for k, _, first, last, _ in held.value.find(pdf[text].tolist()):
+                    spans[k] += [first, last]
+                yield pdf.assign(_spans=spans)
+
+        x = x.mapInPandas(find, schema)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            kept = []
-            for t, spans_ in zip(pdf["_text"], pdf["_spans"]):
-                at = [m.span() for m in WORD.finditer(t.lower() if len(t.lower()) == len(t) else t)]
-                gone = sorted((at[s["first_word"]][0], at[s["last_word"]][1]) for s in spans_)
+            kept, gone = [], []
+            for t, s in zip(pdf[text], pdf["_spans"]):
+                spans = set(zip(s[::2], s[1::2]))
+                gone.append(len(spans))
+                if not spans:
+                    kept.append(t)
+                    continue
+                at = _word_spans(t)
                 parts, end = [], 0
-                for a, b in gone:
+                for a, b in sorted((at[i][0], at[j][1]) for i, j in spans):
                     if a >= end:
                         parts.append(t[end:a])
                     end = max(end, b)
                 kept.append("".join([*parts, t[end:]]))
-            yield pd.DataFrame({doc_id: pdf[doc_id], text: kept})
+            yield pd.DataFrame({doc_id: pdf[doc_id], text: kept, "n_passages": np.array(gone, dtype=np.int32)})
 
-    return docs.join(spans, doc_id).select(doc_id, F.col(text).alias("_text"), "_spans").mapInPandas(run, f"{doc_id} bigint, {text} string")
+    return x.mapInPandas(cut, f"{doc_id} bigint, {text} string, n_passages int")
 
 
 def _p8(spark: SparkSession, d: str) -> DataFrame:
@@ -200,8 +225,8 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_clean(spark: SparkSession, d: str) -> DataFrame:
-    """The documents with leaked passages, without them."""
-    return without_passages(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", _p8(spark, d))
+    """All documents without the leaked passages."""
+    return without_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "item_text")
 
 
 def p8_items(spark: SparkSession, d: str) -> DataFrame:
