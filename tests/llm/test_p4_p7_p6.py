@@ -40,6 +40,12 @@ def test_spellings_link(spark):
     assert names.linked(spark.createDataFrame([], "spelling string, n long")).count() == 0
 
 
+def test_long_names_align():
+    a = [f"word{i}" for i in range(14)]
+    assert names.aligned(a, list(reversed(a))) == (0, 0, 0, 0)
+    assert names.aligned(a, [*a[:6], "wrd6", *a[7:]]) is not None and names.aligned(a, [*a[:6], "other", *a[7:]]) is None
+
+
 def texts(rnd, n):
     vocab = [f"w{i}" for i in range(400)] + ["the", "of", "in"] * 30
     base = [" ".join(rnd.choice(vocab) for _ in range(rnd.randint(5, 40))) for _ in range(n)]

@@ -40,8 +40,9 @@ def test_leaks(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("clash"))
     got = leakage.leaks(df, "doc_id", "text", items, "item_id", "item_text")
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
-    clean = {r.doc_id: r.text for r in leakage.without_passages(df.where("doc_id < 500"), "doc_id", "text", got.where("doc_id < 500")).collect()}
-    assert set(clean) == {d for d, _ in want if d < 500} and all("Item30" not in t or t.count("Item") < 4 for t in clean.values())
+    kept = leakage.without_passages(df, "doc_id", "text", items, "item_id", "item_text").collect()
+    assert sorted(r.doc_id for r in kept) == sorted(d for d, _ in rows) and all((r.n_passages > 0) == ((r.doc_id, 7) in want) for r in kept)
+    assert all(r.text.count("Item") < 4 for r in kept if r.n_passages and r.doc_id < 500) and all(r.text == dict(rows)[r.doc_id] for r in kept if not r.n_passages)
     assert leakage.leaks(df.limit(0), "doc_id", "text", items, "item_id", "item_text").count() == 0
     assert leakage.leaks(df, "doc_id", "text", items.limit(0), "item_id", "item_text").count() == 0
 
@@ -129,3 +130,18 @@ def test_affected_table(spark):
     assert sorted(r.doc_id for r in got.collect()) == [1000, 1000, 1003]
     assert got.where("doc_id = 1000").first().text == rows[0][1]
     assert encoding.restored(df.limit(0), "doc_id", "text", "lang").count() == 0
+
+
+def test_copies_of_one_garbled_text_do_not_teach_its_signs(spark):
+    right = corpus(60)
+    bad = wrong(right[0][1], "cp1252")
+    rows = [(i, t, k) for i, (k, t) in enumerate(right)] + [(1000 + i, bad, "fr") for i in range(60)]
+    got = encoding.restored(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert {r.doc_id: r.text for r in got.collect()} == {1000 + i: right[0][1] for i in range(60)}
+
+
+def test_cleaning_keeps_each_row_of_an_id_apart(spark):
+    items = spark.createDataFrame([(7, ITEM)], "item_id long, item_text string")
+    rows = [(1, "\u0130stanbul\u0130 before " + ITEM + " after"), (1, "short text"), (1, None), (None, ITEM)]
+    got = leakage.without_passages(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", items, "item_id", "item_text")
+    assert sorted((r.doc_id or 0, r.text or "", r.n_passages) for r in got.collect()) == [(0, "", 1), (1, "", 0), (1, "short text", 0), (1, "\u0130stanbul\u0130 before  after", 1)]
