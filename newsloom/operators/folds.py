@@ -7,24 +7,36 @@ from pyspark.sql import Column, DataFrame, functions as F
 from newsloom.session import stage
 
 
-def first_wins(ids: DataFrame, pairs: DataFrame, row_id: str) -> DataFrame:
-    """row_id, kept: scanning ids upwards, a row is kept if no kept row before it is its partner (pairs id_a < id_b).
+def first_wins(ids: DataFrame, pairs: DataFrame, row_id: str, keys: DataFrame | None = None) -> DataFrame:
+    """row_id, kept: scanning ids upwards, a row is kept if no kept row before it is its partner (pairs id_a < id_b) or has the same key (keys: row_id, key).
 
     In each round a row is dropped once a partner before it is kept, and kept once all partners before it
-    are dropped; the rounds needed are the longest chain of undecided partners. A pair that repeats, or whose ends
-    are not among the ids, changes nothing; null ids are left out.
+    are dropped; rows of one key are partners of each other without being paired: only its first open row may be kept. The rounds needed are the
+    longest chain of undecided partners. A pair that repeats, or whose ends are not among the ids, changes nothing; null ids and keys are left out.
     """
     ids = ids.select(F.col(row_id).alias("id")).where("id is not null").distinct()
     pairs = pairs.select("id_a", "id_b").where("id_a < id_b").distinct()
     pairs = stage(pairs.join(ids.select(F.col("id").alias("id_a")), "id_a", "left_semi").join(ids.select(F.col("id").alias("id_b")), "id_b", "left_semi"), "fold-pairs")
+    if keys is None:
+        group = ids.select("id", F.lit(None).cast("string").alias("key")).limit(0)
+    else:
+        k = keys.select(F.col(row_id).alias("id"), F.col("key").cast("string").alias("key")).where("id is not null and key is not null").distinct().join(ids, "id", "left_semi")
+        many = k.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+        group = stage(k.join(many, "key", "left_semi").select("id", "key"), "fold-keys")
     dropped, open_ = None, pairs
-    while open_.limit(1).count():
+    while open_.limit(1).count() or group.limit(1).count():
+        first = group.groupBy("key").agg(F.min("id").alias("first"))
+        members = group.join(first, "key")
         # ids without an undecided partner before them are kept in this round
-        keep = open_.select(F.col("id_a").alias("id")).distinct().join(open_.select(F.col("id_b").alias("id")).distinct(), "id", "left_anti")
-        gone = stage(open_.join(keep.select(F.col("id").alias("id_a")), "id_a", "left_semi").select(F.col("id_b").alias("id")).distinct(), "fold-gone")
+        blocked = open_.select(F.col("id_b").alias("id")).unionAll(members.where("id > first").select("id")).distinct()
+        keep = stage(open_.select(F.col("id_a").alias("id")).unionAll(group.select("id")).distinct().join(blocked, "id", "left_anti"), "fold-keep")
+        gone = open_.join(keep.select(F.col("id").alias("id_a")), "id_a", "left_semi").select(F.col("id_b").alias("id"))
+        gone = stage(gone.unionAll(members.join(keep.select(F.col("id").alias("first")), "first", "left_semi").where("id > first").select("id")).distinct(), "fold-gone")
         dropped = gone if dropped is None else dropped.unionAll(gone)
-        left = open_.join(gone.select(F.col("id").alias("id_b")), "id_b", "left_anti").join(gone.select(F.col("id").alias("id_a")), "id_a", "left_anti")
-        open_ = stage(left.join(keep.select(F.col("id").alias("id_a")), "id_a", "left_anti"), "fold-open")
+        decided = keep.unionAll(gone)
+        left = open_.join(gone.select(F.col("id").alias("id_b")), "id_b", "left_anti").join(decided.select(F.col("id").alias("id_a")), "id_a", "left_anti")
+        open_ = stage(left, "fold-open")
+        group = stage(group.join(decided, "id", "left_anti"), "fold-keys")
     if dropped is None:
         return ids.select(F.col("id").alias(row_id), F.lit(True).alias("kept"))
     return ids.join(dropped.distinct().withColumn("_gone", F.lit(True)), "id", "left").select(F.col("id").alias(row_id), F.col("_gone").isNull().alias("kept"))

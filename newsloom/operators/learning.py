@@ -170,15 +170,18 @@ def rolling_backtest(rows: DataFrame, thresholds: list[float], train_days: int,
 def horizon_labels(runs: DataFrame, horizons: list[int]) -> DataFrame:
     """run_date, event_key and for each horizon h whether the key is in the first run at least h days later (null: no such run).
 
-    Runs are days, so the table of days and their forward partner is tiny; the labels are left joins on (day, key).
+    The day of a horizon is found by a window over the days and days moved back by it; the labels are joins on (day, key), both shuffled by the key.
     """
     seen = runs.select("run_date", "event_key").distinct()
-    days = runs.select("run_date").distinct()
+    days = seen.select("run_date").distinct()
     out = seen
     for h in horizons:
-        later = days.alias("a").join(days.alias("b"), F.col("b.run_date") >= F.date_add("a.run_date", h)).groupBy(F.col("a.run_date").alias("run_date")).agg(F.min("b.run_date").alias("_at"))  # days against days
+        # days as they are, marked, among days as they are wanted: the first marked one at or after each
+        both = days.select(F.col("run_date").alias("at"), F.col("run_date").alias("day"), F.lit(None).cast("date").alias("of")).unionAll(days.select(F.date_add("run_date", h), F.lit(None).cast("date"), F.col("run_date")))
+        first = F.min("day").over(W.orderBy(F.unix_date("at")).rangeBetween(0, W.unboundedFollowing))  # a row a day
+        later = both.withColumn("_at", first).where("of is not null").select(F.col("of").alias("run_date"), "_at")
         hit = seen.select(F.col("run_date").alias("_at"), "event_key", F.lit(True).alias("_hit"))
-        out = out.join(F.broadcast(later), "run_date", "left").join(hit, ["_at", "event_key"], "left")
+        out = out.join(later, "run_date", "left").join(hit, ["_at", "event_key"], "left")
         out = out.withColumn(f"seen_{h}d", F.when(F.col("_at").isNotNull(), F.coalesce("_hit", F.lit(False)))).drop("_at", "_hit")
     return out
 

@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import Window as W, functions as F
 
 from newsloom.functions.text import token_set
-from newsloom.operators import similarity as S
+from newsloom.operators import matching as M, search as Q, similarity as S
 from newsloom.operators.coverage import finite
 from newsloom.plans import views as V
-from newsloom.session import shared_dir, table
+from newsloom.session import shared_dir, stage, table
 from newsloom.sources import tables as IO
 
 
@@ -42,34 +42,50 @@ def weekly(spark, d):
 
 
 def copies(spark, d):
-    """Pairs of reports in different sources whose titles are copies: overlap of 0.78 with six shared words."""
-    x = S.with_tokens(table(spark, d, "article_feed").select("feed_pos", "source", "title"), "title")
-    p = S.self_join(x.select("feed_pos", "tokens"), "feed_pos", 0.78)
-    side = lambda k: x.select(F.col("feed_pos").alias(f"id_{k}"), F.col("source").alias(f"s_{k}"), F.col("tokens").alias(f"t_{k}"))
+    """Reports that copy each other: rows with the same title words, summary words and presence of a summary are one class, named by its first row.
+
+    Two classes are copies if their summaries overlap by 0.82 with ten shared words, or, where one has no summary, their titles by 0.78 with six.
+    """
+    some = F.trim(F.coalesce("summary", F.lit(""))) != ""
+    x = table(spark, d, "article_feed").select("feed_pos", F.sort_array(M.stopped(F.col("title"))).alias("t"), F.sort_array(M.stopped(F.col("summary"))).alias("s"), some.alias("has"))
+    x = stage(x.groupBy("t", "s", "has").agg(F.min("feed_pos").alias("id"), F.count(F.lit(1)).alias("n")), "jn7-classes")
+    by_text = S.self_join(x.where("size(s) >= 10").select("id", F.col("s").alias("tokens")), "id", 0.82).select("id_a", "id_b")
+    titles = x.where("size(t) >= 6").select("id", "has", F.col("t").alias("tokens"))
+    bare = titles.where("not has").select(F.col("id").alias("_b"), "tokens")
+    by_title = S.similarity_join(bare, titles.select("id", "tokens"), "_b", "id", 0.78).where("_b != id").select(F.least("_b", "id").alias("id_a"), F.greatest("_b", "id").alias("id_b"))
+    p = by_text.withColumn("text", F.lit(True)).unionAll(by_title.withColumn("text", F.lit(False))).groupBy("id_a", "id_b").agg(F.bool_or("text").alias("text"))
+    side = lambda k: x.select(F.col("id").alias(f"id_{k}"), F.col("t").alias(f"t_{k}"), F.col("s").alias(f"s_{k}"), F.col("n").alias(f"n_{k}"))
     p = p.join(side("a"), "id_a").join(side("b"), "id_b")
-    return p.where("s_a != s_b and size(array_intersect(t_a, t_b)) >= 6").select("id_a", "id_b", F.round("overlap", 6).alias("overlap"))
+    shared = lambda c: F.size(F.array_intersect(f"{c}_a", f"{c}_b"))
+    return p.where((F.col("text") & (shared("s") >= 10)) | (~F.col("text") & (shared("t") >= 6))).select("id_a", "id_b", "n_a", "n_b")
 
 
 def related_history(spark, d):
-    """For each incoming headline the best five accepted ones by share of its words, with three shared words at least and a share of a third."""
-    q = S.with_tokens(table(spark, d, "incoming_articles").select("row_id", "headline"), "headline").select("row_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    h = S.with_tokens(table(spark, d, "articles").select(F.col("row_id").alias("old"), "headline"), "headline").select("old", F.explode("tokens").alias("token"))
-    # words that more than a twentieth of the headlines hold name no story; they neither find nor rank candidates
-    common = h.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > table(spark, d, "articles").count() / 20).select("token")
-    h = h.join(common, "token", "left_anti")
-    g = q.join(h, "token").groupBy("row_id", "n", "old").agg(F.count(F.lit(1)).alias("shared")).where("shared >= 3 and 3 * shared >= n")
-    r = g.withColumn("rank", F.row_number().over(W.partitionBy("row_id").orderBy(F.desc("shared"), "old")))
-    return r.where("rank <= 5").select("row_id", "old", "shared", "rank")
+    """For each queried incoming headline (of at least three distinctive words) the best five accepted ones dated before it, with three shared words and an overlap of 0.34."""
+    tok = lambda c: F.array_except(M.stopped(F.col(c)), M.words(M.GENERIC_QUERY))
+    q = table(spark, d, "incoming_articles").where("row_id % 50 = 0").select("row_id", tok("headline").alias("tokens"), F.substring("date", 1, 10).alias("day")).where("size(tokens) >= 3")
+    h = table(spark, d, "articles").select(F.col("row_id").alias("old"), tok("headline").alias("tokens"), F.substring("date", 1, 10).alias("at"))
+    return Q.search(q, h, "row_id", "old", 0.34, shared=3, most=5, order=["overlap", "shared", "at", "r"], before="day", at="at").select("row_id", "old", "shared", F.round("overlap", 6).alias("overlap"), "rank")
 
 
 def related_count(spark, d):
-    """Accepted articles whose headline overlaps each event's by a quarter to a half, and more."""
-    ev = S.with_tokens(table(spark, d, "news_events").select("event_no", "headline"), "headline").drop("headline")
-    a = S.with_tokens(table(spark, d, "articles").select("row_id", "headline"), "headline").drop("headline")
-    n = S.similarity_join(ev, a, "event_no", "row_id", 0.25).groupBy("event_no").agg(F.count(F.lit(1)).alias("related"), F.count_if(F.col("overlap") >= 0.5).alias("close"))
+    """Accepted articles whose headline overlaps each queried event's by a quarter, and by a half."""
+    tok = lambda c: token_set(F.col(c), S.WORDS4)
+    ev = table(spark, d, "news_events").where("event_no % 50 = 0").select("event_no", tok("headline").alias("tokens"))
+    a = table(spark, d, "articles").select("row_id", tok("headline").alias("tokens"))
+    n = Q.search(ev, a, "event_no", "row_id", 0.25).groupBy("event_no").agg(F.count(F.lit(1)).alias("related"), F.count_if(F.col("overlap") >= 0.5).alias("close"))
     return ev.select("event_no").join(n, "event_no", "left").select("event_no", F.coalesce("related", F.lit(0)).alias("related"), F.coalesce("close", F.lit(0)).alias("close"))
 
 
+def changed_since(spark, d):
+    """Each event first seen the day after another one whose headline overlaps its own by 0.48: continuing, else new."""
+    x = S.with_tokens(table(spark, d, "news_events").where("first_seen is not null").select("event_no", "first_seen", "headline"), "headline")
+    today = x.select("event_no", "tokens", F.date_sub("first_seen", 1).cast("string").alias("day"))
+    before = x.select(F.col("event_no").alias("old"), "tokens", F.col("first_seen").cast("string").alias("day"))
+    hit = S.similarity_join(today, before, "event_no", "old", 0.48, ["day"]).select("event_no").distinct().withColumn("hit", F.lit(True))
+    return x.select("event_no").join(hit, "event_no", "left").select("event_no", F.when(F.col("hit"), "Continuing").otherwise("New today").alias("change"))
+
+
 def sheet_check(spark, d):
     """Feed articles against accepted articles by id: on both sides, missing on one, or with differing titles."""
     f = table(spark, d, "article_feed").where("article_id is not null").groupBy("article_id").agg(F.max_by("title", "feed_pos").alias("title"))
@@ -100,11 +116,11 @@ def pool_union(spark, d):
 
 
 def changed_terms(spark, d):
-    """Words that only the first or only the last delivery of an article has in its title (symmetric difference)."""
-    x = table(spark, d, "article_feed").where("article_id is not null")
-    g = x.groupBy("article_id").agg(F.min_by("title", "feed_pos").alias("a"), F.max_by("title", "feed_pos").alias("b"))
+    """Words that only the first or only the last report of an event has in its headline (symmetric difference)."""
+    x = table(spark, d, "articles").where("event_id is not null")
+    g = x.groupBy("event_id").agg(F.min_by("headline", "row_id").alias("a"), F.max_by("headline", "row_id").alias("b"))
     t = lambda c: token_set(F.col(c), S.WORDS4)
-    return g.select("article_id", F.array_join(F.sort_array(F.array_union(F.array_except(t("a"), t("b")), F.array_except(t("b"), t("a")))), " ").alias("terms")).where("terms != ''")
+    return g.select("event_id", F.array_join(F.sort_array(F.array_union(F.array_except(t("a"), t("b")), F.array_except(t("b"), t("a")))), " ").alias("terms")).where("terms != ''")
 
 
 def quality_trend(spark, d):
@@ -134,7 +150,7 @@ def first_per_family(spark, d):
 
 
 QUERIES = {
-    "jn11_continuing": continuing, "ag32_anomalies": anomalies, "ag35_weekly": weekly, "jn7_copies": copies, "jn8_related_history": related_history, "jn17_related_count": related_count,
+    "jn11_continuing": continuing, "jn11_changed_since": changed_since, "ag32_anomalies": anomalies, "ag35_weekly": weekly, "jn7_copies": copies, "jn8_related_history": related_history, "jn17_related_count": related_count,
     "jn21_sheet_check": sheet_check, "jn22_last_delivery": last_delivery, "sr5_capped_targets": capped_targets, "st1_pool_union": pool_union, "st4_changed_terms": changed_terms, "wn11_quality_trend": quality_trend,
     "sc3_csv_round_trip": lambda s, d: stored(s, d, "csv"), "sc5_json_round_trip": lambda s, d: stored(s, d, "json"), "sr4_first_per_family": first_per_family,
     "ag16_source_category": lambda s, d: V.learning(s, d).where("mature and selected").groupBy("source", "category").agg(F.count(F.lit(1)).alias("n"), F.round((F.count_if(F.col("outcome") >= 0.5) + 2) / (F.count(F.lit(1)) + 4), 6).alias("rate")),
@@ -149,6 +165,10 @@ def _j(a: str, b: str) -> str:
     return f"len(list_intersect({a}, {b})) / greatest(1, len({a}) + len({b}) - len(list_intersect({a}, {b})))"
 
 
+def _stop(x: str, words: list[str] = M.STOP) -> str:
+    return f"list_filter({_tok(x)}, lambda w: NOT list_contains([" + ", ".join(f"'{w}'" for w in words) + "], w))"
+
+
 _FIN = "CASE WHEN importance IS NULL OR isnan(importance) OR isinf(importance) THEN 0 ELSE importance END"
 SQL = {
     "jn11_continuing": f"""WITH {V.RUNS}, s AS (SELECT DISTINCT run_date, event_key FROM runs_v) SELECT CAST(s.run_date AS VARCHAR) AS run_date, count(*) AS keys, count(p.event_key) AS continuing, count(*) - count(p.event_key) AS new_keys
@@ -157,13 +177,19 @@ SQL = {
   b AS (SELECT *, earlier / (SELECT sum(earlier) FROM g) AS base FROM g) SELECT event_type, current, earlier, round(base, 6) AS baseline, current >= 3 AND base < 0.08 AS anomaly FROM b""",
     "ag35_weekly": f"""SELECT year(first_seen) || '-W' || lpad(CAST(weekofyear(first_seen) AS VARCHAR), 2, '0') AS week, count(*) AS n, count(DISTINCT category) AS categories, round(avg({_FIN}), 6) AS mean_importance
   FROM news_events WHERE first_seen IS NOT NULL GROUP BY 1""",
-    "jn7_copies": f"""WITH f AS (SELECT feed_pos AS k, source, {_tok('title')} AS tokens FROM article_feed), u AS (SELECT k, source, tokens, unnest(tokens) AS tok FROM f)
-  SELECT DISTINCT x.k AS id_a, y.k AS id_b, round({_j('x.tokens', 'y.tokens')}, 6) AS overlap FROM u x JOIN u y ON x.tok = y.tok AND x.k < y.k AND x.source <> y.source WHERE {_j('x.tokens', 'y.tokens')} >= 0.78 - 1e-12 AND len(list_intersect(x.tokens, y.tokens)) >= 6""",
-    "jn8_related_history": f"""WITH q AS (SELECT row_id, len({_tok('headline')}) AS n, unnest({_tok('headline')}) AS tok FROM incoming_articles), h AS (SELECT row_id AS old, unnest({_tok('headline')}) AS tok FROM articles),
-  c AS (SELECT tok FROM h GROUP BY tok HAVING count(*) > (SELECT count(*) FROM articles) / 20.0), g AS (SELECT row_id, n, old, count(*) AS shared FROM q JOIN h USING (tok) WHERE tok NOT IN (SELECT tok FROM c) GROUP BY row_id, n, old HAVING count(*) >= 3 AND 3 * count(*) >= n)
-  SELECT row_id, old, shared, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY shared DESC, old) AS rank FROM g) t WHERE rank <= 5""",
-    "jn17_related_count": f"""WITH e AS (SELECT event_no, {_tok('headline')} AS tokens FROM news_events), a AS (SELECT {_tok('headline')} AS t FROM articles),
-  p AS (SELECT event_no, {_j('e.tokens', 'a.t')} AS o FROM e, a) SELECT event_no, count(*) FILTER (o >= 0.25 - 1e-12) AS related, count(*) FILTER (o >= 0.5) AS close FROM p GROUP BY event_no""",
+    "jn7_copies": f"""WITH f AS (SELECT feed_pos, list_sort({_stop('title')}) AS t, list_sort({_stop('summary')}) AS s, trim(coalesce(summary, '')) <> '' AS has FROM article_feed), c AS (SELECT t, s, has, min(feed_pos) AS id, count(*) AS n FROM f GROUP BY t, s, has),
+  u AS (SELECT id, unnest(s) AS tok FROM c WHERE len(s) >= 10), v AS (SELECT id, has, unnest(t) AS tok FROM c WHERE len(t) >= 6),
+  p AS (SELECT x.id AS a, y.id AS b FROM u x JOIN u y ON x.tok = y.tok AND x.id < y.id GROUP BY 1, 2 HAVING count(*) >= 10),
+  r AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.tok = y.tok AND x.id < y.id AND NOT (x.has AND y.has) GROUP BY 1, 2 HAVING count(*) >= 6),
+  k AS (SELECT p.a, p.b FROM p JOIN c x ON x.id = p.a JOIN c y ON y.id = p.b WHERE {_j('x.s', 'y.s')} >= 0.82 - 1e-12 UNION SELECT r.a, r.b FROM r JOIN c x ON x.id = r.a JOIN c y ON y.id = r.b WHERE {_j('x.t', 'y.t')} >= 0.78 - 1e-12)
+  SELECT k.a AS id_a, k.b AS id_b, x.n AS n_a, y.n AS n_b FROM k JOIN c x ON x.id = k.a JOIN c y ON y.id = k.b""",
+    "jn8_related_history": f"""WITH q AS (SELECT row_id, {_stop('headline', M.STOP + M.GENERIC_QUERY)} AS w, substr(date, 1, 10) AS day FROM incoming_articles WHERE row_id % 50 = 0), h AS (SELECT row_id AS old, {_stop('headline', M.STOP + M.GENERIC_QUERY)} AS v, coalesce(substr(date, 1, 10), '') AS dated FROM articles),
+  g AS (SELECT row_id, old, dated, len(list_intersect(w, v)) AS shared, {_j('w', 'v')} AS o FROM q, h WHERE len(w) >= 3 AND len(list_intersect(w, v)) >= 3 AND (dated = '' OR dated < coalesce(day, '')))
+  SELECT row_id, old, CAST(shared AS INTEGER) AS shared, round(o, 6) AS overlap, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY o DESC, shared DESC, dated, old) AS rank FROM g WHERE o >= 0.34) t WHERE rank <= 5""",
+    "jn17_related_count": f"""WITH e AS (SELECT event_no, {_tok('headline')} AS tokens FROM news_events WHERE event_no % 50 = 0), a AS (SELECT {_tok('headline')} AS t FROM articles),
+  p AS (SELECT event_no, {_j('e.tokens', 'a.t')} AS o FROM e, a) SELECT event_no, count(*) FILTER (o >= 0.25) AS related, count(*) FILTER (o >= 0.5) AS close FROM p GROUP BY event_no""",
+    "jn11_changed_since": f"""WITH x AS (SELECT event_no, first_seen, {_tok('headline')} AS w FROM news_events WHERE first_seen IS NOT NULL)
+  SELECT a.event_no, CASE WHEN EXISTS (SELECT 1 FROM x b WHERE b.first_seen = a.first_seen - 1 AND {_j('a.w', 'b.w')} >= 0.48 - 1e-12) THEN 'Continuing' ELSE 'New today' END AS change FROM x a""",
     "jn21_sheet_check": """WITH f AS (SELECT article_id, arg_max(title, feed_pos) AS title FROM article_feed WHERE article_id IS NOT NULL GROUP BY article_id), a AS (SELECT article_id, arg_max(headline, row_id) AS headline FROM articles WHERE article_id IS NOT NULL GROUP BY article_id)
   SELECT CASE WHEN a.headline IS NULL THEN 'feed_only' WHEN f.title IS NULL THEN 'accepted_only' WHEN f.title = a.headline THEN 'same' ELSE 'differs' END AS state, count(*) AS n FROM f FULL OUTER JOIN a ON a.article_id = f.article_id GROUP BY 1""",
     "jn22_last_delivery": """SELECT f.feed_pos, g.p AS last_pos, l.published AS last_published FROM article_feed f JOIN (SELECT article_id, max(feed_pos) AS p FROM article_feed WHERE article_id IS NOT NULL GROUP BY article_id) g ON g.article_id = f.article_id
@@ -177,7 +203,7 @@ SQL = {
     "sc5_json_round_trip": "SELECT event_no, event_id, headline, category FROM news_events",
     "sr4_first_per_family": "SELECT min(event_no) AS event_no FROM news_events WHERE region IS NOT NULL GROUP BY category, region UNION ALL SELECT event_no FROM news_events WHERE region IS NULL",
     "ag16_source_category": f"WITH {V.LEARNING} SELECT source, category, count(*) AS n, round((count(*) FILTER (outcome >= 0.5) + 2) / (count(*) + 4), 6) AS rate FROM learning_v WHERE mature AND selected GROUP BY source, category",
-    "st4_changed_terms": f"""WITH g AS (SELECT article_id, arg_min(title, feed_pos) AS a, arg_max(title, feed_pos) AS b FROM article_feed WHERE article_id IS NOT NULL GROUP BY article_id),
-  t AS (SELECT article_id, {_tok('a')} AS x, {_tok('b')} AS y FROM g), m AS (SELECT article_id, array_to_string(list_sort(list_concat(list_filter(x, lambda w: NOT list_contains(y, w)), list_filter(y, lambda w: NOT list_contains(x, w)))), ' ') AS terms FROM t)
-  SELECT article_id, terms FROM m WHERE terms <> ''""",
+    "st4_changed_terms": f"""WITH g AS (SELECT event_id, arg_min(headline, row_id) AS a, arg_max(headline, row_id) AS b FROM articles WHERE event_id IS NOT NULL GROUP BY event_id),
+  t AS (SELECT event_id, {_tok('a')} AS x, {_tok('b')} AS y FROM g), m AS (SELECT event_id, array_to_string(list_sort(list_concat(list_filter(x, lambda w: NOT list_contains(y, w)), list_filter(y, lambda w: NOT list_contains(x, w)))), ' ') AS terms FROM t)
+  SELECT event_id, terms FROM m WHERE terms <> ''""",
 }

@@ -23,10 +23,10 @@ def policies():
 
 
 def deduplicated(spark, d):
-    """Feed rows kept by first-wins dedup: a title that overlaps a kept earlier one of its source by 0.62 is dropped."""
-    x = table(spark, d, "article_feed").select("feed_pos", F.lower("source").alias("src"), "title")
-    pairs = stage(S.self_join(S.with_tokens(x.where("src is not null"), "title").drop("title"), "feed_pos", 0.62, ["src"]).select("id_a", "id_b"), "jn1-pairs")
-    return folds.first_wins(x, pairs, "feed_pos")
+    """Feed rows kept by first-wins dedup: dropped if a kept earlier row has the same url, or the same source (case and outer blanks aside) and a title overlapping by 0.62."""
+    x = table(spark, d, "article_feed").select("feed_pos", F.lower(F.trim("source")).alias("src"), "title", "url")
+    pairs = stage(S.self_join(S.with_tokens(x.where("src is not null"), "title").select("feed_pos", "src", "tokens"), "feed_pos", 0.62, ["src"]).select("id_a", "id_b"), "jn1-pairs")
+    return folds.first_wins(x, pairs, "feed_pos", x.select("feed_pos", F.col("url").alias("key")))
 
 
 def corroboration(spark, d):

@@ -31,6 +31,53 @@ def test_first_wins_equals_scan(spark):
         assert sorted(r.id for r in got.where("kept").collect()) == kept
 
 
+def test_first_wins_with_keys_equals_scan(spark):
+    rnd = random.Random(6)
+    for n, m in ((30, 25), (60, 80), (25, 0)):
+        pairs = {tuple(sorted(rnd.sample(range(n), 2))) for _ in range(m)}
+        key = {i: rnd.choice([None, "a", "b", *[f"k{j}" for j in range(12)]]) for i in range(n)}
+        kept = []
+        for i in range(n):
+            if not any((k, i) in pairs or key[i] is not None and key[k] == key[i] for k in kept):
+                kept.append(i)
+        p = spark.createDataFrame(sorted(pairs), "id_a long, id_b long")
+        got = folds.first_wins(spark.createDataFrame([(i,) for i in range(n)], "id long"), p, "id", spark.createDataFrame(list(key.items()), "id long, key string"))
+        assert sorted(r.id for r in got.where("kept").collect()) == kept
+
+
+def test_search_equals_brute_force(spark, monkeypatch):
+    from newsloom.operators import search as Q
+
+    monkeypatch.setattr(Q, "CHUNK", 7)
+    rnd = random.Random(9)
+    sets = {i: rnd.sample([f"t{j}" for j in range(25)], rnd.randint(0, 8)) for i in range(90)}
+    df = spark.createDataFrame([(i, w, f"2025-01-{i % 28:02d}" if i % 5 else None) for i, w in sets.items()], "r long, tokens array<string>, d string")
+    q = df.where("r % 4 = 0").select(F.col("r").alias("q"), "tokens", "d")
+    got = Q.search(q, df, "q", "r", 0.2, shared=2, most=3, order=["overlap", "shared", "at", "r"], before="d", at="d").collect()
+    day = lambda i: f"2025-01-{i % 28:02d}" if i % 5 else ""
+    for k in range(0, 90, 4):
+        hits = []
+        for i, w in sets.items():
+            n = len(set(w) & set(sets[k]))
+            if n >= 2 and n / len(set(w) | set(sets[k])) >= 0.2 and (not day(i) or day(i) < day(k)):
+                hits.append((-n / len(set(w) | set(sets[k])), -n, day(i), i))
+        assert [r.r for r in sorted((r for r in got if r.q == k), key=lambda r: r.rank)] == [h[3] for h in sorted(hits)[:3]]
+    assert Q.search(q.limit(0), df, "q", "r", 0.2).count() == 0 and Q.search(q, df.limit(0), "q", "r", 0.2, most=2).count() == 0
+    best = {r.r: r.best for r in Q.greatest_overlap(df, "r", q).collect()}
+    assert all(abs(best[i] - max((len(set(w) & set(sets[k])) / max(1, len(set(w) | set(sets[k]))) for k in range(0, 90, 4)), default=0)) < 1e-12 for i, w in sets.items())
+
+
+def test_event_matches(spark):
+    from newsloom.operators import matching as M
+
+    rows = [("Supreme Court verdict in Ostvale Trust fraud trial announced", "Ostvale Trust fraud trial verdict announced by judges"), ("Dogs bark", "Cats sleep"), (None, ""), ("Ostvale storm kills nine rangers near Brakville harbour", "Storm near Brakville harbour killed nine rangers, Ostvale says")]
+    x = spark.createDataFrame(rows, "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    x = x.select(M.research_similarity(M.event_tokens(a), M.event_tokens(b)).alias("r"), M.strong_match(M.event_tokens(a), M.event_tokens(b), M.names(a, True), M.names(b, True)).alias("s"), M.selection_similarity(M.stopped(a), M.stopped(b), M.names(a, False), M.names(b, False)).alias("c"))
+    got = [tuple(r) for r in x.collect()]
+    assert got[0][1] and got[0][0] >= 0.56 and got[1] == (0.0, False, 0.0) and got[2] == (0.0, False, 0.0) and got[3][1]
+
+
 def test_corroboration_one_publisher_no_copies(spark):
     rows = [
         (1, 10, "a", ["w1", "w2", "w3"], 0.9), (1, 11, "a", ["z1"], 0.8), (1, 12, "b", ["w1", "w2", "w3"], 0.7), (1, 13, "b", ["q1", "q2"], 0.6), (1, 14, None, ["r"], 0.99), (2, 10, "c", ["x"], 0.5),
