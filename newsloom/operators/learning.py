@@ -147,8 +147,8 @@ def top_per_group(rows: DataFrame, group: str, order: list[Column], k: int) -> D
     return rows.withColumn("rank", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("rank") <= k)
 
 
-def rolling_backtest(rows: DataFrame, thresholds: list[float], train_days: int, window_days: int) -> DataFrame:
-    """Rolling origin over days: each fold's threshold has the best f1 on all days before it (ties: the higher), its figures are of its own days.
+def rolling_backtest(rows: DataFrame, thresholds: list[float], train_days: int, window_days: int, low: bool = False) -> DataFrame:
+    """Rolling origin over days: each fold's threshold has the best f1 on all days before it (ties: the higher, or with low the lower), its figures are of its own days.
 
     Rows are reduced to counts per day and score before the folds are formed.
     """
@@ -163,7 +163,7 @@ def rolling_backtest(rows: DataFrame, thresholds: list[float], train_days: int,
     w = W.partitionBy("threshold").orderBy("fold").rowsBetween(W.unboundedPreceding, -1)
     past = per.withColumns({f"past_{c}": F.sum(c).over(w) for c in ("tp", "fp", "fn")}).where("fold >= 0")
     past = past.withColumn("train_f1", F.round(f1(F.col("past_tp"), F.col("past_fp"), F.col("past_fn")), 6))
-    best = past.withColumn("r", F.row_number().over(W.partitionBy("fold").orderBy(F.desc("train_f1"), F.desc("threshold")))).where("r = 1")
+    best = past.withColumn("r", F.row_number().over(W.partitionBy("fold").orderBy(F.desc("train_f1"), F.asc("threshold") if low else F.desc("threshold")))).where("r = 1")
     return best.select("fold", "threshold", "train_f1", "tp", "fp", "fn", F.round(f1(F.col("tp"), F.col("fp"), F.col("fn")), 6).alias("test_f1"))
 
 

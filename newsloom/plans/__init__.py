@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["timestamps", "learning", "similarity", "coverage", "review", "history", "streams"]
+MODULES = ["timestamps", "learning", "similarity", "coverage", "review", "history", "records", "streams"]
 FLAGSHIP = "flagship_outcome_profile"
 
 

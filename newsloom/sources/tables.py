@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 from pyspark.errors import AnalysisException
 
 FEED_ENTRY = "title STRING, link STRING, guid STRING, pubDate STRING, description STRING, category STRING"
@@ -29,10 +29,13 @@ def read_json(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return _or_empty(spark, T.StructType.fromDDL(ddl + ", file STRING"), lambda: spark.read.json(path, schema=schema, multiLine=True).withColumn("file", F.input_file_name()))
 
 
-def read_feed(spark: SparkSession, path: str, row_tag: str = "item", ddl: str = FEED_ENTRY) -> DataFrame:
-    """Entries of landed RSS files that have a title and a link."""
+def read_feed(spark: SparkSession, path: str, row_tag: str = "item", ddl: str = FEED_ENTRY, limit: int | None = None) -> DataFrame:
+    """Entries of landed RSS files that have a title and a link, with the file they come from; of each file the first `limit`."""
     x = spark.read.format("xml").option("rowTag", row_tag).schema(T.StructType.fromDDL(ddl)).load(path)
-    return x.where("trim(title) != '' and trim(link) != ''")
+    x = x.where("trim(title) != '' and trim(link) != ''").withColumns({"file": F.input_file_name(), "_at": F.monotonically_increasing_id()})
+    if limit is not None:
+        x = x.withColumn("_k", F.row_number().over(W.partitionBy("file").orderBy("_at"))).where(F.col("_k") <= limit).drop("_k")
+    return x.drop("_at")
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
