@@ -45,19 +45,27 @@ def first_wins(ids: DataFrame, pairs: DataFrame, row_id: str, keys: DataFrame |
 def corroborated(cand: DataFrame, story: str, publisher: str, tokens: str, order: list[Column], most: int = 8, copy: float = 0.78) -> DataFrame:
     """The candidates accepted for each story, best first: one for each publisher, none that copies an accepted one's text (overlap >= copy).
 
-    Each of the at most `most` rounds takes the best open candidate of every story by an aggregate and closes its publisher and copies, so a
+    Each of the at most `most` rounds takes the best candidate of every story by an aggregate among those whose publisher and text are not taken yet, so a
     story with very many candidates is never gathered in one task. order: columns whose smallest struct is the best; they must be unique.
     """
     from newsloom.functions.text import jaccard
 
-    open_ = stage(cand.where(F.col(publisher).isNotNull()).withColumn("_o", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])), "fold-cand")
-    out = None
+    c = stage(cand.where(F.col(publisher).isNotNull()).withColumn("_o", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])), "fold-cand")
+    fields = [F.col(x) for x in c.columns if x != story]
+    taken = None  # (story, accepted so far as an array): one small row a story, written once a round; the candidates are written once
     for k in range(most):
-        best = stage(open_.groupBy(story).agg(F.min_by(F.struct(*[F.col(c) for c in open_.columns if c != story]), "_o").alias("b")).select(story, "b.*").withColumn("accepted", F.lit(k + 1)), "fold-best")
+        open_ = c
+        if taken is not None:
+            free = F.forall("_taken", lambda t: (t[publisher] != F.col(publisher)) & (jaccard(F.col(tokens), t[tokens]) < copy))
+            open_ = c.join(taken, story).where(free).drop("_taken")
+        best = stage(open_.groupBy(story).agg(F.min_by(F.struct(*fields), "_o").alias("b")).select(story, F.array(F.struct(F.lit(k + 1).alias("accepted"), "b.*")).alias("_new")), "fold-best")
         if not best.limit(1).count():
             break
-        out = best if out is None else out.unionAll(best)
-        mark = best.select(story, F.col(publisher).alias("_p"), F.col(tokens).alias("_t"))
-        rest = open_.join(mark, story).where((F.col(publisher) != F.col("_p")) & (jaccard(F.col(tokens), F.col("_t")) < copy))
-        open_ = stage(rest.drop("_p", "_t"), "fold-cand")
-    return out.drop("_o") if out is not None else open_.withColumn("accepted", F.lit(0)).drop("_o")
+        if taken is None:
+            taken = best.withColumnRenamed("_new", "_taken")
+        else:
+            taken = stage(taken.join(best, story, "left").select(story, F.concat("_taken", F.coalesce("_new", F.slice("_taken", 1, 0))).alias("_taken")), "fold-taken")
+    if taken is None:
+        return c.withColumn("accepted", F.lit(0)).drop("_o")
+    out = taken.select(story, F.explode("_taken").alias("t")).select(story, "t.*")
+    return out.select(*[x for x in c.columns if x != "_o"], "accepted")

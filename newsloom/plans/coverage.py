@@ -66,9 +66,10 @@ def sampled(spark, d):
     """Ten articles of each category in the order of a seeded hash (reproducible stratified sample), and each stratum's rate."""
     x = table(spark, d, "articles").select("row_id", F.coalesce("category", F.lit("none")).alias("stratum"))
     key = F.sha2(F.concat_ws("|", F.lit("seed-1"), "stratum", F.col("row_id").cast("string")), 256)
-    w = W.partitionBy("stratum")
-    x = x.withColumn("rank", F.row_number().over(w.orderBy(key, "row_id"))).withColumn("eligible", F.count(F.lit(1)).over(w))
-    return x.where("rank <= 10").select("stratum", "rank", "row_id", "eligible", F.round(F.least(F.lit(10), "eligible") / F.col("eligible"), 6).alias("rate"))
+    # ranked with a limit to each group, counted apart, so that no stratum is sorted whole
+    first = x.withColumn("rank", F.row_number().over(W.partitionBy("stratum").orderBy(key, "row_id"))).where("rank <= 10")
+    n = x.groupBy("stratum").agg(F.count(F.lit(1)).alias("eligible"))
+    return first.join(n, "stratum").select("stratum", "rank", "row_id", "eligible", F.round(F.least(F.lit(10), "eligible") / F.col("eligible"), 6).alias("rate"))
 
 
 QUERIES = {
@@ -94,14 +95,20 @@ QUERIES = {
 _HOST = r"nullif(lower(regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1)), '')"
 _PUB = "coalesce(nullif(regexp_replace(" + _HOST.format(u="url") + r", '^www\.|\.$', '', 'g'), ''), nullif(trim(regexp_replace(lower(source), '\s+', ' ', 'g')), ''), 'unknown')"
 _FIN = "CASE WHEN {x} IS NULL OR isnan({x}) OR isinf({x}) THEN 0 ELSE {x} END"
-_NAMES = r"regexp_extract_all(headline, '\b[A-Z][A-Za-z0-9&-]{2,}(?: [A-Z][A-Za-z0-9&-]{2,}){0,2}')"
+_NAMES = f"regexp_extract_all(headline, '{C.NAMES}')"
+_COMPANY = " OR ".join(f"contains(lower(p), '{h}')" for h in C.COMPANY)
+
+
+def _entities(of: str) -> str:
+    return f"(SELECT CASE WHEN {_COMPANY} THEN p ELSE lower(p) END AS entity, CASE WHEN {_COMPANY} THEN 'company' ELSE 'topic' END AS kind, count(*) AS mentions FROM (SELECT unnest({_NAMES}) AS p FROM {of}) t GROUP BY 1, 2)"
+
+
 SQL = {
     "ag5_source_health": f"SELECT publisher, count(*) AS articles, count(*) FILTER (s >= 75) AS high_value, round(count(*) FILTER (s >= 75) / count(*), 6) AS rate FROM (SELECT {_PUB} AS publisher, {_FIN.format(x='importance')} AS s FROM articles) t GROUP BY publisher",
     "ag7_category_counts": "SELECT category, count(*) AS n FROM article_feed GROUP BY category",
     "ag23_coverage": "SELECT region, count(*) AS n, count(DISTINCT source) AS sources, count(DISTINCT category) AS categories FROM article_feed GROUP BY region",
-    "ag27_entities": f"SELECT entity, count(*) AS mentions FROM (SELECT unnest({_NAMES}) AS entity FROM news_events) t GROUP BY entity",
-    "ag28_entity_profiles": f"""SELECT a.entity, a.mentions, coalesce(b.mentions, 0) AS earlier FROM (SELECT entity, count(*) AS mentions FROM (SELECT unnest({_NAMES}) AS entity FROM news_events) t GROUP BY entity) a
-  LEFT JOIN (SELECT entity, count(*) AS mentions FROM (SELECT unnest({_NAMES}) AS entity FROM articles) t GROUP BY entity) b ON a.entity = b.entity""",
+    "ag27_entities": f"SELECT * FROM {_entities('news_events')} e",
+    "ag28_entity_profiles": f"SELECT a.entity, a.kind, a.mentions, coalesce(b.mentions, 0) AS earlier FROM {_entities('news_events')} a LEFT JOIN {_entities('articles')} b ON a.entity = b.entity AND a.kind = b.kind",
     "jn12_restored_metadata": """SELECT a.row_id, coalesce(nullif(trim(f.source), ''), a.source) AS source, coalesce(nullif(trim(f.category), ''), a.category) AS category FROM articles a LEFT JOIN (
   SELECT f.url, f.source, f.category FROM article_feed f JOIN (SELECT url, max(feed_pos) AS p FROM article_feed WHERE url IS NOT NULL GROUP BY url) m ON m.p = f.feed_pos) f ON f.url = a.url""",
     "jn20_edges": f"SELECT DISTINCT event_id AS from_node, unnest({_NAMES}) AS to_node FROM news_events",

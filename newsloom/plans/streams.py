@@ -13,7 +13,7 @@ def daily(spark, d):
 
 
 def first_seen(spark, d):
-    x = S.fresh(S.events(spark, f"{d}/events.parquet"), "ts", "4000 days").withColumn("event_key", F.concat_ws(":", F.col("user_id").cast("string"), "event_type"))
+    x = S.fresh(S.events(spark, f"{d}/events.parquet"), "ts").withColumn("event_key", F.concat_ws(":", F.col("user_id").cast("string"), "event_type"))
     return S.run_once(S.first_of_key(x, ["event_key"]).select("event_key"), "sm2", "append").drop("_batch")
 
 
