@@ -32,17 +32,16 @@ SEED = 9
 def token_counts(docs: DataFrame, doc_id: str, text: str, source: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, source, n_tokens of each document with a text."""
 
+    with open(tokenizer, "rb") as f:
+        held = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file of about a megabyte; executors need no copy of it
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import base64
 
         import tiktoken
 
-        made = tiktoken.__dict__.setdefault("_own_encodings", {})  # outlives the task in a reused worker
-        if tokenizer not in made:
-            with open(tokenizer, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            made[tokenizer] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        encode = made[tokenizer].encode_ordinary
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, held.value.splitlines())}
+        encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf.iloc[:, 0], "source": pdf.iloc[:, 1], "n_tokens": [len(encode(t)) for t in pdf.iloc[:, 2]]})
 
