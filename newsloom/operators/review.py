@@ -43,7 +43,7 @@ def bootstrap_interval(rows: DataFrame, block: str, a: Column, b: Column, releva
     x = rows.select(F.col(block).alias("k"), a.alias("a"), b.alias("b"), relevant.alias("r")).where("k is not null")
     cells = x.groupBy("k").agg(F.count_if(F.expr("a and r")).alias("tpa"), F.count_if(F.expr("a")).alias("na"), F.count_if(F.expr("b and r")).alias("tpb"), F.count_if(F.expr("b")).alias("nb"))
     t = cells.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = (F.pmod(F.xxhash64("k", "draw", F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    u = (F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("k").cast("string"), F.col("draw").cast("string"), F.lit(str(seed))), 256), 1, 8), 16, 10).cast("bigint") + 0.5) / float(1 << 32)
     # inverse distribution function of the Poisson law of mean 1
     weight, total, term = F.lit(0), 0.36787944117144233, 0.36787944117144233
     for k in range(1, 9):

@@ -9,6 +9,8 @@ from pyspark.sql import Window as W, functions as F
 from newsloom.operators import learning as L, matching as M, records as R, review, search as Q, similarity as S
 from newsloom.operators.coverage import finite
 from newsloom.plans import views as V
+from newsloom.plans.review import _dropped
+from newsloom.plans.similarity import _j, _list, _tok
 from newsloom.session import shared_dir, stage, table
 from newsloom.sources import tables as IO
 from newsloom.streaming import feeds
@@ -473,6 +475,9 @@ SQL = {
     "ev15_bundle": "WITH x AS (SELECT item_id, sha256(coalesce(item_text, '')) AS digest FROM eval_items) SELECT item_id, digest, (SELECT sha256(string_agg(digest, ':' ORDER BY item_id, digest)) FROM x) AS bundle FROM x",
     "ev16_wn12_chain_audit": f"""WITH {V.RUNS}, x AS (SELECT CAST(run_date AS VARCHAR) AS day, run_date, sha256(CAST(run_date AS VARCHAR) || ':' || count(*)) AS digest FROM runs_v GROUP BY run_date), y AS (SELECT *, coalesce(lag(digest) OVER (ORDER BY day), 'GENESIS') AS real FROM x),
   z AS (SELECT day, digest, real, CASE WHEN day(run_date) = 7 THEN 'tampered' ELSE real END AS previous, CASE WHEN day(run_date) = 9 THEN 'again' ELSE day END AS run FROM y) SELECT run, previous <> real AS broken_link, count(*) OVER (PARTITION BY run) > 1 AS repeated_run FROM z""",
+    "ev18_syndicated": f"""WITH f AS (SELECT row_id AS k, event_id, list_filter({_tok('headline')}, lambda w: NOT list_contains({_list(M.STOP)}, w)) AS w FROM articles WHERE event_id IS NOT NULL),
+  p AS (SELECT x.k AS a, y.k AS b FROM f x JOIN f y ON x.event_id = y.event_id AND x.k < y.k WHERE {_j('x.w', 'y.w')} >= 0.78 - 1e-12 AND len(list_intersect(x.w, y.w)) >= 6), {_dropped('p')}
+  SELECT event_id, count(*) AS evidence_rows, count(*) FILTER (list_contains((SELECT ids FROM gone), k)) AS copies, count(*) FILTER (NOT list_contains((SELECT ids FROM gone), k)) AS retained FROM f GROUP BY event_id""",
     "ev19_readiness": """WITH g AS (SELECT doc_kind, count(*) AS n, count(text) AS with_text, count(lang) AS with_lang, count(source) AS with_source, count(event_id) AS with_event_id FROM documents GROUP BY doc_kind)
   SELECT *, concat_ws(',', CASE WHEN with_lang < 0.9 * n THEN 'lang_missing' END, CASE WHEN with_source < 0.9 * n THEN 'source_missing' END, CASE WHEN with_event_id < 0.9 * n THEN 'event_id_missing' END) AS blockers FROM g""",
     "ev20_packets": "WITH x AS (SELECT l_orderkey, max(l_returnflag) FILTER (l_linenumber = 1) AS f, max(l_returnflag) FILTER (l_linenumber = 2) AS s FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1) SELECT coalesce(f, 'none') AS first, coalesce(s, 'none') AS second, count(*) AS n FROM x GROUP BY 1, 2",

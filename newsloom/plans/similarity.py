@@ -116,7 +116,8 @@ def _list(values) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
 
-def _matches() -> str:
+def match_parts(other: str, key: str, title: str) -> str:
+    """Common table expressions that end in s(event_no, row_id, common, selection, research, strong, relaxed) for queried events and the rows of another table that share two event words."""
     inflected = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in M.ALIASES.items()) + "}"
     ev = lambda c: f"list_distinct(list_transform(list_filter({_tok(c, '[a-z]{3,}')}, lambda w: NOT list_contains({_list(M.STOP)}, w)), lambda w: coalesce({inflected}[w], w)))"
     caps = lambda c: rf"list_transform(regexp_extract_all(coalesce({c}, ''), '\b[A-Z][A-Za-z.''-]{{2,}}\b'), lambda w: lower(w))"
@@ -125,12 +126,11 @@ def _matches() -> str:
     cols = lambda k, c: f"{k} AS k, {_tok(c)} AS w, {ev(c)} AS e, {nm(c, False)} AS n, {strip(nm(c, True))} AS m"
     among = lambda v: f"len(list_intersect(c, {_list(v)}))"
     beyond = lambda v: f"len(c) - len(list_intersect(c, {_list(v)}))"
-    return f"""WITH q AS (SELECT {cols('event_no', 'headline')} FROM news_events WHERE event_no % 50 = 0), a AS (SELECT {cols('row_id', 'headline')} FROM articles),
+    return f"""q AS (SELECT {cols('event_no', 'headline')} FROM news_events WHERE event_no % 50 = 0), a AS (SELECT {cols(key, title)} FROM {other}),
   p AS (SELECT q.k AS event_no, a.k AS row_id, list_intersect(q.e, a.e) AS c, {_j('q.e', 'a.e')} AS base, list_intersect(q.w, a.w) AS wc, {_j('q.w', 'a.w')} AS wb, len(list_intersect(q.n, a.n)) > 0 AS nn, len(list_intersect(q.m, a.m)) > 0 AS mm FROM q, a WHERE len(list_intersect(q.e, a.e)) >= 2),
-  s AS (SELECT event_no, row_id, round(CASE WHEN wb >= 0.72 THEN 0.90 WHEN nn AND len(list_intersect(wc, {_list(M.SELECTION_EVENTS)})) >= 1 AND len(wc) >= 2 THEN greatest(wb, 0.76) WHEN nn AND len(wc) >= 4 THEN greatest(wb, 0.70) WHEN wb >= 0.50 AND len(wc) >= 4 THEN greatest(wb, 0.64) ELSE wb END, 6) AS selection,
+  s AS (SELECT event_no, row_id, len(c) AS common, round(CASE WHEN wb >= 0.72 THEN 0.90 WHEN nn AND len(list_intersect(wc, {_list(M.SELECTION_EVENTS)})) >= 1 AND len(wc) >= 2 THEN greatest(wb, 0.76) WHEN nn AND len(wc) >= 4 THEN greatest(wb, 0.70) WHEN wb >= 0.50 AND len(wc) >= 4 THEN greatest(wb, 0.64) ELSE wb END, 6) AS selection,
     round(CASE WHEN base >= 0.72 AND len(c) >= 5 THEN base WHEN ({among(M.RESEARCH_EVENTS)} >= 1 AND len(c) >= 4 AND {beyond(M.RESEARCH_GENERIC)} >= 3 AND base >= 0.25) OR ({among(M.RESEARCH_EVENTS)} >= 2 AND len(c) >= 5 AND base >= 0.30) THEN greatest(base, 0.56) ELSE 0.0 END, 6) AS research,
-    {among(M.STRONG_EVENTS)} >= 1 AND {beyond(M.STRONG_GENERIC)} >= (CASE WHEN mm THEN 4 ELSE 5 END) AS strong, mm AND {among(M.RELAXED_EVENTS)} >= 1 AND {beyond(M.RELAXED_GENERIC)} >= 2 AND len(c) >= 4 AS relaxed FROM p)
-  SELECT * FROM s WHERE selection >= 0.64 OR research > 0 OR strong OR relaxed"""
+    {among(M.STRONG_EVENTS)} >= 1 AND {beyond(M.STRONG_GENERIC)} >= (CASE WHEN mm THEN 4 ELSE 5 END) AS strong, mm AND {among(M.RELAXED_EVENTS)} >= 1 AND {beyond(M.RELAXED_GENERIC)} >= 2 AND len(c) >= 4 AS relaxed FROM p)"""
 
 
 _Q5 = f"q AS (SELECT event_no AS k, {_tok('headline', S.EXTENDED)} AS tokens FROM news_events WHERE event_no % 50 = 0)"
@@ -147,7 +147,7 @@ SQL = {
     "jn19_asked": f"""WITH {_Q5}, {_A5}, p AS (SELECT q.k AS event_no, a.k AS row_id, len(list_intersect(q.tokens, a.tokens)) AS s, len(q.tokens) AS n FROM q, a)
   SELECT event_no, row_id, round(s / n, 6) AS contained, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY event_no ORDER BY s DESC, row_id) AS rank FROM p WHERE s > 0) t WHERE rank <= 3""",
     "jn16_linked_events": f"""WITH {_Q5} SELECT a.k AS event_no, b.k AS other, CAST(len(list_intersect(a.tokens, b.tokens)) AS INTEGER) AS strength FROM q a, q b WHERE a.k < b.k AND len(list_intersect(a.tokens, b.tokens)) >= 2 ORDER BY a.k, b.k LIMIT 20""",
-    "jn2_jn3_jn4_event_matches": _matches(),
+    "jn2_jn3_jn4_event_matches": f"WITH {match_parts('articles', 'row_id', 'headline')} SELECT event_no, row_id, selection, research, strong, relaxed FROM s WHERE selection >= 0.64 OR research > 0 OR strong OR relaxed",
     "wn1_novelty": f"""WITH {_I}, l AS (SELECT {_tok('headline')} AS tokens FROM (SELECT headline FROM articles ORDER BY row_id DESC LIMIT 1000) t), b AS (SELECT i.k, max({_j('i.tokens', 'l.tokens')}) AS best FROM i, l GROUP BY i.k)
   SELECT i.k AS row_id, round(100 * (1 - coalesce(b.best, 0)), 4) AS novelty FROM i LEFT JOIN b ON b.k = i.k""",
     "wn2_trend_terms": f"""WITH df AS (SELECT tok, count(*) AS df FROM (SELECT unnest({_tok('headline')}) AS tok FROM articles) q GROUP BY tok), w AS (SELECT event_no, unnest({_tok('headline')}) AS tok FROM news_events)
