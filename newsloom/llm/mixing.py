@@ -139,5 +139,20 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return reached(_mix(spark, d), table(spark, d, "mix_targets"))
 
 
-QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares}
-SQL: dict[str, str] = {}
+def p9_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """Each mix and its uses that break a rule: documents used too often, twice in the list, or of sources the mix does not list; sources beyond their share by more than a document."""
+    docs, targets = table(spark, d, "documents"), table(spark, d, "mix_targets")
+    mix = stage(_mix(spark, d), "p9-mix").join(F.broadcast(targets.select("mix_name", "source", "max_repeats", "target_share", F.lit(True).alias("listed"))), ["mix_name", "source"], "left")  # as many rows as targets
+    real = mix.join(docs.select("doc_id", F.col("source").alias("held")).distinct(), "doc_id", "left")
+    per = real.groupBy("mix_name", "doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("copies") > F.col("max_repeats")).alias("over"), F.max(F.col("listed").isNull() | ~F.col("source").eqNullSafe(F.col("held"))).alias("strange"))
+    bad = per.groupBy("mix_name").agg(F.count_if("over").alias("over_repeated"), F.count_if(F.col("n") > 1).alias("listed_twice"), F.count_if("strange").alias("unlisted"))
+    # a source may be short where it holds too little, but then every document is used as often as allowed
+    sums = mix.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("n_tokens").alias("longest"), F.min(F.col("copies") >= F.col("max_repeats")).alias("full"), F.max("target_share").alias("target"))
+    unit = sums.where("not full").groupBy("mix_name").agg((F.sum("tokens") / F.sum("target")).alias("unit"), F.max("longest").alias("most"), F.count(F.lit(1)).alias("open"))
+    off = sums.where("not full").join(F.broadcast(unit), "mix_name").groupBy("mix_name").agg(F.count_if(F.abs(F.col("tokens") - F.col("unit") * F.col("target")) > F.col("most") * F.col("open")).alias("off_share"))
+    out = targets.select("mix_name").distinct().join(bad, "mix_name", "left").join(off, "mix_name", "left")
+    return out.select("mix_name", *[F.coalesce(c, F.lit(0)).cast("int").alias(c) for c in ("over_repeated", "listed_twice", "unlisted", "off_share")])
+
+
+QUERIES = {"p9_mix": p9_mix, "p9_shares": p9_shares, "p9_invariants": p9_invariants}
+SQL = {"p9_invariants": "SELECT DISTINCT mix_name, 0 AS over_repeated, 0 AS listed_twice, 0 AS unlisted, 0 AS off_share FROM mix_targets"}

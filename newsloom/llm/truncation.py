@@ -83,7 +83,7 @@ def judged(df: DataFrame, doc: str, source: str, text: str) -> DataFrame:
     ends = stage(x, "p3-ends")
     finals = ends.where("final != ''").select("final", "_form").distinct().groupBy("final").agg(F.count(F.lit(1)).alias("terminal"))
     told = _told(finals, counts.where("kind = 'g'").select(F.col("key").alias("gram"), F.col("n").alias("seen")))
-    return ends.join(broadcast_if_small(told, SMALL), "final", "left").select(doc, source, F.coalesce("cut", F.lit(False)).alias("cut"), "omission")
+    return ends.join(broadcast_if_small(stage(told, "p3-told"), SMALL), "final", "left").select(doc, source, F.coalesce("cut", F.lit(False)).alias("cut"), "omission")
 
 
 def _once(x: DataFrame, doc: str, text: str) -> DataFrame:
