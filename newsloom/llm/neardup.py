@@ -11,7 +11,7 @@ words, the larger t |B|, and the k-th shared word is among the first |A| - s + k
 
 The first one or two shared words of every pair are a block of both, so no pair is lost. A block of one word has at most RARE
 records whatever the input's size; blocks of commoner words are salted. Within a block a pair is dropped
-if its sizes, the words left after the block, or the distance of 64-bit parity signatures (at most the sets' own distance) rule the
+if its sizes, the words left after the block, or the distance of 128-bit parity signatures (at most the sets' own distance) rule the
 overlap out. Longer signatures follow, and every candidate left is verified by the exact Hamming distance of the two word sets:
 overlap >= t  <=>  distance <= (1 - t) / (1 + t) * (|A| + |B|).
 
@@ -137,13 +137,15 @@ def prints(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def cells(values: np.ndarray, starts: np.ndarray, same: np.ndarray, counts: np.ndarray, t: int) -> Iterator[pd.DataFrame]:
-    """block, same, size, sig of the records' blocks; record i's words are values[starts[i]:starts[i + 1]], none of them empty.
+    """block, same, size, sig, sig2 of the records' blocks; record i's words are values[starts[i]:starts[i + 1]], none of them empty.
 
     size: number of words << 32, words in and behind the block << 2, and 1 if the smaller set of a pair may have it, 2 if the larger may.
     """
     n = np.diff(starts)
     row = np.repeat(np.arange(len(n)), n)
-    sig = np.bitwise_xor.reduceat(np.uint64(1) << (_mix(values) >> np.uint64(58)), starts[:-1]).view(np.int64)
+    bit = _mix(values) >> np.uint64(57)
+    half = lambda k: np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), starts[:-1]).view(np.int64)
+    sig, sig2 = half(0), half(1)
     held = counts[(values & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64)
     order = np.lexsort((values, (row << 32) | held))
     values, held = values[order], held[order]
@@ -154,14 +156,14 @@ def cells(values: np.ndarray, starts: np.ndarray, same: np.ndarray, counts: np.n
         """Rows of records r; last: position of the block's last word. The smaller set's salt is its own, the larger has all."""
         lead = last < narrow[r] + k
         if (salts == 1).all():
-            return pd.DataFrame({"block": block.view(np.int64), "same": same[r], "size": (n[r] << 32) + ((n[r] - last - 1 + k) << 2) + lead + 2, "sig": sig[r]})
+            return pd.DataFrame({"block": block.view(np.int64), "same": same[r], "size": (n[r] << 32) + ((n[r] - last - 1 + k) << 2) + lead + 2, "sig": sig[r], "sig2": sig2[r]})
         s = np.where(salts > 1, salts + 1, 1)
         x, nth = np.repeat(np.arange(len(r)), s), _within(s)
         many = salts[x] > 1
         own = many & (nth == salts[x])  # of a salted block, one row is the smaller set's and the others the larger's
         key = _mix(block[x] ^ _mix(np.where(own, same[r][x] % salts[x], nth).astype(np.uint64)))
         size = (n[r][x] << 32) + ((n[r] - last - 1 + k)[x] << 2) + (lead[x] & (own | ~many)) + 2 * ~own
-        return pd.DataFrame({"block": key.view(np.int64), "same": same[r][x], "size": size, "sig": sig[r][x]})
+        return pd.DataFrame({"block": key.view(np.int64), "same": same[r][x], "size": size, "sig": sig[r][x], "sig2": sig2[r][x]})
 
     one, rare = pos <= wide[row], held <= RARE
     x = np.flatnonzero(one & rare)
@@ -197,7 +199,7 @@ def candidate_cells(docs: DataFrame, counts: np.ndarray, t: int) -> DataFrame:
                 n = np.diff(starts)
                 yield from cells(values[np.repeat(first, n)], np.concatenate([[0], np.cumsum(n[first])]), same[first], sketch.value, t)
 
-    return docs.mapInPandas(run, "block bigint, same bigint, size bigint, sig bigint")
+    return docs.mapInPandas(run, "block bigint, same bigint, size bigint, sig bigint, sig2 bigint")
 
 
 def near_pairs(df: DataFrame, row_id: str, text: Column, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -210,7 +212,7 @@ def near_pairs(df: DataFrame, row_id: str, text: Column, threshold: float = THRE
     # conditions name both sides, so that both read one exchange
     n, room = (lambda c: f"shiftright({c}.size, 32)"), (lambda c: f"(shiftright({c}.size, 2) & 1073741823)")
     smaller = f"(x.size & shiftright(y.size, 1) & 1) = 1 and x.same != y.same and ({n('x')} < {n('y')} or {n('x')} = {n('y')} and x.same < y.same)"
-    close = f"{SCALE + t}L * bit_count(x.sig ^ y.sig) <= {SCALE - t}L * ({n('x')} + {n('y')}) and {t}L * {n('y')} <= {SCALE}L * {n('x')} and {SCALE + t}L * least({room('x')}, {room('y')}) >= {t}L * ({n('x')} + {n('y')})"
+    close = f"{SCALE + t}L * (bit_count(x.sig ^ y.sig) + bit_count(x.sig2 ^ y.sig2)) <= {SCALE - t}L * ({n('x')} + {n('y')}) and {t}L * {n('y')} <= {SCALE}L * {n('x')} and {SCALE + t}L * least({room('x')}, {room('y')}) >= {t}L * ({n('x')} + {n('y')})"
     near = x.join(y, F.expr(f"x.block = y.block and {smaller} and {close}")).select(F.expr("least(x.same, y.same)").alias("a"), F.expr("greatest(x.same, y.same)").alias("b")).distinct()
     # longer signatures next: they leave hardly any pair whose words differ by more
     sig = [f"s{k}" for k in range(SIGNATURES)]
