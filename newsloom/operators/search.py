@@ -9,6 +9,7 @@ Defined results: empty or null token sets match nothing; repeated ids are rows o
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -16,6 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from newsloom.session import ship
+
 CHUNK = 20_000
 
 
@@ -61,10 +64,10 @@ def search(queries: DataFrame, rows: DataFrame, q: str, r: str, least: float, sh
     spark, order, out = queries.sparkSession, order or ["overlap", "r"], None
     rising = [c in ("at", "r") for c in order]
     for chunk in _chunks(queries, q, before):
-        held = spark.sparkContext.broadcast(Sets(chunk))
+        held = ship(spark, Sets(chunk))
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            sets = held.value
+            sets = pickle.loads(held.value)
             for pdf in batches:
                 hits = []
                 for i, tokens, mark in zip(pdf["r"], pdf["tokens"], pdf["at"]):
@@ -98,10 +101,10 @@ def search(queries: DataFrame, rows: DataFrame, q: str, r: str, least: float, sh
 def greatest_overlap(rows: DataFrame, r: str, bounded: DataFrame) -> DataFrame:
     """r, best: each row's (r, tokens) greatest overlap with the sets of a bounded table (id, tokens; the caller limits it); 0 if it shares nothing."""
     sets = Sets([(i, x.tokens, "") for i, x in enumerate(bounded.select("tokens").where(F.size("tokens") > 0).collect())])
-    held = rows.sparkSession.sparkContext.broadcast(sets)
+    held = ship(rows.sparkSession, sets)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets = held.value
+        sets = pickle.loads(held.value)
         for pdf in batches:
             best = []
             for tokens in pdf["tokens"]:

@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -54,6 +56,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def ship(spark: SparkSession, thing: object) -> Broadcast:
+    """Broadcast of an object of this package as bytes that pickle.loads turns back where the package is not installed."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast df only after counting it (at most max_rows rows); beyond that the join shuffles."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

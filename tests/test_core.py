@@ -162,10 +162,31 @@ def test_every_query_runs(spark):
     from newsloom import plans
 
     for name, q in plans.queries().items():
-        assert q(spark, SMALL).columns, name
+        try:
+            q(spark, SMALL).write.format("noop").mode("overwrite").save()
+        except Exception as err:
+            raise AssertionError(name) from err
     assert set(plans.oracle_sql()) <= set(plans.queries())
 
 
+@pytest.mark.skipif(not __import__("os").path.isdir(SMALL), reason="no test tables")
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys; sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from newsloom import plans
+q = plans.queries()
+print([q[n](s, {SMALL!r}).count() > 0 for n in ("wn1_novelty", "jn15_similar_events", "sm6_lifecycle")])
+"""
+    said = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert "[True, True, True]" in said.stdout, said.stderr[-2000:]
+
+
 def test_queries_are_named_without_a_session():
     import subprocess
     import sys
