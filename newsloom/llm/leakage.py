@@ -18,6 +18,7 @@ words are lower-case runs of letters and digits.
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -26,7 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from newsloom.session import table
+from newsloom.session import ship, table
 
 WINDOW = 25
 EDITS = 2
@@ -156,12 +157,13 @@ def leaks(docs: DataFrame, doc_id: str, text: str, items: DataFrame, item_id: st
     spark, out = docs.sparkSession, None
     schema = f"{doc_id} bigint, {item_id} bigint, first_word int, last_word int, n_words int"
     for chunk in _chunks(items, item_id, item_text):
-        held = spark.sparkContext.broadcast(Index(chunk))
+        held = ship(spark, Index(chunk))
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            index = pickle.loads(held.value)
             for pdf in batches:
                 ids, texts = pdf.iloc[:, 0].to_numpy(), pdf.iloc[:, 1].tolist()
-                rows = [(ids[k], *rest) for k, *rest in held.value.find(texts)]
+                rows = [(ids[k], *rest) for k, *rest in index.find(texts)]
                 if rows:
                     yield pd.DataFrame(rows, columns=[doc_id, item_id, "first_word", "last_word", "n_words"])
 
@@ -184,12 +186,13 @@ def without_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame,
     x = docs.select(F.col(doc_id).cast("bigint").alias(doc_id), F.col(text).alias(text), F.array().cast("array<bigint>").alias("_spans"))
     schema = f"{doc_id} bigint, {text} string, _spans array<bigint>"
     for chunk in _chunks(items, item_id, item_text):
-        held = docs.sparkSession.sparkContext.broadcast(Index(chunk))
+        held = ship(docs.sparkSession, Index(chunk))
 
         def find(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            index = pickle.loads(held.value)
             for pdf in batches:
                 spans = [list(s) for s in pdf["_spans"]]
-                for k, _, first, last, _ in held.value.find(pdf[text].tolist()):
+                for k, _, first, last, _ in index.find(pdf[text].tolist()):
                     spans[k] += [first, last]
                 yield pdf.assign(_spans=spans)
 
