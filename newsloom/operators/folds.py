@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from newsloom.session import stage
 
@@ -42,15 +44,41 @@ def first_wins(ids: DataFrame, pairs: DataFrame, row_id: str, keys: DataFrame |
     return ids.join(dropped.distinct().withColumn("_gone", F.lit(True)), "id", "left").select(F.col("id").alias(row_id), F.col("_gone").isNull().alias("kept"))
 
 
+BOUNDED = 5_000  # candidates of a story that are scanned in one call
+
+
+def _scanned(c: DataFrame, story: str, publisher: str, tokens: str, most: int, copy: float) -> DataFrame:
+    """The accepted candidates of each story, its candidates (all of a story's in one call) looked at in their order."""
+    out = [x for x in c.columns if x != "_o"]
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken, seen = [], []
+        for k, (p, t) in enumerate(zip(pdf[publisher], pdf[tokens])):
+            t = set(t) if t is not None else set()
+            if all(p != q and (len(t & u) / max(1, len(t | u))) < copy for q, u in seen):
+                seen.append((p, t))
+                taken.append(k)
+                if len(taken) == most:
+                    break
+        return pdf.iloc[taken][out].assign(accepted=np.arange(1, len(taken) + 1, dtype=np.int32))
+
+    ordered = c.withColumn("_k", F.row_number().over(W.partitionBy(story).orderBy("_o"))).drop("_o")
+    schema = T.StructType([f for f in c.schema if f.name != "_o"] + [T.StructField("accepted", T.IntegerType())])
+    return ordered.groupBy(story).applyInPandas(lambda pdf: scan(pdf.sort_values("_k")), schema)
+
+
 def corroborated(cand: DataFrame, story: str, publisher: str, tokens: str, order: list[Column], most: int = 8, copy: float = 0.78) -> DataFrame:
     """The candidates accepted for each story, best first: one for each publisher, none that copies an accepted one's text (overlap >= copy).
 
-    Each of the at most `most` rounds takes the best candidate of every story by an aggregate among those whose publisher and text are not taken yet, so a
+    Stories of at most BOUNDED candidates each are scanned one after another. Otherwise each of the at most `most` rounds takes the best candidate of every story by an aggregate among those whose publisher and text are not taken yet, so a
     story with very many candidates is never gathered in one task. order: columns whose smallest struct is the best; they must be unique.
     """
     from newsloom.functions.text import jaccard
 
     c = stage(cand.where(F.col(publisher).isNotNull()).withColumn("_o", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])), "fold-cand")
+    largest = c.groupBy(story).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= BOUNDED:  # every story's candidates fit in one call
+        return _scanned(c, story, publisher, tokens, most, copy)
     fields = [F.col(x) for x in c.columns if x != story]
     taken = None  # (story, accepted so far as an array): one small row a story, written once a round; the candidates are written once
     for k in range(most):

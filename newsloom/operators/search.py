@@ -69,7 +69,7 @@ def search(queries: DataFrame, rows: DataFrame, q: str, r: str, least: float, sh
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             sets = pickle.loads(held.value)
             for pdf in batches:
-                hits = []
+                hits: list[tuple] = []
                 for i, tokens, mark in zip(pdf["r"], pdf["tokens"], pdf["at"]):
                     k, n = sets.shared(tokens)
                     if len(k):
@@ -80,9 +80,10 @@ def search(queries: DataFrame, rows: DataFrame, q: str, r: str, least: float, sh
                             fits = np.fromiter((mark < sets.marks[x] for x in k.tolist()), bool, len(k))
                             k, n, overlap = k[fits], n[fits], overlap[fits]
                         if len(k):
-                            hits.append(pd.DataFrame({"q": sets.ids[k], "r": i, "shared": n.astype(np.int32), "overlap": overlap, "at": mark}))
+                            hits.append((sets.ids[k], i, n, overlap, mark))
                 if hits:
-                    x = pd.concat(hits)
+                    size = [len(h[0]) for h in hits]
+                    x = pd.DataFrame({"q": np.concatenate([h[0] for h in hits]), "r": np.repeat([h[1] for h in hits], size), "shared": np.concatenate([h[2] for h in hits]).astype(np.int32), "overlap": np.concatenate([h[3] for h in hits]), "at": np.repeat(np.array([h[4] for h in hits], dtype=object), size)})
                     if most is not None:
                         x = x.sort_values(["q", *order], ascending=[True, *rising], kind="stable").groupby("q", sort=False).head(most)
                     yield x

@@ -78,7 +78,9 @@ def test_event_matches(spark):
     assert got[0][1] and got[0][0] >= 0.56 and got[1] == (0.0, False, 0.0) and got[2] == (0.0, False, 0.0) and got[3][1]
 
 
-def test_corroboration_one_publisher_no_copies(spark):
+@pytest.mark.parametrize("bounded", [0, 5_000])
+def test_corroboration_one_publisher_no_copies(spark, monkeypatch, bounded):
+    monkeypatch.setattr(folds, "BOUNDED", bounded)
     rows = [
         (1, 10, "a", ["w1", "w2", "w3"], 0.9), (1, 11, "a", ["z1"], 0.8), (1, 12, "b", ["w1", "w2", "w3"], 0.7), (1, 13, "b", ["q1", "q2"], 0.6), (1, 14, None, ["r"], 0.99), (2, 10, "c", ["x"], 0.5),
     ]
