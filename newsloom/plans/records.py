@@ -313,7 +313,7 @@ def snapshots(spark, d):
     path = f"{shared_dir(spark).rstrip('/')}/snapshots-{uuid.uuid4().hex}"
     x = table(spark, d, "news_events").select("event_no", "event_id", "headline", "category")
     x.write.partitionBy("category").parquet(path)
-    return spark.read.parquet(path).where(F.col("category") == x.agg(F.min("category")).first()[0]).select("event_no", "event_id", "headline", "category")
+    return spark.read.schema(x.schema).parquet(path).where(F.col("category") == x.agg(F.min("category")).first()[0]).select("event_no", "event_id", "headline", "category")
 
 
 def appended(spark, d):
@@ -323,7 +323,7 @@ def appended(spark, d):
     n = x.count()
     one = IO.append_absent(x.where("event_no % 2 = 0"), path, ["event_id"])
     two = IO.append_absent(x, path, ["event_id"])
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("event_id").alias("keys")).select("rows", "keys", F.lit(one).cast("bigint").alias("first"), F.lit(two).cast("bigint").alias("second"), F.lit(n).cast("bigint").alias("given"))
+    return IO.read_table(spark, path, "event_id STRING, event_no BIGINT").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("event_id").alias("keys")).select("rows", "keys", F.lit(one).cast("bigint").alias("first"), F.lit(two).cast("bigint").alias("second"), F.lit(n).cast("bigint").alias("given"))
 
 
 def replaced(spark, d):
@@ -332,7 +332,7 @@ def replaced(spark, d):
     x = table(spark, d, "incoming_articles").select("row_id", "url", "batch_no")
     x.write.partitionBy("batch_no").parquet(path)
     IO.replace_partitions(x.where("batch_no = 3 and row_id % 2 = 0"), path, "batch_no")
-    return spark.read.parquet(path).groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.schema(x.schema).parquet(path).groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"))
 
 
 def repaired(spark, d):

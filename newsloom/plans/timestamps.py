@@ -28,7 +28,7 @@ def p1_zone_audit(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "article_feed").select(T.host_of(F.col("url")).alias("host"), "published", "collected_at")
     x = x.join(F.broadcast(hosts.select("host", "day_first")), "host")  # fixed table of known size
     x = T.parse_stamps(x, "published", "day_first").where("_ts_zone = '' and not _ts_dated and _ts_local is not null")
-    zones = sorted(r.zone_name for r in hosts.select("zone_name").distinct().collect())
+    zones = sorted(r.zone_name for r in hosts.where("zone_name is not null").select("zone_name").distinct().collect())
     scored = T.choose_zones(x, "host", "_ts_local", "collected_at", zones)
     home = scored.join(F.broadcast(hosts.select("host", F.col("zone_name").alias("zone"))), ["host", "zone"]).select("host", F.col("zone").alias("home_zone"), F.col("violations").alias("home_violations"))
     return scored.where("rank = 1").join(home, "host", "left").select("host", F.col("zone").alias("estimated_zone"), "n", "violations", "home_zone", "home_violations")

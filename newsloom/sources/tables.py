@@ -23,6 +23,12 @@ def read_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return _or_empty(spark, schema, lambda: spark.read.csv(path, header=True, schema=schema, enforceSchema=False, multiLine=True, escape='"'))
 
 
+def read_table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """A stored Parquet table by an explicit schema; a missing path is an empty table."""
+    schema = T.StructType.fromDDL(ddl)
+    return _or_empty(spark, schema, lambda: spark.read.schema(schema).parquet(path))
+
+
 def read_json(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """JSON documents, one each file, with the file they come from."""
     schema = T.StructType.fromDDL(ddl)

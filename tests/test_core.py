@@ -171,6 +171,43 @@ def test_every_query_runs(spark):
     assert set(plans.oracle_sql()) <= set(plans.queries())
 
 
+@pytest.mark.skipif(not __import__("os").path.isdir(SMALL), reason="no test tables")
+@pytest.mark.parametrize("nulls", [False, True])
+def test_every_query_takes_empty_tables_and_rows_of_nulls(spark, tmp_path, nulls):
+    from pathlib import Path
+
+    from newsloom import plans
+
+    for f in Path(SMALL).glob("*.parquet"):
+        x = spark.read.parquet(str(f))
+        none = x.limit(5).select(*[F.lit(None).cast(c.dataType).alias(c.name) for c in x.schema])
+        (x.limit(40).unionByName(none) if nulls else x.limit(0)).coalesce(1).write.parquet(str(tmp_path / "t"))
+        next((tmp_path / "t").glob("*.parquet")).rename(tmp_path / f.name)
+        __import__("shutil").rmtree(tmp_path / "t")
+    for name, q in plans.queries().items():
+        try:
+            q(spark, str(tmp_path)).write.format("noop").mode("overwrite").save()
+        except Exception as err:
+            raise AssertionError(name) from err
+
+
+def test_record_functions(spark):
+    from newsloom.operators import records as R
+
+    x = spark.createDataFrame([("a &amp; <b>bold</b>  text , end", "https://x.example/1", "2025-01-01T10:00:00+05:30", "One. Two!  Three"), (None, None, None, None), ("  ", "ftp://x.example", "2025-02-30T10:00:00Z", ""), ("x", "http://", "2025-01-01 10:00", "no end")], "t string, u string, p string, s string")
+    got = [tuple(r) for r in x.select(R.plain_text(F.col("t")), R.http_url(F.col("u")), R.aware_timestamp(F.col("p")), F.size(R.sentences(F.coalesce("s", F.lit("")))), R.field_state(F.col("t"))).collect()]
+    assert got == [("a & bold text, end", True, True, 3, "present"), (None, False, False, 0, "missing_key"), ("", False, False, 0, "blank"), ("x", False, False, 1, "present")]
+    rules = spark.createDataFrame([("x.example", "X"), ("sub.x.example", "Sub"), (None, "none")], "domain string, name string")
+    rows = [("https://www.x.example/1", "l"), ("https://a.sub.x.example/1", "l"), ("https://notx.example/1", "l"), (None, " The  Label "), (None, None)]
+    names = [r.publisher for r in R.canonical_publisher(spark.createDataFrame(rows, "url string, source string"), "source", "url", rules).collect()]
+    assert names == ["X", "Sub", "notx.example", "the label", "unknown"]
+    ev = spark.createDataFrame([("e1",), ("e2",), ("e3",), (None,)], "event_id string")
+    src = spark.createDataFrame([("e1", "A"), ("e1", " a "), ("e1", "B"), ("e2", "A"), ("e2", None), ("e2", " "), (None, "A")], "event_id string, source string")
+    assert {r.event_id: (r.independent, r.tier) for r in R.tiers(ev, src, "event_id", "source").collect()} == {"e1": (2, "multi-source"), "e2": (1, "multi-report"), "e3": (0, "unverified"), None: (0, "unverified")}
+    c = spark.createDataFrame([(1, "i", "t", "https://x.example/", "2025-01-01T10:00:00Z"), (2, "i", " ", "x", None)], "pos long, id string, title string, url string, at string")
+    assert {r.pos: r.errors for r in R.validity(c, "pos", "id", ["title"], "url", "at").collect()} == {2: "title_required,candidate_id_duplicate,url_invalid,timestamp_must_be_timezone_aware"}
+
+
 @pytest.mark.skipif(not __import__("os").path.isdir(SMALL), reason="no test tables")
 def test_workers_need_no_copy_of_the_package(tmp_path):
     import subprocess
