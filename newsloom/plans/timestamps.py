@@ -35,4 +35,27 @@ def p1_zone_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_zone_audit": p1_zone_audit}
-SQL: dict[str, str] = {}
+
+
+def _found_sql() -> str:
+    """The same instants with every host's zone taken from the directory."""
+    form = lambda f, to: f"WHEN regexp_matches(v, '{f}') THEN regexp_replace(v, '{f}', '{to}')"
+    months = "[" + ", ".join(f"'{m}'" for m in T.MONTHS) + "]"
+    pairs = lambda d: "MAP {" + ", ".join(f"'{k}': {v}" for k, v in d.items()) + "}"
+    signed = r"regexp_extract(zone, '([+-]\d{2}):?(\d{2})?$', 1)"
+    return rf"""WITH h AS (SELECT lower(host) AS host, arg_min(zone_name, host) AS home, arg_min(day_first, host) AS day_first FROM feed_hosts WHERE host IS NOT NULL GROUP BY 1),
+  r AS (SELECT 'article_feed' AS rec_type, feed_pos AS rec_id, published AS v, url FROM article_feed UNION ALL SELECT 'articles', row_id, date, url FROM articles),
+  x AS (SELECT rec_type, rec_id, trim(regexp_replace(v, '^\s*(?i:published|updated|posted)\s*:?\s+', '')) AS v, home, coalesce(day_first, true) AS day_first FROM r LEFT JOIN h ON h.host = lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)', 1))),
+  p AS (SELECT rec_type, rec_id, home, string_split(CASE WHEN regexp_matches(v, '{T._EPOCH}') THEN v {form(T._ISO, r"\1|\2|\3|\4|\5|\6||\7")} {form(T._DAY_MONTH, r"\3|\2|\1|\4|\5|\6|\7|\8")} {form(T._MONTH_DAY, r"\3|\1|\2|\4|\5|\6|\7|\8")}
+    WHEN regexp_matches(v, '{T._SLASHES}') THEN CASE WHEN day_first THEN regexp_replace(v, '{T._SLASHES}', '\3|\2|\1|\4|\5|\6|\7|\8') ELSE regexp_replace(v, '{T._SLASHES}', '\3|\1|\2|\4|\5|\6|\7|\8') END END, '|') AS p FROM x),
+  f AS (SELECT *, len(p) = 1 AS number, TRY_CAST(p[1] AS BIGINT) AS n, CASE WHEN len(p[1]) = 2 THEN TRY_CAST(p[1] AS INTEGER) + CASE WHEN TRY_CAST(p[1] AS INTEGER) < 70 THEN 2000 ELSE 1900 END ELSE TRY_CAST(p[1] AS INTEGER) END AS y,
+    coalesce(TRY_CAST(p[2] AS INTEGER), list_position({months}, lower(substr(p[2], 1, 3)))) AS m, TRY_CAST(p[3] AS INTEGER) AS d, coalesce(TRY_CAST(p[4] AS INTEGER), 0) AS h, lower(substr(p[7], 1, 1)) AS half, coalesce(TRY_CAST(p[5] AS INTEGER), 0) AS mi, coalesce(TRY_CAST(p[6] AS INTEGER), 0) AS s, upper(p[8]) AS zone FROM p WHERE p IS NOT NULL),
+  t AS (SELECT *, CASE WHEN NOT number AND y > 0 AND m BETWEEN 1 AND 12 THEN TRY(make_timestamp(y, m, d, CASE WHEN half = '' THEN h WHEN h NOT BETWEEN 1 AND 12 THEN NULL ELSE h % 12 + CASE WHEN half = 'p' THEN 12 ELSE 0 END END, mi, s)) END AS wall,
+    CASE WHEN {signed} <> '' THEN (CASE WHEN substr({signed}, 1, 1) = '-' THEN -1 ELSE 1 END) * (CAST(substr({signed}, 2, 2) AS INTEGER) * 3600 + 60 * coalesce(TRY_CAST(regexp_extract(zone, '[+-]\d{{2}}:?(\d{{2}})$', 1) AS INTEGER), 0))
+      WHEN zone <> '' THEN coalesce(CASE WHEN starts_with(home, 'Australia/') THEN {pairs(T.AUSTRALIAN)}[zone] END, {pairs(T.ABBREVIATIONS)}[zone]) END AS off FROM f),
+  e AS (SELECT rec_type, rec_id, CASE WHEN number THEN CASE WHEN len(p[1]) = 13 THEN n // 1000 ELSE n END WHEN p[4] = '' THEN epoch(wall) WHEN off IS NOT NULL THEN epoch(wall) - off
+    WHEN timezone(home, timezone(home, wall) - INTERVAL 1 HOUR) = wall THEN epoch(timezone(home, wall)) - 3600 ELSE epoch(timezone(home, wall)) END AS epoch_s FROM t)
+  SELECT rec_type, rec_id, CAST(epoch_s AS BIGINT) AS epoch_s FROM e WHERE epoch_s IS NOT NULL"""
+
+
+SQL = {"p1_found": _found_sql()}
