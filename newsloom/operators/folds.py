@@ -97,3 +97,45 @@ def corroborated(cand: DataFrame, story: str, publisher: str, tokens: str, order
         return c.withColumn("accepted", F.lit(0)).drop("_o")
     out = taken.select(story, F.explode("_taken").alias("t")).select(story, "t.*")
     return out.select(*[x for x in c.columns if x != "_o"], "accepted")
+
+
+RUN = 20_000  # rows of a run that are clustered in one call
+
+
+def leader_clusters(rows: DataFrame, run: str, row_id: str, tokens: str, least: float = 0.28) -> DataFrame:
+    """run, row_id, leader: within each run, its rows taken upwards, a row joins the cluster whose united tokens overlap its own most (at least `least`; ties: the older cluster) or leads a new one.
+
+    Each row depends on all before it, so a run is worked off by one call; a run is what one collection takes in, and one of more than RUN rows is
+    refused with a ValueError. Rows without tokens lead clusters of their own; null ids are left out.
+    """
+    x = rows.where(F.col(row_id).isNotNull()).select(run, F.col(row_id).cast("bigint").alias(row_id), tokens)
+    largest = x.groupBy(run).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > RUN:
+        raise ValueError(f"a run of {largest} rows; at most {RUN} are clustered")
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(row_id, kind="stable")
+        holds: dict[str, list[int]] = {}
+        size, leaders, out = [], [], []
+        for i, t in zip(pdf[row_id], pdf[tokens]):
+            t = set(t) if t is not None else set()
+            shared: dict[int, int] = {}
+            for w in t:
+                for c in holds.get(w, ()):
+                    shared[c] = shared.get(c, 0) + 1
+            best, at = max(((n / (len(t) + size[c] - n), -c) for c, n in shared.items()), default=(0.0, 0))
+            if best >= least:
+                c = -at
+            else:
+                c = len(size)
+                size.append(0)
+                leaders.append(i)
+            for w in t:
+                held = holds.setdefault(w, [])
+                if c not in held:
+                    held.append(c)
+                    size[c] += 1
+            out.append(leaders[c])
+        return pd.DataFrame({run: pdf[run], row_id: pdf[row_id], "leader": out})
+
+    return x.groupBy(run).applyInPandas(scan, T.StructType([x.schema[run], x.schema[row_id], T.StructField("leader", T.LongType())]))

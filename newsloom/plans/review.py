@@ -52,6 +52,19 @@ def verified(spark, d):
     return x.select("event_no", "independent", tier.alias("tier"), sure.cast("int").alias("confidence"))
 
 
+def clustered(spark, d):
+    """Incoming rows of each batch in clusters of headlines, named by their first row."""
+    x = table(spark, d, "incoming_articles").select(F.coalesce("batch_no", F.lit(-1)).alias("batch_no"), "row_id", S.token_set(F.col("headline"), S.EXTENDED).alias("tokens"))
+    return folds.leader_clusters(x, "batch_no", "row_id", "tokens")
+
+
+def weekly_terms(spark, d):
+    """The ten commonest words of four letters or more among the thirty commonest of the incoming headlines, and how often the accepted ones have them."""
+    count = lambda t: table(spark, d, t).select(F.explode(S.token_set(F.col("headline"), S.EXTENDED)).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    now = count("incoming_articles").orderBy(F.desc("n"), "entity").limit(30).where(F.length("entity") >= 4).orderBy(F.desc("n"), "entity").limit(10)
+    return F.broadcast(now).join(count("articles").withColumnRenamed("n", "earlier"), "entity", "left").select("entity", F.col("n").alias("current"), F.coalesce("earlier", F.lit(0)).alias("historical"))  # ten rows
+
+
 def history_chain(spark, d):
     x = V.runs(spark, d).groupBy("run_date").agg(F.count(F.lit(1)).alias("n"))
     return R.chained(x.select(F.col("run_date").cast("string").alias("run"), F.concat_ws("|", F.col("run_date").cast("string"), F.col("n").cast("string")).alias("entry")), "run", "entry")
@@ -65,7 +78,7 @@ QUERIES = {
     "wn10_bootstrap": lambda s, d: R.bootstrap_interval(V.learning(s, d), "run_date", *policies()),
     "wn12_history_chain": history_chain,
     "jn1_first_wins": deduplicated,
-    "jn5_corroboration": corroboration, "jn6_verified": verified,
+    "jn5_corroboration": corroboration, "jn6_verified": verified, "sr8_clusters": clustered, "ag32_weekly_terms": weekly_terms,
 }
 _AGREE = """SELECT candidate, reviewers, n_reviews, n_labels, CASE WHEN n_reviews > reviewers THEN 'duplicate_reviewer' WHEN n_labels > 1 THEN 'disagreement' WHEN reviewers = 1 THEN 'single' ELSE 'agreed' END AS status FROM (
   SELECT candidate, count(DISTINCT reviewer) AS reviewers, count(*) AS n_reviews, count(DISTINCT label) AS n_labels FROM reviews_v WHERE label IS NOT NULL GROUP BY candidate) g"""
@@ -88,6 +101,8 @@ _POISSON = _poisson()
 _ACCEPTED = f"""{similarity.match_parts('article_feed', 'feed_pos', 'title')}, c AS (SELECT s.event_no, s.row_id AS pos, round(greatest(research, CASE WHEN strong THEN 0.58 ELSE 0 END), 6) AS score, {_PUB} AS pub, list_filter({similarity._tok('title')}, lambda w: NOT list_contains({similarity._list(M.STOP)}, w)) AS t
     FROM s JOIN article_feed f ON f.feed_pos = s.row_id WHERE common >= 4 AND (research >= 0.55 OR strong OR relaxed)),
   accepted AS (SELECT event_no, list_reduce(list([struct_pack(pub := pub, t := t, pos := pos, score := score)] ORDER BY score DESC, pos), lambda acc, x: CASE WHEN len(acc) < 8 AND len(list_filter(acc, lambda a: a.pub = x[1].pub OR len(list_intersect(a.t, x[1].t)) / greatest(1, len(a.t) + len(x[1].t) - len(list_intersect(a.t, x[1].t))) >= 0.78)) = 0 THEN list_concat(acc, x) ELSE acc END) AS l FROM c GROUP BY event_no)"""
+_TK5 = similarity._tok("headline", S.EXTENDED)
+_SIMS = f"list_transform(acc, lambda k: {similarity._j('k.t', 'x[1].t')})"
 SQL = {
     "ev5_decision_quality": f"""WITH {V.LEARNING}, g AS (SELECT count(*) FILTER (selected AND outcome >= 0.5) AS tp, count(*) FILTER (selected AND outcome < 0.5) AS fp, count(*) FILTER (NOT selected AND outcome >= 0.5) AS fn, count(*) FILTER (NOT selected AND outcome < 0.5) AS tn FROM learning_v)
   SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(tn / (tn + fp), 6) AS specificity, round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM g""",
@@ -107,4 +122,10 @@ SQL = {
     "jn1_first_wins": f"""WITH f AS (SELECT feed_pos AS k, lower(trim(source)) AS src, url, {similarity._tok('title')} AS w FROM article_feed), u AS (SELECT k, src, w, unnest(w) AS tok FROM f WHERE src IS NOT NULL),
   p AS (SELECT DISTINCT x.k AS a, y.k AS b FROM u x JOIN u y ON x.tok = y.tok AND x.src = y.src AND x.k < y.k WHERE {similarity._j('x.w', 'y.w')} >= 0.62 - 1e-12 UNION SELECT x.k, y.k FROM f x JOIN f y ON x.url = y.url AND x.k < y.k), {_dropped('p')}
   SELECT k AS feed_pos, NOT list_contains((SELECT ids FROM gone), k) AS kept FROM f""",
+    "sr8_clusters": rf"""WITH x AS (SELECT coalesce(batch_no, -1) AS batch_no, row_id, {_TK5} AS t FROM incoming_articles),
+  g AS (SELECT batch_no, list_reduce(list([struct_pack(id := row_id, t := t, ids := [row_id])] ORDER BY row_id), lambda acc, x: CASE WHEN coalesce(list_max({_SIMS}), 0) >= 0.28
+    THEN list_transform(acc, lambda c, i: CASE WHEN i = list_position({_SIMS}, list_max({_SIMS})) THEN struct_pack(id := c.id, t := list_distinct(list_concat(c.t, x[1].t)), ids := list_concat(c.ids, x[1].ids)) ELSE c END) ELSE list_concat(acc, x) END) AS l FROM x GROUP BY batch_no),
+  u AS (SELECT batch_no, unnest(l) AS c FROM g) SELECT batch_no, unnest(c.ids) AS row_id, c.id AS leader FROM u""",
+    "ag32_weekly_terms": f"""WITH n AS (SELECT w AS entity, count(*) AS n FROM (SELECT unnest({_TK5}) AS w FROM incoming_articles) q GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 30), a AS (SELECT w AS entity, count(*) AS n FROM (SELECT unnest({_TK5}) AS w FROM articles) q GROUP BY 1)
+  SELECT n.entity, n.n AS current, coalesce(a.n, 0) AS historical FROM (SELECT * FROM n WHERE length(entity) >= 4 ORDER BY n DESC, entity LIMIT 10) n LEFT JOIN a ON a.entity = n.entity""",
 }

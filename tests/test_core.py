@@ -78,6 +78,29 @@ def test_event_matches(spark):
     assert got[0][1] and got[0][0] >= 0.56 and got[1] == (0.0, False, 0.0) and got[2] == (0.0, False, 0.0) and got[3][1]
 
 
+def test_leader_clusters_equal_scan(spark, monkeypatch):
+    rnd = random.Random(8)
+    rows = [(r, i, rnd.sample([f"t{j}" for j in range(14)], rnd.randint(0, 5))) for r in (1, 2) for i in range(60)] + [(3, 1, None)]
+    want = {}
+    for r in (1, 2, 3):
+        clusters = []
+        for run, i, t in rows:
+            if run == r:
+                sims = [len(set(t or ()) & c[1]) / max(1, len(set(t or ()) | c[1])) for c in clusters]
+                if sims and max(sims) >= 0.28:
+                    c = clusters[sims.index(max(sims))]
+                    c[1].update(t)
+                else:
+                    clusters.append(c := (i, set(t or ())))
+                want[r, i] = c[0]
+    df = spark.createDataFrame(rows, "run int, id long, tokens array<string>")
+    assert {(x.run, x.id): x.leader for x in folds.leader_clusters(df, "run", "id", "tokens").collect()} == want
+    assert folds.leader_clusters(df.limit(0), "run", "id", "tokens").count() == 0
+    monkeypatch.setattr(folds, "RUN", 10)
+    with pytest.raises(ValueError):
+        folds.leader_clusters(df, "run", "id", "tokens")
+
+
 @pytest.mark.parametrize("bounded", [0, 5_000])
 def test_corroboration_one_publisher_no_copies(spark, monkeypatch, bounded):
     monkeypatch.setattr(folds, "BOUNDED", bounded)
