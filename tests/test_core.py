@@ -148,6 +148,12 @@ def test_leader_clusters_equal_scan(spark, monkeypatch):
         folds.leader_clusters(df, "run", "id", "tokens")
 
 
+def test_leader_clusters_take_a_run_of_any_size(spark):
+    x = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 1).alias("run"), "id", F.array(F.concat(F.lit("a"), F.col("id") % 900), F.concat(F.lit("b"), F.col("id") % 900)).alias("tokens"))
+    got = {(r.run, r.leader % 900, r.leader < 900): r.n for r in folds.leader_clusters(x, "run", "id", "tokens").groupBy("run", "leader").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert len(got) == 900 and sum(got.values()) == 30_000 and sum(n for (run, _, _), n in got.items() if run is None) == 20_000
+
+
 @pytest.mark.parametrize("bounded", [0, 5_000])
 def test_corroboration_one_publisher_no_copies(spark, monkeypatch, bounded):
     monkeypatch.setattr(folds, "BOUNDED", bounded)
