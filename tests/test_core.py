@@ -67,6 +67,34 @@ def test_search_equals_brute_force(spark, monkeypatch):
     assert all(abs(best[i] - max((len(set(w) & set(sets[k])) / max(1, len(set(w) | set(sets[k]))) for k in range(0, 90, 4)), default=0)) < 1e-12 for i, w in sets.items())
 
 
+@pytest.mark.parametrize("order", [["overlap", "r"], ["shared", "r"], ["shared", "overlap", "at", "r"], None])
+def test_search_holds_few_pairs(spark, monkeypatch, order):
+    from newsloom.operators import search as Q
+
+    monkeypatch.setattr(Q, "FLUSH", 40)
+    frames, frame = spark.sparkContext.accumulator(0), Q._frame
+
+    def counted(sets, hits):
+        x = frame(sets, hits)
+        frames.add(int(len(x) > 40 + 60))
+        return x
+
+    monkeypatch.setattr(Q, "_frame", counted)
+    rnd = random.Random(2)
+    sets = {i: rnd.sample([f"t{j}" for j in range(12)], rnd.randint(1, 6)) for i in range(240)}
+    df = spark.createDataFrame([(i, w, f"d{i % 3}") for i, w in sets.items()], "r long, tokens array<string>, d string").repartition(2)
+    q = df.where("r % 4 = 0").select(F.col("r").alias("q"), "tokens")
+    got = Q.search(q, df, "q", "r", 0.1, most=3 if order else None, order=order, at="d").collect()
+    for k in range(0, 240, 4):
+        hits = [{"shared": -n, "overlap": -n / len(set(w) | set(sets[k])), "at": f"d{i % 3}", "r": i} for i, w in sets.items() if (n := len(set(w) & set(sets[k]))) and n / len(set(w) | set(sets[k])) >= 0.1]
+        if order:
+            want = [h["r"] for h in sorted(hits, key=lambda h: [h[c] for c in order])[:3]]
+            assert [r.r for r in sorted((r for r in got if r.q == k), key=lambda r: r.rank)] == want
+        else:
+            assert sorted(r.r for r in got if r.q == k) == sorted(h["r"] for h in hits)
+    assert frames.value == 0
+
+
 def test_event_matches(spark):
     from newsloom.operators import matching as M
 
