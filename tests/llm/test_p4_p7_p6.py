@@ -40,6 +40,28 @@ def test_spellings_link(spark):
     assert names.linked(spark.createDataFrame([], "spelling string, n long")).count() == 0
 
 
+def test_names_that_share_only_a_common_word_link(spark, monkeypatch):
+    monkeypatch.setattr(names, "BOUNDED", 3)
+    rows = [("Brindlemoor Western Evening Gazette Post", 50), ("Brndlmr Wstrn Evnng Gztt Post", 2), ("Katherine Ostvale Robert Marvanesk Post", 40), ("Kthrn Ostvl Bob Mrvnsk Post", 2)]
+    # the short forms' other words stand in few names each, so the shared one is none of their three rarest
+    rows += [(f"{w} Brndlmr Wstrn Evnng Gztt {x}", 9) for w, x in (("Kelda", "Zorn"), ("Tovas", "Quali"))] + [(f"{w} Kthrn Ostvl Bob Mrvnsk {x}", 9) for w, x in (("Luthal", "Nimir"), ("Seddas", "Yeston"))]
+    rows += [(f"{w} Post", 9) for w in ("Luthalhurst", "Gavantrask", "Vashulbourne", "Haskotjord", "Teshalrune", "Sarqasoll", "Yestolbury")]
+    got = {r.spelling: r.root for r in names.linked(spark.createDataFrame(rows, "spelling string, n long")).collect()}
+    assert got[rows[0][0]] == got[rows[1][0]] and got[rows[2][0]] == got[rows[3][0]] and len({got[s] for s, _ in rows}) == len(rows) - 2
+
+
+def test_names_that_align_have_an_opening_in_common():
+    rnd = random.Random(3)
+    vocab = ["robert", "bob", "rbrt", "william", "bill", "k", "kate", "katherine", "kathrine", "post", "pst", "daily", "dialy", "bill", "j", "eleanor", "nell"]
+    n = 0
+    for _ in range(20_000):
+        a, b = ([rnd.choice(vocab) for _ in range(rnd.randint(1, 4))] for _ in range(2))
+        if names.aligned(a, b) is not None:
+            n += 1
+            assert names.openings(a) & names.openings(b), (a, b)
+    assert n > 100
+
+
 def test_long_names_align():
     a = [f"word{i}" for i in range(14)]
     assert names.aligned(a, list(reversed(a))) == (0, 0, 0, 0)
