@@ -27,7 +27,7 @@ from __future__ import annotations
 import pickle
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import zstandard
@@ -88,6 +88,23 @@ def _may_run(text: str, signs: set[str]) -> bool:
     return not LEADS.isdisjoint(signs) and not FOLLOWERS.isdisjoint(signs) and UTF8_RUN.search(text) is not None
 
 
+def _found(pattern: re.Pattern, text: str, least: int = 1) -> list[tuple[int, str]]:
+    """Where the pattern's matches with non-ASCII signs, of at least so many characters, begin, and what they are."""
+    return [(m.start(), x) for m in pattern.finditer(text) if len(x := m.group()) >= least and not x.isascii()]
+
+
+def _turned(text: str, found: list[tuple[int, str]], turn: Callable[[str], str]) -> str:
+    """text with what was found turned, each of equal ones once."""
+    known, out, at = {}, [], 0
+    for start, old in found:
+        if (new := known.get(old)) is None:
+            new = known[old] = turn(old)
+        if new != old:
+            out += (text[at:start], new)
+            at = start + len(old)
+    return "".join(out) + text[at:] if out else text
+
+
 class Model:
     """Usual characters and a compressor for each language; fitted on (language, text) pairs."""
 
@@ -111,11 +128,17 @@ class Model:
             self.usual[lang], self.data[lang] = usual, (data, trained)
         self.all_usual = frozenset().union(*self.usual.values()) if self.usual else frozenset()
         self.made: dict = {}
+        self.sizes: dict[tuple[str, str], int] = {}  # of the text being restored
 
     def __getstate__(self):
-        return self.__dict__ | {"made": {}}
+        return self.__dict__ | {"made": {}, "sizes": {}}
 
     def size(self, lang: str, text: str) -> int:
+        if (n := self.sizes.get((lang, text))) is None:
+            n = self.sizes[lang, text] = self._size(lang, text)
+        return n
+
+    def _size(self, lang: str, text: str) -> int:
         c = self.made.get(lang)
         if c is None:
             data, trained = self.data[lang]
@@ -137,13 +160,11 @@ class Model:
         left = {k: len(signs - u) for k, u in self.usual.items()}
         return [k for k, n in left.items() if n == min(left.values())]
 
-    def by_utf8(self, text: str, name: str) -> str:
+    def by_utf8(self, text: str, name: str, runs: list[tuple[int, str]]) -> str:
+        """text with its runs of signs (places and texts, as _found gives them) that are valid UTF-8 turned."""
         to = self.table(name)[0]
 
-        def turn(m: re.Match) -> str:
-            raw = m.group()
-            if len(raw) < 2:
-                return raw
+        def turn(raw: str) -> str:
             try:
                 return bytes(map(to.__getitem__, raw)).decode("utf-8")
             except (KeyError, UnicodeDecodeError):
@@ -164,22 +185,19 @@ class Model:
                 i += 1
             return "".join(out)
 
-        return RUN.sub(turn, text)
+        return _turned(text, runs, turn)
 
-    def by_byte(self, text: str, name: str, right: str, unusual: frozenset[str] | None, usual: frozenset[str]) -> str:
-        """Words with an unusual sign (None: with any non-ASCII sign), if they consist of usual signs afterwards."""
+    def by_byte(self, text: str, name: str, right: str, unusual: frozenset[str] | None, usual: frozenset[str], words: list[tuple[int, str]]) -> str:
+        """Words (those with non-ASCII signs, as _found gives them) with an unusual sign (None: any), if they consist of usual signs afterwards."""
         to, back = self.table(name)[0], self.table(right)[1]
 
-        def turn(m: re.Match) -> str:
-            word = m.group()
-            if word.isascii():
-                return word
+        def turn(word: str) -> str:
             if unusual is not None and not unusual.intersection(word):
                 return word
             new = [c if c <= "\x7f" else back[to[c]] if c in to else "" for c in word]
             return "".join(new) if all(c <= "\x7f" and c > "\x1f" or c in usual for c in new) and all(new) else word
 
-        return WORD.sub(turn, text)
+        return _turned(text, words, turn)
 
     def better_pieces(self, old: str, new: str, langs: list[str]) -> str:
         """Of each sentence or part of one the version with the shorter description."""
@@ -201,6 +219,7 @@ class Model:
         if not langs:
             return (text, "", True) if "�" in text or CONTROL.search(text) or SEQUENCE.search(text) else None
         now, chains = text, []
+        self.sizes.clear()
         while True:  # each step makes the description shorter
             signs = {c for c in set(now) if c > "\x7f"}
             langs = self.languages(lang, signs)
@@ -211,8 +230,9 @@ class Model:
                 break
             mine = usual if lang in self.usual else self.all_usual
             targets = langs if lang in self.usual else sorted(self.usual)
-            whole = {(a, "utf_8", True): self.by_utf8(now, a) for a in READ_AS}
-            whole |= {(a, b, strict): self.by_byte(now, a, b, frozenset(unusual) if strict else None, mine) for a, b in ONE_BYTE for strict in (True, False)}
+            runs, words = _found(RUN, now, 2), _found(WORD, now)
+            whole = {(a, "utf_8", True): self.by_utf8(now, a, runs) for a in READ_AS}
+            whole |= {(a, b, strict): self.by_byte(now, a, b, frozenset(unusual) if strict else None, mine, words) for a, b in ONE_BYTE for strict in (True, False)}
             options, seen = {}, {now}
             for chain, new in whole.items():
                 if new not in seen:

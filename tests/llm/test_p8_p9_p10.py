@@ -122,6 +122,25 @@ def test_right_text_stays(model):
     assert model.restore("un caf� noir", "fr")[2]
 
 
+def test_no_text_is_compressed_twice():
+    m, seen = encoding.Model(corpus(60)), []
+
+    class Counting:
+        def __init__(self, c):
+            self.c = c
+
+        def compress(self, x):
+            seen.append(x)
+            return self.c.compress(x)
+
+    m.size("fr", "x"), m.size("ru", "x")
+    m.made |= {k: Counting(m.made[k]) for k in ("fr", "ru")}
+    text = next(t for k, t in corpus(6) if k == "fr")
+    bad = wrong(text, "cp1252") + "\n" + "plain words only " * 50
+    assert m.restore(bad, "fr")[0] == text + "\n" + "plain words only " * 50
+    assert seen and len(seen) == len(set(seen))
+
+
 def test_affected_table(spark):
     rows = [(i, t, k) for i, (k, t) in enumerate(corpus(60))]
     rows += [(1000, wrong(rows[0][1], "cp1252"), "fr"), (1000, wrong(rows[0][1], "cp1252"), "fr"), (1001, None, "fr"), (1002, "", None), (1003, "lost � here", None)]
