@@ -10,9 +10,11 @@ words, the larger t |B|, and the k-th shared word is among the first |A| - s + k
 * each of the words beyond, for pairs with a set of more than LONG words.
 
 The first one or two shared words of every pair are a block of both, so no pair is lost. A block of one word has at most RARE
-records whatever the input's size; blocks of commoner words are salted. Within a block a pair is dropped
-if its sizes, the words left after the block, or the distance of 128-bit parity signatures (at most the sets' own distance) rule the
-overlap out. Longer signatures follow, and every candidate left is verified by the exact Hamming distance of the two word sets:
+records whatever the input's size. Of the blocks of commoner words only those are made that some record may have as the smaller set
+of a pair (few: most sets begin with more rare words than a smaller set may miss); they are marked in MARKS bits, and salted.
+Within a block a pair is dropped if its sizes, the words left after the block, or the distance of 128-bit parity signatures (at most
+the sets' own distance) rule the overlap out; a sorted block is compared as matrices of its signatures. Longer signatures follow, and
+every candidate left is verified by the exact Hamming distance of the two word sets:
 overlap >= t  <=>  distance <= (1 - t) / (1 + t) * (|A| + |B|).
 
 The order needs no exact frequencies, only the same for all records: they are counted in a sketch of SKETCH counters,
@@ -46,6 +48,10 @@ PIECE = 1 << 14  # counters summed in one row
 LONG = 200  # words from which sets have no blocks of two words
 HOT = 20_000  # records that hold a word, for each salt of its blocks
 SALTS = 64
+MARKS = 1 << 25  # bits for blocks of common words, 4 MB
+ROWS = 400_000  # rows of sorted blocks compared at once
+TILE = 1 << 18  # pairs of a matrix of signatures
+BIG = 48  # rows of a block from which it is compared as matrices
 SIGNATURES = 4  # of 64 bits each, compared before words are
 CHUNK = 2_000  # records whose words are held at once
 SMALL = 500_000  # ids of verified records that are broadcast (4 MB); more are joined by a shuffle
@@ -86,6 +92,20 @@ class Words:
                     yield part["id"].to_numpy()[some], values, np.append(starts[:-1][some], starts[-1])
 
 
+def _stored(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(same, words, starts) of records that prints stored, each word set once in a task, at most CHUNK at a time."""
+    seen: set[int] = set()
+    for pdf in batches:
+        for at in range(0, len(pdf), CHUNK):
+            part = pdf.iloc[at : at + CHUNK].drop_duplicates("same")
+            part = part[np.fromiter((h not in seen for h in part["same"].tolist()), bool, len(part))]
+            if len(seen) > 500_000:
+                seen.clear()
+            seen.update(part["same"].tolist())
+            if len(part):
+                yield part["same"].to_numpy(), np.frombuffer(b"".join(part["words"]), dtype=np.uint64), np.concatenate([[0], np.cumsum(part["n"].to_numpy())]).astype(np.int64)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -110,8 +130,8 @@ def _within(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def prints(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(id, same (hash of the word set), n, s0 ... (parity signatures) of every record (id, text) that has words; the sketch of word counts)."""
+def prints(docs: DataFrame, words: bool = False) -> tuple[DataFrame, np.ndarray]:
+    """(id, same (hash of the word set), n, s0 ... (parity signatures), words (their hashes, if asked for) of every record (id, text) that has words; the sketch of word counts)."""
     sig = [f"s{k}" for k in range(SIGNATURES)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,100 +140,205 @@ def prints(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
             counts += np.bincount((values & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
             bit = (_mix(values + np.uint64(2)) >> np.uint64(32)) % np.uint64(64 * SIGNATURES)
             of = lambda k: np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), starts[:-1]).view(np.int64)
-            yield pd.DataFrame({"id": ids, "same": _set_hash(values, starts), "n": np.diff(starts).astype(np.int32), **{s: of(k) for k, s in enumerate(sig)}, "counts": None})
+            yield pd.DataFrame({"id": ids, "same": _set_hash(values, starts), "n": np.diff(starts).astype(np.int32), **{s: of(k) for k, s in enumerate(sig)}, "counts": None, "words": [values[a:b].tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())] if words else None})
         for at in range(0, SKETCH, PIECE):
             if counts[at : at + PIECE].any():
-                yield pd.DataFrame({"id": [at // PIECE], "same": 0, "n": np.array([0], dtype=np.int32), **dict.fromkeys(sig, 0), "counts": [np.minimum(counts[at : at + PIECE], 0x7FFFFFFF).astype(np.int32).tobytes()]})
+                yield pd.DataFrame({"id": [at // PIECE], "same": 0, "n": np.array([0], dtype=np.int32), **dict.fromkeys(sig, 0), "counts": [np.minimum(counts[at : at + PIECE], 0x7FFFFFFF).astype(np.int32).tobytes()], "words": None})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(b, dtype=np.int32).astype(np.int64) for b in pdf["counts"])
         return pd.DataFrame({"id": pdf["id"].iloc[:1], "counts": [np.minimum(total, 0x7FFFFFFF).astype(np.int32).tobytes()]})
 
-    both = stage(docs.mapInPandas(run, "id bigint, same bigint, n int" + "".join(f", {s} bigint" for s in sig) + ", counts binary"), "p7-prints")
+    both = stage(docs.mapInPandas(run, "id bigint, same bigint, n int" + "".join(f", {s} bigint" for s in sig) + ", counts binary, words binary"), "p7-prints")
     counts = np.zeros(SKETCH, dtype=np.int32)
     for r in both.where("n = 0").select("id", "counts").groupBy("id").applyInPandas(add, "id bigint, counts binary").collect():  # SKETCH / PIECE rows
         counts[r.id * PIECE : (r.id + 1) * PIECE] = np.frombuffer(r.counts, dtype=np.int32)
     return both.where("n > 0").drop("counts"), counts
 
 
-def cells(values: np.ndarray, starts: np.ndarray, same: np.ndarray, counts: np.ndarray, t: int) -> Iterator[pd.DataFrame]:
-    """block, same, size, sig, sig2 of the records' blocks; record i's words are values[starts[i]:starts[i + 1]], none of them empty.
+def _mark(key: np.ndarray) -> np.ndarray:
+    return (key & np.uint64(MARKS - 1)).astype(np.int64)
+
+
+def _frequencies(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return counts[(values & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64)
+
+
+def _narrow(n: np.ndarray, t: int) -> np.ndarray:
+    """Words of a smaller set of n that need not be shared."""
+    return n + (-2 * t * n // (SCALE + t))
+
+
+def _ordered(values: np.ndarray, held: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word, record after record in the order of blocks: record, word, its frequency and place in the record."""
+    row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    order = np.lexsort((values, (row << 32) | held))
+    return row, values[order], held[order], np.arange(len(values)) - starts[row]
+
+
+def _common(row: np.ndarray, values: np.ndarray, held: np.ndarray, pos: np.ndarray, n: np.ndarray, t: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]]:
+    """(record, block, position of its last word, number of its words, frequency) of the blocks without a rare word."""
+    wide, rare = n + (-t * n // SCALE), held <= RARE
+    # blocks of one common word: long sets, and sets so small that a pair may share a single word
+    x = np.flatnonzero((pos <= wide[row]) & ~rare & ((n[row] * SCALE >= t * LONG) | (n[row] <= SCALE // t) & (SCALE // t > 1)))
+    yield row[x], _mix(values[x] ^ np.uint64(1)), pos[x], 1, held[x]
+    two = np.flatnonzero((pos <= wide[row] + 1) & ~rare & (n[row] <= LONG))
+    r, at, count = np.unique(row[two], return_index=True, return_counts=True)
+    for c in range(0, len(r), 200):  # records at once
+        i, j = _pairs_of(at[c : c + 200], count[c : c + 200])
+        i, j = two[i], two[j]
+        yield row[i], _mix(_mix(values[i] ^ np.uint64(2)) ^ values[j]), pos[j], 2, held[i]
+
+
+def marked(values: np.ndarray, starts: np.ndarray, counts: np.ndarray, t: int) -> np.ndarray:
+    """Marks of the blocks of common words that a record may have as the smaller set of a pair."""
+    n, held = np.diff(starts), _frequencies(values, counts)
+    some = np.add.reduceat(held <= RARE, starts[:-1], dtype=np.int64) <= _narrow(n, t)  # rare words come first
+    if not some.any():
+        return np.zeros(0, dtype=np.int64)
+    few, n = np.repeat(some, n), n[some]
+    narrow = _narrow(n, t)
+    return np.unique(np.concatenate([_mark(block[last < narrow[r] + k]) for r, block, last, k, _ in _common(*_ordered(values[few], held[few], np.concatenate([[0], np.cumsum(n)])), n, t)]))
+
+
+def cells(values: np.ndarray, starts: np.ndarray, same: np.ndarray, counts: np.ndarray, t: int, marks: np.ndarray) -> pd.DataFrame:
+    """block, same, size, sig, sig2 of the records' blocks; record i's words are values[starts[i]:starts[i + 1]], none of them empty. marks: bytes, not 0 where marked() is.
 
     size: number of words << 32, words in and behind the block << 2, and 1 if the smaller set of a pair may have it, 2 if the larger may.
     """
     n = np.diff(starts)
-    row = np.repeat(np.arange(len(n)), n)
     bit = _mix(values) >> np.uint64(57)
     half = lambda k: np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == k, np.uint64(1) << (bit & np.uint64(63)), np.uint64(0)), starts[:-1]).view(np.int64)
     sig, sig2 = half(0), half(1)
-    held = counts[(values & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.int64)
-    order = np.lexsort((values, (row << 32) | held))
-    values, held = values[order], held[order]
-    pos = np.arange(len(values)) - starts[row]
-    wide, narrow = n + (-t * n // SCALE), n + (-2 * t * n // (SCALE + t))  # words of a larger, a smaller set that need not be shared
-
-    def out(r: np.ndarray, block: np.ndarray, last: np.ndarray, k: int, salts: np.ndarray) -> pd.DataFrame:
-        """Rows of records r; last: position of the block's last word. The smaller set's salt is its own, the larger has all."""
-        lead = last < narrow[r] + k
-        if (salts == 1).all():
-            return pd.DataFrame({"block": block.view(np.int64), "same": same[r], "size": (n[r] << 32) + ((n[r] - last - 1 + k) << 2) + lead + 2, "sig": sig[r], "sig2": sig2[r]})
-        s = np.where(salts > 1, salts + 1, 1)
-        x, nth = np.repeat(np.arange(len(r)), s), _within(s)
-        many = salts[x] > 1
-        own = many & (nth == salts[x])  # of a salted block, one row is the smaller set's and the others the larger's
-        key = _mix(block[x] ^ _mix(np.where(own, same[r][x] % salts[x], nth).astype(np.uint64)))
-        size = (n[r][x] << 32) + ((n[r] - last - 1 + k)[x] << 2) + (lead[x] & (own | ~many)) + 2 * ~own
-        return pd.DataFrame({"block": key.view(np.int64), "same": same[r][x], "size": size, "sig": sig[r][x], "sig2": sig2[r][x]})
-
-    one, rare = pos <= wide[row], held <= RARE
-    x = np.flatnonzero(one & rare)
-    yield out(row[x], values[x], pos[x], 1, np.ones(len(x), dtype=np.int64))
-    salt = np.clip(-(-held // HOT), 1, SALTS)
-    # blocks of one common word: long sets, and sets so small that a pair may share a single word
-    x = np.flatnonzero(one & ~rare & ((n[row] * SCALE >= t * LONG) | (n[row] <= SCALE // t) & (SCALE // t > 1)))
-    yield out(row[x], _mix(values[x] ^ np.uint64(1)), pos[x], 1, salt[x])
-    two = np.flatnonzero((pos <= wide[row] + 1) & ~rare & (n[row] <= LONG))
-    if len(two):
-        r, at, count = np.unique(row[two], return_index=True, return_counts=True)
-        for c in range(0, len(r), 200):  # records at once
-            i, j = _pairs_of(at[c : c + 200], count[c : c + 200])
-            i, j = two[i], two[j]
-            yield out(row[i], _mix(_mix(values[i] ^ np.uint64(2)) ^ values[j]), pos[j], 2, salt[i])
+    narrow = _narrow(n, t)
+    row, values, held, pos = _ordered(values, _frequencies(values, counts), starts)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # record, block, size
+
+    def add(r: np.ndarray, block: np.ndarray, last: np.ndarray, k: int, may: np.ndarray) -> None:
+        out.append((r, block, (n[r] << 32) + ((n[r] - last - 1 + k) << 2) + may))
+
+    x = np.flatnonzero((pos <= (n + (-t * n // SCALE))[row]) & (held <= RARE))
+    add(row[x], values[x], pos[x], 1, (pos[x] < narrow[row[x]] + 1) + 2)
+    for r, block, last, k, often in _common(row, values, held, pos, n, t):
+        x = np.flatnonzero(marks[_mark(block)])
+        r, block, last, salts = r[x], block[x], last[x], np.clip(-(-often[x] // HOT), 1, SALTS)
+        lead, one = last < narrow[r] + k, salts == 1
+        add(r[one], block[one], last[one], k, lead[one] + 2)
+        # of a salted block, the larger set has its own salt and the smaller, of which there are fewer, all
+        x = np.flatnonzero(~one)
+        add(r[x], _mix(block[x] ^ _mix((same[r[x]] % salts[x]).astype(np.uint64))), last[x], k, np.full(len(x), 2))
+        x = np.flatnonzero(~one & lead)
+        x, nth = np.repeat(x, salts[x]), _within(salts[x])
+        add(r[x], _mix(block[x] ^ _mix(nth.astype(np.uint64))), last[x], k, np.full(len(x), 1))
+    r, block, size = (np.concatenate(x) for x in zip(*out))
+    return pd.DataFrame({"block": block.view(np.int64), "same": same[r], "size": size, "sig": sig[r], "sig2": sig2[r]})
+
+
+def candidate_cells(known: DataFrame, counts: np.ndarray, t: int) -> DataFrame:
+    """What prints stored -> the records' blocks (see cells), those of equal word sets once in each task."""
+    sc = known.sparkSession.sparkContext
+    sketch, stored = sc.broadcast(counts), known.select("same", "n", "words")
+
+    def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, values, starts in _stored(batches):
+            yield pd.DataFrame({"mark": marked(values, starts, sketch.value, t)})
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "bits": [np.packbits(np.bincount(pdf["mark"] % PIECE, minlength=PIECE) > 0).tobytes()]})
+
+    marks = np.zeros(MARKS // 8, dtype=np.uint8)
+    found = stored.mapInPandas(mark, "mark int").distinct().withColumn("piece", F.expr(f"mark div {PIECE}"))
+    for r in found.groupBy("piece").applyInPandas(pack, "piece bigint, bits binary").collect():  # at most MARKS / PIECE rows
+        marks[r.piece * PIECE // 8 : (r.piece + 1) * PIECE // 8] = np.frombuffer(r.bits, dtype=np.uint8)
+    held = sc.broadcast(marks)
 
-
-def candidate_cells(docs: DataFrame, counts: np.ndarray, t: int) -> DataFrame:
-    """id, text -> the records' blocks (see cells), those of equal word sets once in each task."""
-    sketch = docs.sparkSession.sparkContext.broadcast(counts)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        flags = np.unpackbits(held.value)
+        for same, values, starts in _stored(batches):
+            yield cells(values, starts, same, sketch.value, t, flags)
+
+    return stored.mapInPandas(run, "block bigint, same bigint, size bigint, sig bigint, sig2 bigint")
+
+
+def block_pairs(block: np.ndarray, same: np.ndarray, size: np.ndarray, sig: np.ndarray, sig2: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """same of the two sets of each pair that is close, in rows of whole blocks sorted by block, size and same."""
+    kept = np.ones(len(block), dtype=bool)  # copies of a set once
+    kept[1:] = (block[1:] != block[:-1]) | (size[1:] != size[:-1]) | (same[1:] != same[:-1])
+    block, same, size, sig, sig2 = block[kept], same[kept], size[kept], sig[kept].view(np.uint64), sig2[kept].view(np.uint64)
+    new = np.ones(len(block), dtype=bool)
+    new[1:] = block[1:] != block[:-1]
+    nth = np.cumsum(new) - 1
+    n, room = size >> 32, size >> 2 & 0x3FFFFFFF
+    end = np.searchsorted((nth << 32) | n, (nth << 32) | (SCALE * n // t), side="right")  # the last that is not too large
+    lead = np.flatnonzero((size & 1 > 0) & (end > np.arange(len(n)) + 1))
+    big = np.bincount(nth)[nth[lead]] >= BIG
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def keep(i: np.ndarray, j: np.ndarray) -> None:
+        total = n[i] + n[j]
+        ok = (j > i) & (j < end[i]) & (size[j] & 2 > 0) & (same[i] != same[j]) & ((SCALE + t) * np.minimum(room[i], room[j]) >= t * total)
+        ok[ok] = (SCALE + t) * (np.bitwise_count(sig[i[ok]] ^ sig[j[ok]]).astype(np.int64) + np.bitwise_count(sig2[i[ok]] ^ sig2[j[ok]])) <= (SCALE - t) * total[ok]
+        out.append((same[i[ok]], same[j[ok]]))
+
+    x, todo = lead[~big], (end - np.arange(len(n)) - 1)[lead[~big]]
+    ends = np.cumsum(todo)
+    at = 0
+    while at < len(x):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 4 * TILE, side="right")))
+        keep(i := np.repeat(x[at:to], todo[at:to]), i + 1 + _within(todo[at:to]))
+        at = to
+    # distance <= (1 - t) / t * n of the smaller, whatever the larger's size
+    most = np.minimum((SCALE - t) * n // t, 255).astype(np.uint8)
+    x = lead[big]
+    cut = np.flatnonzero(np.diff(nth[x], prepend=-1, append=-1))
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):  # leads of one block
+        while a < b:
+            last = int(end[x[b - 1]])
+            to = min(b, a + max(1, TILE // (last - int(x[a]))))
+            rows, first, last = x[a:to], int(x[a]) + 1, int(end[x[to - 1]])
+            near = np.bitwise_count(sig[rows, None] ^ sig[None, first:last])
+            near += np.bitwise_count(sig2[rows, None] ^ sig2[None, first:last])
+            i, j = np.nonzero(near <= most[rows, None])
+            if len(i):
+                keep(rows[i], j + first)
+            a = to
+    if not out:
+        return same[:0], same[:0]
+    return np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])
+
+
+def close_pairs(block: DataFrame, t: int) -> DataFrame:
+    """a, b (a < b): hashes of word sets that share a block and are close by it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for _, values, starts in Words().records(batches):
-            same = _set_hash(values, starts)
-            first = np.zeros(len(same), dtype=bool)
-            first[np.unique(same, return_index=True)[1]] = True
-            first &= np.fromiter((h not in seen for h in same.tolist()), bool, len(same))
-            if len(seen) > 500_000:
-                seen.clear()
-            seen.update(same[first].tolist())
-            if first.any():
-                n = np.diff(starts)
-                yield from cells(values[np.repeat(first, n)], np.concatenate([[0], np.cumsum(n[first])]), same[first], sketch.value, t)
+        names, held, rows, need = ["block", "same", "size", "sig", "sig2"], [], 0, ROWS
+
+        def found(parts: list[np.ndarray]) -> pd.DataFrame:
+            a, b = block_pairs(*parts, t)
+            return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+        for pdf in batches:
+            held.append([pdf[c].to_numpy() for c in names])
+            rows += len(pdf)
+            if rows >= need:
+                parts = [np.concatenate(c) for c in zip(*held)]
+                at = int(np.searchsorted(parts[0], parts[0][-1]))  # where the last block, which may go on, begins
+                if at:
+                    yield found([c[:at] for c in parts])
+                held, rows = [[c[at:] for c in parts]], rows - at
+                need = max(ROWS, 2 * rows)
+        if rows:
+            yield found([np.concatenate(c) for c in zip(*held)])
 
-    return docs.mapInPandas(run, "block bigint, same bigint, size bigint, sig bigint, sig2 bigint")
+    return block.repartition("block").sortWithinPartitions("block", "size", "same").mapInPandas(run, "a bigint, b bigint").distinct()
 
 
 def near_pairs(df: DataFrame, row_id: str, text: Column, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(pairs of representatives: a, b, overlap with a < b; membership: id, rep). rep is the smallest id with the same word set."""
     t = round(threshold * SCALE)
     docs = df.where(F.col(row_id).isNotNull()).select(F.col(row_id).cast("bigint").alias("id"), text.alias("text"))
-    known, counts = prints(docs)
-    block = candidate_cells(docs, counts, t)
-    x, y = block.alias("x"), block.alias("y")
-    # conditions name both sides, so that both read one exchange
-    n, room = (lambda c: f"shiftright({c}.size, 32)"), (lambda c: f"(shiftright({c}.size, 2) & 1073741823)")
-    smaller = f"(x.size & shiftright(y.size, 1) & 1) = 1 and x.same != y.same and ({n('x')} < {n('y')} or {n('x')} = {n('y')} and x.same < y.same)"
-    close = f"{SCALE + t}L * (bit_count(x.sig ^ y.sig) + bit_count(x.sig2 ^ y.sig2)) <= {SCALE - t}L * ({n('x')} + {n('y')}) and {t}L * {n('y')} <= {SCALE}L * {n('x')} and {SCALE + t}L * least({room('x')}, {room('y')}) >= {t}L * ({n('x')} + {n('y')})"
-    near = x.join(y, F.expr(f"x.block = y.block and {smaller} and {close}")).select(F.expr("least(x.same, y.same)").alias("a"), F.expr("greatest(x.same, y.same)").alias("b")).distinct()
+    known, counts = prints(docs, words=True)
+    near = close_pairs(candidate_cells(known, counts, t), t)
     # longer signatures next: they leave hardly any pair whose words differ by more
     sig = [f"s{k}" for k in range(SIGNATURES)]
     sets = known.groupBy("same").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", *sig)])

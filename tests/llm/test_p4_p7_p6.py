@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from newsloom.llm import history, names, neardup
@@ -125,6 +126,32 @@ def test_family_of_near_copies_loses_no_pair(spark, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_blocks_of_common_words_only_where_a_pair_may_begin(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "RARE", 20)
+    monkeypatch.setattr(neardup, "HOT", 40)
+    rnd = random.Random(4)
+    rows = [(i, " ".join([f"own{i}x{k}" for k in range(8)] + rnd.sample([f"c{k}" for k in range(60)], 34))) for i in range(600)]
+    known, counts = neardup.prints(spark.createDataFrame(rows, "id long, text string"), words=True)
+    # a smaller set of 42 words may miss 7 of them, so no pair begins behind the 8 words of each record's own
+    assert neardup.candidate_cells(known, counts, 700_000).count() == 600 * 8
+
+
+def test_big_blocks_give_the_pairs_of_small_ones(monkeypatch):
+    rnd = np.random.default_rng(5)
+    m = 900
+    rows = pd.DataFrame({"block": np.sort(rnd.integers(0, 4, m)), "same": rnd.integers(-400, 400, m), "n": rnd.integers(8, 40, m), "flags": rnd.integers(1, 4, m)})
+    rows["size"] = rows["n"] * ((1 << 32) + 4) + rows["flags"]
+    rows = pd.concat([rows, rows[:50]]).sort_values(["block", "size", "same"])
+    sig = [np.bitwise_or.reduce([np.int64(1) << rnd.integers(0, 30, len(rows)) for _ in range(3)]) for _ in range(2)]
+    args = [rows[c].to_numpy() for c in ("block", "same", "size")] + sig
+    found = []
+    for big, tile in ((10**9, 1 << 18), (2, 1 << 18), (2, 300)):
+        monkeypatch.setattr(neardup, "BIG", big)
+        monkeypatch.setattr(neardup, "TILE", tile)
+        found.append(sorted(zip(*(x.tolist() for x in neardup.block_pairs(*args, 700_000)))))
+    assert len(found[0]) > 100 and found[0] == found[1] == found[2]
+
+
 def test_hot_group_of_copies(spark):
     rows = [(i, "one and the same text of nine words here") for i in range(40)] + [(100 + i, f"other text number {i} with words q{i} r{i} s{i}") for i in range(60)]
     assert neardup.near_duplicates(spark.createDataFrame(rows, "id long, t string"), "id", F.col("t")).count() == 40 * 39 // 2
