@@ -10,14 +10,14 @@ decoded wrongly twice, or by two ways in two places, comes out too.
 Chains that end in UTF-8 change only runs of non-ASCII characters whose bytes are valid UTF-8; chains between two
 one-byte encodings change only words that hold characters unusual in the language and become usual by it.
 
-The dictionaries and the usual characters of each language are fitted on at most SAMPLE labelled
-documents of at most LONGEST characters of each of at most LANGUAGES languages, drawn by a hash of the text, so that copies of a text (its numbers aside) count once;
-signs in runs that some encoding turns into UTF-8 are no evidence of being usual. Everything else covers
-every document and its whole text. Only documents with a sign unusual in their language (control and replacement characters are), with a run that
+The dictionaries and the usual characters of each language come from counts over all labelled documents and their whole
+texts, each text once however many copies (its numbers aside) there are: in how many texts a character stands, and how often each word
+and, where signs are, each three words; a dictionary holds the DICTIONARY bytes of them that would save most, of those without an unusual character;
+signs in runs that some encoding turns into UTF-8 are no evidence of being usual. Only documents with a sign unusual in their language (control and replacement characters are), with a run that
 could be UTF-8 read in a Western encoding, or with the case of Cyrillic words turned are compressed; the rest have no candidate chain that could apply.
 
 Defined results: null, empty and plain ASCII texts are unchanged and never affected; text without a language, or
-with one too rare to be fitted, is held against every language; characters lost for good (U+FFFD, or wrong
+with one that no clean word is labelled with, is held against every language; characters lost for good (U+FFFD, or wrong
 sequences that no chain undoes) mark the document as affected and stay; a document id delivered twice gives a row each time
 in the operator and one in p10_found.
 """
@@ -33,15 +33,14 @@ import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from newsloom.session import ship, table
+from newsloom.session import ship, stage, table
 
-SAMPLE = 400
-LANGUAGES = 40
-USUAL = 0.08  # share of a language's sampled documents that hold a usual character
+USUAL = 0.08  # share of a language's texts that hold a usual character
 COST = 3
 ESCAPE = 4  # bytes for a sign outside the language's usual ones
-LONGEST = 20_000  # characters of a document that models are fitted on
 DICTIONARY = 48_000
+LEAST = 4  # bytes of a piece in a dictionary
+HELD = 400_000  # distinct pieces counted in a task before the counts are handed on
 UNKNOWN = ("", "und", "unk", "mul", "zxx")
 # Encodings that texts are read in by mistake, and pairs of one-byte encodings, read as and written in.
 READ_AS = ["cp1252", "latin_1", "mac_roman", "cp1251", "cp850", "cp437", "koi8_r", "cp866", "cp1250", "iso8859_15", "cp1254"]
@@ -53,6 +52,8 @@ ONE_BYTE = [
 PIECE = re.compile(r"([.!?;:][”\"»]?\s+|\n+|, )")
 RUN = re.compile(r"[^\x00-\x7f]+")
 WORD = re.compile(r"\S+")
+PART = re.compile(r"\S{1,16}\s?")
+DIGITS = re.compile(r"\d+")
 CONTROL = re.compile("[\x80-\x9f]")
 # UTF-8 lead characters of Latin text and three-byte signs, read as cp1252 or latin-1, with what may follow
 SEQUENCE = re.compile("[ÂÃÄÅ][\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘-”•–—˜™š›œžŸ]|â[\x80-\x8f€‚ˆ„]")
@@ -105,27 +106,43 @@ def _turned(text: str, found: list[tuple[int, str]], turn: Callable[[str], str])
     return "".join(out) + text[at:] if out else text
 
 
-class Model:
-    """Usual characters and a compressor for each language; fitted on (language, text) pairs."""
+def tally(counts: dict[tuple[str, str], Counter], lang: str, text: str) -> None:
+    """Adds the text to counts[lang, kind]: its kinds are "text", "sign" (texts that hold it) and "piece"."""
+    counts[lang, "text"][""] += 1
+    counts[lang, "sign"].update(c for c in set(UTF8_RUN.sub(" ", text)) if c > "\x7f")
+    parts = PART.findall(DIGITS.sub("0", text))
+    counts[lang, "piece"].update(parts)
+    counts[lang, "piece"].update(x for x in map("".join, zip(parts, parts[1:], parts[2:])) if not x.isascii())
+
+
+def usual_signs(signs: dict[str, int], texts: int) -> frozenset[str]:
+    return frozenset(c for c, n in signs.items() if n >= max(2, USUAL * texts) and not "\x80" <= c <= "\x9f" and c != "�")
+
 
-    def __init__(self, sample: list[tuple[str, str]]):
-        by = defaultdict(list)
-        for lang, text in sample:
-            by[lang].append(text)
+class Model:
+    """Usual characters and a compressor for each language; fitted on (language, text) pairs, or see of()."""
+
+    def __init__(self, texts: list[tuple[str, str]]):
+        counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        for lang, text in texts:
+            tally(counts, lang, text)
+        usual = {k: usual_signs(counts[k, "sign"], counts[k, "text"][""]) for k in {k for k, _ in texts}}
+        pieces = {k: {x: n for x, n in counts[k, "piece"].items() if len(x.encode()) >= LEAST and all(c <= "\x7f" or c in u for c in x)} for k, u in usual.items()}
+        self._set(usual, {k: sorted(of, key=lambda x: (-of[x] * (len(x.encode()) - 2), x.encode())) for k, of in pieces.items()})
+
+    @classmethod
+    def of(cls, usual: dict[str, frozenset[str]], pieces: dict[str, list[str]]) -> Model:
+        """pieces: of each language, the best first."""
+        m = cls([])
+        m._set(usual, pieces)
+        return m
+
+    def _set(self, usual: dict[str, frozenset[str]], pieces: dict[str, list[str]]) -> None:
         self.usual: dict[str, frozenset[str]] = {}
-        self.data: dict[str, tuple[bytes, bool]] = {}
-        for lang, texts in sorted(by.items()):
-            counts = Counter(c for t in texts for c in set(UTF8_RUN.sub(" ", t)) if c > "\x7f")
-            usual = frozenset(c for c, n in counts.items() if n >= max(2, USUAL * len(texts)) and not "\x80" <= c <= "\x9f" and c != "�")
-            clean = [t for t in texts if all(c in usual or c <= "\x7f" for c in set(t))]
-            if not clean:
-                continue
-            lines = [x.encode() for t in clean for x in t.split("\n") if x.strip()]
-            try:
-                data, trained = zstandard.train_dictionary(DICTIONARY, lines).as_bytes(), True
-            except zstandard.ZstdError:
-                data, trained = b"\n".join(lines)[-DICTIONARY:], False
-            self.usual[lang], self.data[lang] = usual, (data, trained)
+        self.data: dict[str, bytes] = {}
+        for lang in sorted(usual):
+            if best := pieces.get(lang):
+                self.usual[lang], self.data[lang] = usual[lang], "".join(reversed(best[: DICTIONARY // LEAST])).encode()[-DICTIONARY:]
         self.all_usual = frozenset().union(*self.usual.values()) if self.usual else frozenset()
         self.made: dict = {}
         self.sizes: dict[tuple[str, str], int] = {}  # of the text being restored
@@ -141,8 +158,7 @@ class Model:
     def _size(self, lang: str, text: str) -> int:
         c = self.made.get(lang)
         if c is None:
-            data, trained = self.data[lang]
-            d = zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_FULLDICT if trained else zstandard.DICT_TYPE_RAWCONTENT)
+            d = zstandard.ZstdCompressionDict(self.data[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             p = zstandard.ZstdCompressionParameters.from_level(12, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0)
             c = self.made[lang] = zstandard.ZstdCompressor(dict_data=d, compression_params=p)
         usual = self.usual[lang]
@@ -260,22 +276,49 @@ class Model:
         return (now, " ".join(chains), lost) if chains or lost else None
 
 
-def fit(docs: DataFrame, doc_id: str, text: str, lang: str) -> Model:
-    """Model from a bounded sample of the labelled documents."""
-    known = docs.where(F.col(text).isNotNull() & (F.length(text) <= LONGEST) & F.col(lang).isNotNull() & ~F.lower(lang).isin(*UNKNOWN))
-    counts = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
-    if not counts:
+def fit(docs: DataFrame, text: str, lang: str) -> Model:
+    """Model from all labelled documents, each text once however many copies there are."""
+    known = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & ~F.lower(lang).isin(*UNKNOWN)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    known = known.withColumn("copy", F.xxhash64(F.regexp_replace("text", r"\p{Nd}+", "0"), "lang", F.lit(10)))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        last = None
+        out = lambda: pd.DataFrame([(k, kind, x, n) for (k, kind), c in counts.items() for x, n in c.items()], columns=["lang", "kind", "x", "n"])
+        for pdf in batches:
+            for k, t, copy in zip(pdf["lang"], pdf["text"], pdf["copy"].tolist()):
+                if copy != last:
+                    last = copy
+                    tally(counts, k, t)
+            if sum(map(len, counts.values())) > HELD:
+                yield out()
+                counts.clear()
+        yield out()
+
+    every = known.repartition("copy").sortWithinPartitions("copy", "text").mapInPandas(count, "lang string, kind string, x string, n bigint")
+    every = stage(every.groupBy("lang", "kind", "x").agg(F.sum("n").alias("n")), "p10-counts")
+    texts = {r.lang: r.n for r in every.where("kind = 'text'").collect()}
+    often = every.where("kind = 'sign'").join(F.broadcast(every.where("kind = 'text'").select("lang", F.col("n").alias("texts"))), "lang").where(f"n >= greatest(2, {USUAL} * texts)")
+    signs: dict[str, dict[str, int]] = {k: {} for k in texts}
+    for r in often.select("lang", "x", "n").collect():
+        signs[r.lang][r.x] = r.n
+    usual = {k: usual_signs(signs[k], n) for k, n in texts.items()}
+    if not usual:
         return Model([])
-    at = F.pmod(F.xxhash64(F.regexp_replace(text, r"\p{Nd}+", "0"), F.lit(10)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r[0], min(1.0, 3.0 * SAMPLE / r["count"]))])
-    drawn = known.where(F.col(lang).isin(*[r[0] for r in counts])).select(F.col(lang).alias("lang"), F.col(text).alias("text"), at.alias("at")).where(F.col("at") <= F.element_at(share, F.col("lang")))
-    few = drawn.groupBy("lang", "at").agg(F.min("text").alias("text")).withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("at"))).where(F.col("n") <= SAMPLE)
-    return Model([(r.lang, r.text) for r in few.select("lang", "text").orderBy("lang", "text").collect()])
+    ascii_only = docs.sparkSession.createDataFrame([(k, "".join(sorted(u))) for k, u in usual.items()], "lang string, usual string")
+    pieces = every.where(f"kind = 'piece' and octet_length(x) >= {LEAST}").join(F.broadcast(ascii_only), "lang").where(r"translate(x, usual, '') not rlike '[^\\x00-\\x7F]'")
+    nth = lambda *by: F.row_number().over(W.partitionBy("lang", *by).orderBy(F.expr("n * (octet_length(x) - 2)").desc(), "x"))
+    best = pieces.withColumn("nth", nth(F.expr("pmod(xxhash64(x), 64)"))).where(F.col("nth") <= DICTIONARY // LEAST)  # so that no task sorts a whole language
+    best = best.withColumn("nth", nth()).where(F.col("nth") <= DICTIONARY // LEAST)
+    of = defaultdict(list)
+    for r in best.select("lang", "x", "nth").orderBy("lang", "nth").collect():  # a dictionary of each language
+        of[r.lang].append(r.x)
+    return Model.of(usual, of)
 
 
 def restored(docs: DataFrame, doc_id: str, text: str, lang: str) -> DataFrame:
     """doc_id, text (restored as far as possible), chains, lost of every affected document."""
-    held = ship(docs.sparkSession, fit(docs, doc_id, text, lang))
+    held = ship(docs.sparkSession, fit(docs, text, lang))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = pickle.loads(held.value)

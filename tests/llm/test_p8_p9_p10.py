@@ -159,6 +159,15 @@ def test_copies_of_one_garbled_text_do_not_teach_its_signs(spark):
     assert {r.doc_id: r.text for r in got.collect()} == {1000 + i: right[0][1] for i in range(60)}
 
 
+def test_every_language_and_whole_texts_are_counted(spark):
+    rows = [(i, t * 150, "fr") for i, (k, t) in enumerate(corpus(3)) if k == "fr"] + [(100 + 3 * i + j, f"même été {'abc'[j]} là{chr(97 + i % 26)}{i // 26}", f"l{i}") for i in range(45) for j in range(3)]
+    assert min(len(t) for _, t, k in rows if k == "fr") > 20_000
+    df = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, lang string")
+    m, want = encoding.fit(df, "text", "lang"), encoding.Model([(k, t) for _, t, k in rows])
+    assert set(m.usual) == {"fr"} | {f"l{i}" for i in range(45)} and m.usual == want.usual
+    assert all(sorted(m.data[k]) == sorted(want.data[k]) for k in want.data)
+
+
 def test_cleaning_keeps_each_row_of_an_id_apart(spark):
     items = spark.createDataFrame([(7, ITEM)], "item_id long, item_text string")
     rows = [(1, "\u0130stanbul\u0130 before " + ITEM + " after"), (1, "short text"), (1, None), (None, ITEM)]
