@@ -1,4 +1,5 @@
 import random
+import sys
 from collections import defaultdict
 
 import pytest
@@ -141,6 +142,39 @@ def test_no_text_is_compressed_twice():
     assert seen and len(seen) == len(set(seen))
 
 
+def test_words_are_turned_only_where_a_chain_may_turn_them(model):
+    bad = [(wrong(t, "cp1252"), k) for k, t in corpus(12)]
+    [model.restore(t, k) for t, k in bad]  # tables made
+    calls = 0
+
+    def called(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(called)
+    try:
+        got = [model.restore(t, k)[0] for t, k in bad]
+    finally:
+        sys.setprofile(None)
+    assert got == [t for _, t in corpus(12)]
+    assert calls < 5 * sum(len(t) for t, _ in bad), calls
+
+
+def test_best_pieces_are_those_of_all(spark):
+    rnd = random.Random(4)
+    rows = [(k, x, rnd.choice([1, 1, 1, 2, 3, 40])) for k, many in (("fr", 30_000), ("ru", 9_000), ("none", 50)) for x in {"".join(rnd.choices("abcdeéñж ", k=rnd.randint(1, 14))) for _ in range(many)}]
+    usual = {"fr": frozenset("é"), "ru": frozenset("жñ"), "none": frozenset()}
+    want = defaultdict(list)
+    for k, x, n in sorted(rows, key=lambda r: (-r[2] * (len(r[1].encode()) - 2), r[1].encode())):
+        if len(x.encode()) >= encoding.LEAST and all(c < "\x80" or c in usual[k] for c in x):
+            want[k].append(x)
+    got = encoding.best_pieces(spark.createDataFrame(rows, "lang string, x string, n bigint"), usual)
+    for k, xs in got.items():
+        assert xs == want[k][: len(xs)] and len("".join(xs).encode()) >= min(encoding.DICTIONARY, len("".join(want[k]).encode()))
+    assert set(got) == set(want) and len(got["fr"]) < encoding.DICTIONARY // encoding.LEAST
+    assert encoding.Model.of(usual, got).data == encoding.Model.of(usual, want).data
+
+
 def test_affected_table(spark):
     rows = [(i, t, k) for i, (k, t) in enumerate(corpus(60))]
     rows += [(1000, wrong(rows[0][1], "cp1252"), "fr"), (1000, wrong(rows[0][1], "cp1252"), "fr"), (1001, None, "fr"), (1002, "", None), (1003, "lost � here", None)]
